@@ -85,14 +85,18 @@ class Pieces:
         self.dummy, self.squeeze, self.escape = (norm.get(n, 1) for n in (3, 4, 5))
         self.unknown = self.kind.index(self.UNKNOWN)
         self.bytes = {int(t[3:5], 16): i for i, (t, k) in enumerate(zip(self.text, self.kind)) if k == self.BYTE}
-        self.byte_of = {i: b for b, i in self.bytes.items()}
         self.ids = {t: i for i, (t, k) in enumerate(zip(self.text, self.kind)) if k == self.NORMAL}
         self.split = all(MARK not in t.lstrip(MARK) for t in self.ids)
         self.lowest = min(self.score) - 10
+        self.size = [len(t) for t in self.text]
+        self.said = [t.encode() for t in self.text]  # what each id decodes to
+        for i, k in enumerate(self.kind):
+            if k in (self.BYTE, self.UNKNOWN, self.CONTROL):
+                self.said[i] = bytes([int(self.text[i][3:5], 16)]) if k == self.BYTE else " ⁇ ".encode() if k == self.UNKNOWN else b""
         self.auto = ahocorasick.Automaton()
         for t, i in self.ids.items():
             if not self.bpe or self.merged(t) == [t]:  # a piece that merging never leaves whole isn't one
-                self.auto.add_word(t, (len(t), i))
+                self.auto.add_word(t, i)
         self.auto.make_automaton()
         self.apart = functools.lru_cache(1 << 18)(self._apart)
         self.stretch = functools.lru_cache(KEEP)(self._stretch)
@@ -116,38 +120,41 @@ class Pieces:
 
     def _stretch(self, text: str) -> list[int]:
         n = len(text)
-        back: list[tuple[int, int]] = [(0, -1)] * (n + 1)  # length and id of the last piece; -1: unknown character
-        ends: list[list[tuple[int, int]]] = [[] for _ in range(n + 1)]
-        if len(self.auto):
-            for end, found in self.auto.iter(text):
-                ends[end + 1].append(found)
+        back = [-1] * (n + 1)  # the last piece before each position; -1: none, or an unknown character
+        size, apart, found = self.size, self.apart, self.auto.iter(text) if len(self.auto) else ()
         if self.bpe:
-            for i in range(1, n + 1):
-                back[i] = (1, -1)
-                for length, piece in sorted(ends[i], reverse=True):
-                    before = back[i - length][1] if i > length else -1
-                    if before < 0 or self.apart(before, piece):
-                        back[i] = (length, piece)
-                        break
+            done = 0
+            for end, piece in found:  # longest first at each end
+                end += 1
+                if end != done:
+                    before = back[end - size[piece]]
+                    if before < 0 or apart(before, piece):
+                        back[end] = piece
+                        done = end
         else:
             best = [0.0] + [float("-inf")] * n
+            ends: list[list[int]] = [[] for _ in range(n + 1)]
+            for end, piece in found:
+                ends[end + 1].append(piece)
             for i in range(1, n + 1):
-                if not any(length == 1 for length, _ in ends[i]):
-                    best[i], back[i] = best[i - 1] + self.lowest, (1, -1)
-                for length, piece in ends[i]:
-                    if best[i - length] + self.score[piece] > best[i]:
-                        best[i], back[i] = best[i - length] + self.score[piece], (length, piece)
+                if not any(size[piece] == 1 for piece in ends[i]):
+                    best[i] = best[i - 1] + self.lowest
+                for piece in ends[i]:
+                    if (score := best[i - size[piece]] + self.score[piece]) > best[i]:
+                        best[i], back[i] = score, piece
         out: list[int] = []
         while n:
-            length, piece = back[n]
+            piece = back[n]
             if piece >= 0:
                 out.append(piece)
-            elif self.bytes:
+                n -= size[piece]
+                continue
+            if self.bytes:
                 out += [self.bytes[b] for b in reversed(text[n - 1].encode())]
             else:
                 if not (out and out[-1] == self.unknown):  # a run of unknown characters is one piece
                     out.append(self.unknown)
-            n -= length
+            n -= 1
         return out[::-1]
 
     def encode(self, text: str | None) -> list[int]:
@@ -168,15 +175,7 @@ class Pieces:
         return out
 
     def decode(self, ids: list[int] | None) -> str:
-        out = bytearray()
-        for i in ids or ():
-            if i in self.byte_of:
-                out.append(self.byte_of[i])
-            elif self.kind[i] == self.UNKNOWN:
-                out += " ⁇ ".encode()
-            elif self.kind[i] != self.CONTROL:
-                out += self.text[i].encode()
-        s = out.decode("utf-8", "replace")
+        s = b"".join(map(self.said.__getitem__, ids or ())).decode("utf-8", "replace")
         if self.dummy and s.startswith(MARK):
             s = s[1:]
         return s.replace(MARK, " ") if self.escape else s
