@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lexloom.llm.base import ascii_lower
+from lexloom.llm.base import ascii_lower, stage
 
 #: (verdict, host, path): fixed values of the filter.
 RULES = (
@@ -56,10 +56,13 @@ def _codes(url: Column) -> Column:
 
 
 def _grams(codes: Column) -> Column:
+    """Numbers of the three-character grams; the outer transform evaluates the codes once."""
     return F.transform(
-        F.sequence(F.lit(0), F.size(codes) - 3),
-        lambda i: F.get(codes, i) * (_A * _A) + F.get(codes, i + 1) * _A + F.get(codes, i + 2),
-    )
+        F.array(codes),
+        lambda c: F.transform(
+            F.sequence(F.lit(0), F.size(c) - 3), lambda i: F.get(c, i) * (_A * _A) + F.get(c, i + 1) * _A + F.get(c, i + 2)
+        ),
+    )[0]
 
 
 def log_ratios(decided: DataFrame) -> DataFrame:
@@ -99,11 +102,12 @@ def filter_urls(pages: DataFrame, key: str = "page_id", rules=RULES) -> DataFram
     rule, verdict = matched_rule(F.col("host"), F.col("path"), rules)
     judged = judged.select(key, "url", "host", "path", rule.alias("rule"), verdict.alias("ruled"))
     distinct = judged.groupBy("url").agg(F.first("ruled").alias("ruled"))
-    ratios = log_ratios(distinct.where("ruled is not null").select("url", F.col("ruled").alias("verdict")))
+    ratios = stage(log_ratios(distinct.where("ruled is not null").select("url", F.col("ruled").alias("verdict"))), "ratios")
     grams = distinct.select("url", "ruled", F.explode(_grams(_codes(F.col("url")))).alias("g"))
-    scored = grams.join(F.broadcast(ratios), "g").groupBy("url").agg(  # _A**3 rows at most
+    sums = grams.join(F.broadcast(ratios), "g").groupBy("url").agg(  # _A**3 rows at most
         F.first("ruled").alias("ruled"), (F.sum("r") / F.count(F.lit(1)) / UNIT).alias("x")
     )
+    scored = stage(sums, "url-scores")
     of = lambda f, v: f(F.when(F.col("ruled") == v, F.col("x")))
     wide, narrow = of(F.stddev_pop, "allow") + 1e-6, of(F.stddev_pop, "block") + 1e-6
     # between the class means, nearer to the narrower class; null if a class is empty
