@@ -301,11 +301,10 @@ def _runs(raw, starts, keys, p, h, least, most, text, buckets):
     new = np.r_[True, (whole[1:] != whole[:-1]).any(1)]
     group = np.cumsum(new) - 1
     several = np.bincount(group)[group] > 1
-    spans: list[tuple] = []
+    spans = []
     if several.any():
-        a, e = p[several] - most[several] - starts[text[several]], p[several] - least[several] + SPAN - starts[text[several]]
-        for t, x, y in zip(text[several].tolist(), a.tolist(), e.tolist()):
-            spans.append((-1, keys[t], x, y))
+        t, at = text[several], p[several] - starts[text[several]]
+        spans = _span_rows(t, at - most[several], at - least[several] + SPAN, keys)
     place = p - starts[text]
     to = (h % np.uint64(buckets)).astype(np.int64)
     rows = []
@@ -316,21 +315,21 @@ def _runs(raw, starts, keys, p, h, least, most, text, buckets):
         lefts = left[at][np.arange(REACH - 1) < most[at][:, None]].tobytes()
         head = np.stack([shared, size[at], most[at], index, place[at], several[at]]).astype("<u4").tobytes()
         rows.append((int(k), head, rest, lefts, b"".join(keys[t] for t in used)))
-    names = ["bucket", "head", "rest", "lefts", "keys", "a", "e"]
+    names = ["bucket", "head", "rest", "lefts", "keys", "spans"]
     empty = [None] * len(spans)
     yield pa.RecordBatch.from_arrays(
         [
             pa.array([r[0] for r in rows] + [-1] * len(spans), pa.int32()),
             *(pa.array([r[i] for r in rows] + empty, pa.binary()) for i in (1, 2, 3)),
-            pa.array([r[4] for r in rows] + [s[1] for s in spans], pa.binary()),
-            *(pa.array([None] * len(rows) + [s[i] for s in spans], pa.int64()) for i in (2, 3)),
+            pa.array([r[4] for r in rows] + [s[0] for s in spans], pa.binary()),
+            pa.array([None] * len(rows) + [s[1] for s in spans], pa.binary()),
         ],
         names=names,
     )
 
 
 def _merge(pdf: pd.DataFrame) -> pd.DataFrame:
-    """(dk, a, e): byte spans of texts that repeated windows of this bucket cover."""
+    """(dk, spans): byte spans of texts that repeated windows of this bucket cover."""
     heads = [np.frombuffer(x, "<u4").reshape(6, -1).astype(np.int64) for x in pdf["head"]]
     runs = [(front_decode(h[0], h[1], rest), h[0].tolist()) for h, rest in zip(heads, pdf["rest"])]
     order = [(w, i, c) for w, i, c in LoserTree(runs)]
@@ -367,8 +366,20 @@ def _merge(pdf: pd.DataFrame) -> pd.DataFrame:
     row, low = np.nonzero(edge == 1)
     _, high = np.nonzero(edge == -1)
     names = list(pdf["keys"])
-    dk = [names[r][_KEY * t : _KEY * (t + 1)] for r, t in zip(run[row].tolist(), text[row].tolist())]
-    return pd.DataFrame({"dk": dk, "a": place[row] - (high - 1), "e": place[row] - low + SPAN})
+    owner, inverse = np.unique(np.stack([run[row], text[row]]), axis=1, return_inverse=True)
+    keys = [names[r][_KEY * t : _KEY * (t + 1)] for r, t in owner.T.tolist()]
+    return pd.DataFrame(_span_rows(inverse.ravel(), place[row] - (high - 1), place[row] - low + SPAN, keys), columns=["dk", "spans"])
+
+
+def _span_rows(owner: np.ndarray, a: np.ndarray, e: np.ndarray, keys: list[bytes]) -> list[tuple[bytes, bytes]]:
+    """(key, packed starts and ends) of each owner's spans, overlaps joined."""
+    order = np.argsort(owner, kind="stable")
+    cuts = np.flatnonzero(np.r_[True, np.diff(owner[order]) != 0])[: len(owner)]
+    rows = []
+    for x, y in zip(cuts, np.r_[cuts[1:], len(owner)]):
+        at = order[x:y]
+        rows.append((keys[owner[at[0]]], np.stack(_union(a[at], e[at]), 1).astype("<u4").tobytes()))
+    return rows
 
 
 def _union(a: np.ndarray, e: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -385,7 +396,7 @@ def _cut(raw: bytes, copies: int, spans) -> tuple[bytes, int]:
         return b"", 1
     if not spans:
         return raw, 0
-    a, e = _union(*(np.array([s[x] for s in spans], np.int64) for x in ("a", "e")))
+    a, e = _union(*np.frombuffer(b"".join(spans), "<u4").reshape(-1, 2).T.astype(np.int64))
     return b"".join(raw[x:y] for x, y in zip(np.r_[0, e].tolist(), np.r_[a, len(raw)].tolist())), len(a)
 
 
@@ -400,16 +411,16 @@ def distinct_texts(docs: DataFrame) -> DataFrame:
 
 
 def repeated_spans(texts: DataFrame, size: int) -> DataFrame:
-    """(dk, a, e): spans of the texts that repeat; together they cover every byte to remove."""
+    """(dk, spans): packed spans of the texts that repeat; together they cover every byte to remove."""
     n = pieces(size, 64 << 20)
     blobs = texts.mapInArrow(lambda it: _anchor_blobs(it, n), "bucket int, h binary, t binary, p binary, keys binary")
     repeated = blobs.groupBy("bucket").applyInPandas(lambda pdf: _repeated(pdf), "dk binary, p binary")
     marks = repeated.groupBy("dk").agg(F.array_join(F.collect_list(F.hex("p")), "").alias("p")).select("dk", F.unhex("p").alias("p"))
     marked = texts.join(marks, "dk").select("dk", "text", "p")
     m = pieces(size, 16 << 20)
-    runs = stage(marked.mapInArrow(lambda it: _run_blobs(it, m), "bucket int, head binary, rest binary, lefts binary, keys binary, a long, e long"), "runs")
-    early = runs.where("bucket < 0").select(F.col("keys").alias("dk"), "a", "e")
-    merged = runs.where("bucket >= 0").groupBy("bucket").applyInPandas(lambda pdf: _merge(pdf), "dk binary, a long, e long")
+    runs = stage(marked.mapInArrow(lambda it: _run_blobs(it, m), "bucket int, head binary, rest binary, lefts binary, keys binary, spans binary"), "runs")
+    early = runs.where("bucket < 0").select(F.col("keys").alias("dk"), "spans")
+    merged = runs.where("bucket >= 0").groupBy("bucket").applyInPandas(lambda pdf: _merge(pdf), "dk binary, spans binary")
     return early.unionAll(merged)
 
 
@@ -420,7 +431,7 @@ def _kept(docs: DataFrame, make_rows, ddl: str) -> DataFrame:
 
     _, size = text_bytes(docs)
     texts = distinct_texts(docs)
-    spans = repeated_spans(texts, size).groupBy("dk").agg(F.collect_list(F.struct("a", "e")).alias("spans"))
+    spans = repeated_spans(texts, size).groupBy("dk").agg(F.collect_list("spans").alias("spans"))
     types = [to_arrow_type(f.dataType) for f in T.StructType.fromDDL(ddl)]
     names = T.StructType.fromDDL(ddl).names
 
