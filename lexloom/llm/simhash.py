@@ -236,7 +236,6 @@ def jaccard_links(fp: np.ndarray, group: np.ndarray, node: np.ndarray, held: lis
         common = len(np.intersect1d(a, b, assume_unique=True))
         if common < similarity * (len(a) + len(b) - common):
             return False
-        forest.add(np.array([i]), np.array([j]))
         out.append((node[i], node[j]))
         return True
 
@@ -249,21 +248,28 @@ def jaccard_links(fp: np.ndarray, group: np.ndarray, node: np.ndarray, held: lis
             pivot, rest = left[len(left) // 2], np.delete(left, len(left) // 2)
             near = np.bitwise_count(fp[rest] ^ fp[pivot]) <= budget
             linked = np.array([bool(n) and check(pivot, j) for j, n in zip(rest, near)], bool)
+            forest.add(rest[linked], np.full(linked.sum(), pivot))
             left = rest[~linked]
     first = np.flatnonzero(np.r_[True, (group[1:] != group[:-1]) | (fp[1:] != fp[:-1])])
     last = np.r_[first[1:], len(fp)]
-    for f, e in zip(first, last):  # different texts with one fingerprint
-        for i in range(f + 1, e):
-            for j in range(f, i):
-                if forest.root[i] != forest.root[j]:
-                    check(i, j)
-    uniform = np.array([forest.root[f] if (forest.root[f:e] == forest.root[f]).all() else -1 - f for f, e in zip(first, last)])
+
+    def join(one: range, two: range) -> None:
+        """Check the pairs that aren't connected yet."""
+        for i in one:
+            apart = np.flatnonzero(forest.root[two.start : min(two.stop, i) if one == two else two.stop] != forest.root[i])
+            for j in (apart + two.start).tolist():
+                if forest.root[i] != forest.root[j] and check(i, j):
+                    forest.add(np.array([i]), np.array([j]))
+
+    ranges = [range(f, e) for f, e in zip(first.tolist(), last.tolist())]
+    for r in ranges:  # different texts with one fingerprint
+        if (forest.root[r.start : r.stop] != forest.root[r.start]).any():
+            join(r, r)
+    uniform = np.array([forest.root[r.start] if (forest.root[r.start : r.stop] == forest.root[r.start]).all() else -1 - r.start for r in ranges])
     for a, b in trie_pairs(fp[first], group[first], budget, same=uniform):
-        for x, y in zip(a, b):
-            for i in range(first[x], last[x]):
-                for j in range(first[y], last[y]):
-                    if forest.root[i] != forest.root[j]:
-                        check(i, j)
+        open_pairs = (uniform[a] < 0) | (uniform[b] < 0) | (forest.root[first[a]] != forest.root[first[b]])
+        for x, y in zip(a[open_pairs].tolist(), b[open_pairs].tolist()):
+            join(ranges[x], ranges[y])
     return out
 
 
