@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -20,7 +22,11 @@ def match(phrase: Column, expr: str, alphabet: frozenset[str] = P.ASCII, normali
     out = None
     for tree in P.conjuncts(P.Parser(expr, normalizer).parse()):
         regex = P.to_regex(tree) if prefer_regex else None
-        one = phrase.rlike(rf"\A(?:{regex}){BOUNDARY}\z") if regex is not None else _accepts(P.compile_pattern(tree, alphabet))(phrase)
+        if regex is not None:
+            one = phrase.rlike(rf"\A(?:{regex}){BOUNDARY}\z")
+        else:
+            compiled = P.compile_pattern(tree, alphabet)
+            one = _within(phrase, compiled, alphabet) & _accepts(compiled)(phrase)
         prefix = P.literal_prefix(tree)
         if prefix and prefix.isascii():
             one = phrase.startswith(prefix) & one  # reaches the scan; marks never stand inside quoted ASCII literals
@@ -36,6 +42,15 @@ def _accepts(compiled: P.Compiled):
     return accepts
 
 
+def _within(phrase: Column, compiled: P.Compiled, alphabet: frozenset[str]) -> Column:
+    """A necessary condition by built-in functions: only symbols that the automaton moves on."""
+    moved = {c for m in compiled.dfa.moves for c in m}
+    usable = {ch for ch, c in compiled.classes.items() if c in moved}
+    if usable >= alphabet:
+        return F.lit(True)
+    return phrase.rlike(rf"\A[{''.join(map(re.escape, sorted(usable | {' ', PB, END})))}]*\z")
+
+
 def ranked(found: DataFrame, limit: int | None = None, merge_boundaries: bool = False) -> DataFrame:
     """(text, score) of found (phrase, score): the best score of each visible text.
 
@@ -61,6 +76,7 @@ def find_combined(phrases: DataFrame, expr: str, total: int, segments: int = 2,
     """
     compiled = P.compile_pattern(P.Parser(expr, normalizer).parse(), alphabet)
     accepting = sorted(compiled.dfa.accepting)
+    phrases = phrases.where(_within(F.col("phrase"), compiled, alphabet))
 
     def steps(states: list[int]):
         @F.pandas_udf("array<struct<a:int,b:int>>")

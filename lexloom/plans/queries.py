@@ -36,7 +36,7 @@ def staged(df: DataFrame, name: str) -> DataFrame:
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return corpus.spread(spark.read.parquet(f"{sf_dir}/{name}.parquet"))
 
 
 def norm_lines(spark: SparkSession, sf_dir: str, *keys: str) -> DataFrame:

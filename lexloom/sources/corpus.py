@@ -8,6 +8,12 @@ from pyspark.sql import functions as F
 TITLE_WEIGHT = 10
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """df over all cores, where its files make fewer partitions than there are; no shuffle otherwise."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df._jdf.queryExecution().toRdd().getNumPartitions() < cores else df
+
+
 def text_lines(spark: SparkSession, path: str) -> DataFrame:
     """(line) of the text files under a path, whatever its depth."""
     return spark.read.option("recursiveFileLookup", "true").text(path, lineSep="\n").withColumnRenamed("value", "line")
