@@ -9,19 +9,23 @@ import tempfile
 import uuid
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
+from lexloom.sources.corpus import spread
+
 #: Text bytes that one Python task should hold at a time.
 CHUNK_BYTES = 8 << 20
-#: Characters of text that a vectorised step works on at a time.
+#: Bytes of text that a vectorised step works on at a time.
 SUB_CHARS = 1 << 20
+BATCH_ROWS = 1000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(spark.read.parquet(f"{sf_dir}/{name}.parquet"))
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -72,12 +76,27 @@ def sub_batches(sizes, limit: int):
         yield start, len(sizes)
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Arrow batches of at most BATCH_ROWS rows: texts of many kB each would make large ones."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= BATCH_ROWS:
+        spark.conf.set(name, BATCH_ROWS)
+
+
+def slices(batch, column: int | str):
+    """Parts of an Arrow batch with about SUB_CHARS bytes in a text or binary column, a row at least."""
+    sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_pylist()
+    for start, stop in sub_batches(sizes, SUB_CHARS):
+        yield batch.slice(start, stop - start)
+
+
 def per_text(docs: DataFrame, key: str, ddl: str, make, text: str = "text") -> DataFrame:
     """(key, columns of `ddl`): one row per row of docs.
 
     make() runs once a task and returns a function from a list of texts (None where null) to a
     list of columns. Arrow batches, so that null and large keys pass through unchanged.
     """
+    small_batches(docs.sparkSession)
     schema = T.StructType.fromDDL(ddl)
     types = [to_arrow_type(f.dataType) for f in schema]
     key_type = docs.schema[key].dataType.simpleString()
@@ -85,8 +104,7 @@ def per_text(docs: DataFrame, key: str, ddl: str, make, text: str = "text") -> D
     def run(batches):
         work = make()
         for b in batches:
-            for start, stop in sub_batches([len(t or "") for t in b.column("t").to_pylist()], SUB_CHARS):
-                part = b.slice(start, stop - start)
+            for part in slices(b, "t"):
                 columns = [pa.array(c, type=kind) for c, kind in zip(work(part.column("t").to_pylist()), types)]
                 yield pa.RecordBatch.from_arrays([part.column("k"), *columns], names=["k", *schema.names])
 

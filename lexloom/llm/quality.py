@@ -20,7 +20,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexloom.llm.base import per_text
+from lexloom.llm.base import per_text, slices
 
 MAX_TRAIN = 20_000  # labelled rows that a fit may use
 THRESHOLD = 0.3
@@ -159,7 +159,7 @@ def keep_quality(docs: DataFrame, labels: DataFrame, key: str = "doc_id", max_tr
     def keep(batches):
         import pyarrow as pa
 
-        for b in batches:
+        for b in (part for whole in batches for part in slices(whole, at)):
             x = np.array([statistics(t) for t in b.column(at).to_pylist()]).reshape(-1, len(FEATURES))
             yield b.filter(pa.array(trees.value.predict(x) >= THRESHOLD))
 

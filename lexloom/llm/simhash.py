@@ -60,7 +60,7 @@ def fingerprints(docs: DataFrame, key: str = "doc_id", shingle: int = 3) -> Data
     return per_text(docs, key, "fp long", lambda: lambda ts: [[signed(fingerprint(shingle_hashes(t, shingle))) for t in ts]])
 
 
-def trie_pairs(fp: np.ndarray, group: np.ndarray, budget: int, most: int = 1 << 20, same: np.ndarray | None = None):
+def trie_pairs(fp: np.ndarray, group: np.ndarray, budget: int, most: int = 1 << 16, same: np.ndarray | None = None):
     """Yields index arrays (a, b) of pairs in one group within the budget.
 
     With `same`, node pairs that have one and the same label throughout are dropped as well.

@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexloom.llm.base import SUB_CHARS, pieces, stage, sub_batches, text_bytes
+from lexloom.llm.base import pieces, slices, small_batches, stage, text_bytes
 
 SPAN, GRAM = 200, 64
 REACH = SPAN - GRAM + 1  # places of a window's anchor
@@ -88,17 +88,10 @@ def anchors(raw: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, ...]:
     return p, h[p], p - window[np.r_[new[1:], len(at)] - 1], p - window[new]
 
 
-def parts(texts: list[str | None]):
-    """(first, stop, raw, ends) for stretches of texts, encoded one after another."""
+def joined(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+    """The texts' bytes one after another, and where each ends."""
     raws = [(t or "").encode("utf-8", "surrogatepass") for t in texts]
-    for first, stop in sub_batches([len(r) for r in raws], SUB_CHARS):
-        ends = np.cumsum([len(r) for r in raws[first:stop]], dtype=np.int64)
-        raw = np.frombuffer(b"".join(raws[first:stop]), np.uint8)
-        if len(raw) < 1 << 24:
-            yield first, stop, raw, ends
-            continue
-        assert stop - first == 1  # one text of over 16 MB: windows that overlap by SPAN - 1
-        yield first, stop, raw, ends
+    return np.frombuffer(b"".join(raws), np.uint8), np.cumsum([len(r) for r in raws], dtype=np.int64)
 
 
 def text_anchors(raw: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, ...]:
@@ -219,8 +212,8 @@ class LoserTree:
 def _anchor_blobs(batches, buckets: int):
     """(bucket, blob) rows: the anchors' hashes with the text's key and position."""
     for b in batches:
-        keys = b.column(0).to_pylist()
-        for first, stop, raw, ends in parts(b.column(1).to_pylist()):
+        for part in slices(b, 1):
+            keys, (raw, ends) = part.column(0).to_pylist(), joined(part.column(1).to_pylist())
             p, h, _, _ = text_anchors(raw, ends)
             if not len(p):
                 continue
@@ -234,7 +227,7 @@ def _anchor_blobs(batches, buckets: int):
                 at = order[cuts[k] : cuts[k + 1]]
                 if len(at):
                     used, index = np.unique(text[at], return_inverse=True)
-                    rows.append((k, h[at].tobytes(), index.astype("<u4").tobytes(), place[at].astype("<u4").tobytes(), b"".join(keys[first + t] for t in used)))
+                    rows.append((k, h[at].tobytes(), index.astype("<u4").tobytes(), place[at].astype("<u4").tobytes(), b"".join(keys[t] for t in used)))
             columns = list(zip(*rows))
             yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int32()), *(pa.array(c, pa.binary()) for c in columns[1:])], names=["bucket", "h", "t", "p", "keys"])
 
@@ -270,16 +263,16 @@ def _run_blobs(batches, buckets: int):
     (bucket -1) and one of them goes on without a return address.
     """
     for b in batches:
-        keys, marks = b.column(0).to_pylist(), b.column(2).to_pylist()
-        for first, stop, raw, ends in parts(b.column(1).to_pylist()):
+        for part in slices(b, 1):
+            keys, (raw, ends), marks = part.column(0).to_pylist(), joined(part.column(1).to_pylist()), part.column(2).to_pylist()
             p, h, least, most = text_anchors(raw, ends)
             text = np.searchsorted(ends, p, "right")
             starts = np.r_[0, ends]
-            wanted = np.concatenate([np.zeros(0, np.int64), *(np.frombuffer(m, "<u4").astype(np.int64) + starts[i] for i, m in enumerate(x for x in marks[first:stop]))])
+            wanted = np.concatenate([np.zeros(0, np.int64), *(np.frombuffer(m, "<u4").astype(np.int64) + starts[i] for i, m in enumerate(marks))])
             keep = np.isin(p, wanted)
             p, h, least, most, text = (x[keep] for x in (p, h, least, most, text))
             for a in range(0, len(p), 20_000):
-                yield from _runs(raw, starts, keys[first:stop], *(x[a : a + 20_000] for x in (p, h, least, most, text)), buckets)
+                yield from _runs(raw, starts, keys, *(x[a : a + 20_000] for x in (p, h, least, most, text)), buckets)
 
 
 def _runs(raw, starts, keys, p, h, least, most, text, buckets):
@@ -429,6 +422,7 @@ def _kept(docs: DataFrame, make_rows, ddl: str) -> DataFrame:
     from pyspark.sql import types as T
     from pyspark.sql.pandas.types import to_arrow_type
 
+    small_batches(docs.sparkSession)
     _, size = text_bytes(docs)
     texts = distinct_texts(docs)
     spans = repeated_spans(texts, size).groupBy("dk").agg(F.collect_list("spans").alias("spans"))
@@ -436,7 +430,7 @@ def _kept(docs: DataFrame, make_rows, ddl: str) -> DataFrame:
     names = T.StructType.fromDDL(ddl).names
 
     def run(batches):
-        for b in batches:
+        for b in (part for whole in batches for part in slices(whole, 1)):
             rows = []
             for text, copies, found in zip(*(b.column(i).to_pylist() for i in (1, 2, 3))):
                 raw = text.encode("utf-8", "surrogatepass")
