@@ -20,7 +20,8 @@ def byte_bpe():
     import public_tokenizers
 
     path, ranks, pattern = tokenizer_path("byte_bpe_50k.json"), tokenizer_path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
-    return lambda: packing.load_tokenizer(path, ranks, pattern)
+    special = packing.special_strings(path)
+    return lambda: packing.load_tokenizer(path, ranks, pattern, special)
 
 
 def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -14,6 +14,7 @@ Pieces that agree in all columns are interchangeable. Extra columns are ignored.
 from __future__ import annotations
 
 import base64
+import functools
 import zlib
 from bisect import bisect_left, insort
 
@@ -31,28 +32,37 @@ ISLANDS, EPOCHS, POPULATION, GENERATIONS = 2, 2, 4, 3
 BIN_SPACE = 1 << 32  # sequence ids of a shard
 
 
-def load_tokenizer(path: str, ranks_path: str | None = None, pattern: str | None = None):
-    """texts -> id lists, as `tokenizers` gives them without added special tokens.
+def special_strings(path: str) -> tuple[str, ...]:
+    """The strings that `tokenizers` maps to special tokens wherever a text has them."""
+    from tokenizers import Tokenizer
+
+    return tuple(t.content for t in Tokenizer.from_file(path).get_added_tokens_decoder().values())
+
+
+@functools.lru_cache(2)
+def load_tokenizer(path: str, ranks_path: str | None = None, pattern: str | None = None, special: tuple[str, ...] = ()):
+    """texts -> id lists, as `tokenizers` gives them without added special tokens; one a worker.
 
     With the same vocabulary as tiktoken ranks, tiktoken does the work; texts that hold a
-    special token's string, which `tokenizers` maps to its id, go to `tokenizers`.
+    special string go to `tokenizers`, which is loaded when the first such text comes.
     """
-    from tokenizers import Tokenizer
 
-    slow = Tokenizer.from_file(path)
+    @functools.cache
+    def slow():
+        from tokenizers import Tokenizer
+
+        return Tokenizer.from_file(path)
+
     if not ranks_path:
-        return lambda texts: [x.ids for x in slow.encode_batch_fast(texts, add_special_tokens=False)]
+        return lambda texts: [x.ids for x in slow().encode_batch_fast(texts, add_special_tokens=False)]
     import tiktoken
 
     with open(ranks_path, "rb") as f:
         ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
     fast = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
-    special = [t.content for t in slow.get_added_tokens_decoder().values()]
 
     def encode(texts):
-        return [
-            slow.encode(t, add_special_tokens=False).ids if any(s in t for s in special) else fast.encode_ordinary(t) for t in texts
-        ]
+        return [slow().encode(t, add_special_tokens=False).ids if any(s in t for s in special) else fast.encode_ordinary(t) for t in texts]
 
     return encode
 
