@@ -23,7 +23,7 @@ from lexloom.llm.base import ascii_lower, stage
 RULES = (
     ("block", "net", "/"),
     ("allow", "example.net", "/en/"),
-    ("block", "example.com", "/de"),
+    ("block", "example.com", "/de/"),
     ("allow", "org", "/fr/"),
 )
 #: Index 0 pads the start, 1 marks the end, the last stands for any other character.

@@ -393,6 +393,22 @@ def test_urls_against_brute_force(spark):
 # --- licences
 
 
+def test_url_rules_as_stated(spark):
+    """Written out, not read from the module: each rule, its subdomains, and paths that only resemble it."""
+    stated = {
+        "http://a.net/x": "net/", "http://net/": "net/", "http://example.net/en/a": "example.net/en/", "http://www.example.net/en/": "example.net/en/",
+        "http://example.net/en": "net/", "http://example.com/de/": "example.com/de/", "http://q.example.com/de/x": "example.com/de/",
+        "http://example.com/de": None, "http://example.com/dex": None, "http://badexample.com/de/": None, "http://a.org/fr/": "org/fr/", "http://a.org/fr": None,
+        "http://a.net": None,
+    }
+    verdicts = {"net/": "block", "example.net/en/": "allow", "example.com/de/": "block", "org/fr/": "allow"}
+    names = list(stated)
+    got = {names[r.page_id]: r for r in urls.filter_urls(spark.createDataFrame(list(enumerate(names)), "page_id long, url string")).collect()}
+    for u, rule in stated.items():
+        assert got[u].rule == rule, u
+        assert rule is None or got[u].verdict == verdicts[rule]
+
+
 def test_licenses_against_brute_force(spark):
     rng = random.Random(3)
     vocabulary = "gnu general public license apache cc by mit the a permission of".split()
