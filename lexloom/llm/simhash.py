@@ -10,7 +10,9 @@ forest, not its pairs. Components are contracted by alternating star operations
 
 `near_groups` with a similarity (for shingle sets whose SimHash distance varies) takes groups
 from min-hash bands instead and checks each link that the trie join proposes by the exact
-Jaccard similarity of the shingle sets.
+Jaccard similarity of the shingle sets. A band value of over CROWD texts is dealt in chunks that
+share some pivots; what they leave outside its largest component is then compared with all its
+chunks, block by block, so a task's memory doesn't grow with the group and no link is lost.
 
 Null and wordless texts have fingerprint zero, linked like any other; texts shorter than a
 shingle are one shingle. Null keys take part and get the component's smallest non-null key
@@ -29,6 +31,7 @@ from lexloom.llm.base import per_text, pieces, stage
 
 HOT = 20_000  # fingerprints of a block value that are dealt again
 GROUP = 50_000  # fingerprints that one task joins
+CROWD, PIVOTS = 1_000, 8  # texts of a band value that one chunk holds, and those that all its chunks share
 BANDS, ROWS = 8, 2  # min-hash bands of the variant with a similarity
 _SALT = np.array([0x9E3779B97F4A7C15 * (2 * i + 1) % 2**64 for i in range(BANDS * ROWS)], np.uint64)
 
@@ -189,11 +192,11 @@ def components(links: DataFrame) -> DataFrame:
 
 
 def _label(prints: DataFrame, roots: DataFrame, key: str, node: str) -> DataFrame:
-    """prints with component_id: the smallest key of each component."""
+    """prints with root and component_id: a node that names each component, and its smallest key."""
     distinct = prints.groupBy(node).agg(F.min(key).alias("least"))
     rooted = distinct.join(roots.select(F.col("node").alias(node), "root"), node, "left").withColumn("root", F.coalesce("root", node))
     least = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    return prints.join(rooted.join(least, "root").select(node, "component_id"), node)
+    return prints.join(rooted.join(least, "root").select(node, "root", "component_id"), node)
 
 
 def simhash_groups(docs: DataFrame, key: str = "doc_id", shingle: int = 3, budget: int = 2) -> DataFrame:
@@ -219,15 +222,19 @@ def _signature(hashes: np.ndarray) -> list[int]:
     return out
 
 
-def jaccard_links(fp: np.ndarray, group: np.ndarray, node: np.ndarray, held: list, similarity: float, budget: int) -> list[tuple]:
+def jaccard_links(fp: np.ndarray, group: np.ndarray, node: np.ndarray, held: list, similarity: float, budget: int, label: np.ndarray | None = None, side: np.ndarray | None = None) -> list[tuple]:
     """A forest (node, node) of the pairs in one group whose hash sets are similar enough.
 
     First each group's pivots collect what is like them, which joins large groups of copies in
-    one pass; then the trie join proposes pairs that aren't connected yet.
+    one pass; then the trie join proposes pairs that aren't connected yet. With labels, rows of
+    one label are connected already and only pairs of different sides are compared.
     """
     order = np.lexsort((node, fp, group))
     fp, group, node, held = fp[order], group[order], node[order], [held[i] for i in order]
     forest, out = Forest(len(fp)), []
+    if label is not None:
+        _, at, inverse = np.unique(label[order], return_index=True, return_inverse=True)
+        forest.root, side = at[inverse], side[order]
 
     def check(i: int, j: int) -> bool:
         a, b = np.frombuffer(held[i], "<u8"), np.frombuffer(held[j], "<u8")
@@ -242,7 +249,7 @@ def jaccard_links(fp: np.ndarray, group: np.ndarray, node: np.ndarray, held: lis
     starts = np.flatnonzero(np.r_[True, group[1:] != group[:-1]])
     for lo, hi in zip(starts, np.r_[starts[1:], len(fp)]):
         left = np.arange(lo, hi)
-        for _ in range(8):  # pivots; whatever they leave is for the trie join
+        for _ in range(PIVOTS if label is None else 0):  # pivots; whatever they leave is for the trie join
             if len(left) < 2:
                 break
             pivot, rest = left[len(left) // 2], np.delete(left, len(left) // 2)
@@ -256,8 +263,11 @@ def jaccard_links(fp: np.ndarray, group: np.ndarray, node: np.ndarray, held: lis
     def join(one: range, two: range) -> None:
         """Check the pairs that aren't connected yet."""
         for i in one:
-            apart = np.flatnonzero(forest.root[two.start : min(two.stop, i) if one == two else two.stop] != forest.root[i])
-            for j in (apart + two.start).tolist():
+            stop = min(two.stop, i) if one == two else two.stop
+            apart = forest.root[two.start : stop] != forest.root[i]
+            if side is not None:
+                apart &= side[two.start : stop] != side[i]
+            for j in (np.flatnonzero(apart) + two.start).tolist():
                 if forest.root[i] != forest.root[j] and check(i, j):
                     forest.add(np.array([i]), np.array([j]))
 
@@ -274,7 +284,7 @@ def jaccard_links(fp: np.ndarray, group: np.ndarray, node: np.ndarray, held: lis
 
 
 def near_groups(docs: DataFrame, key: str = "doc_id", shingle: int = 5, similarity: float = 0.8, budget: int = 20) -> DataFrame:
-    """(key, node, component_id): groups of texts linked by Jaccard >= similarity of their shingle sets.
+    """(key, node, root, component_id): groups of texts linked by Jaccard >= similarity of their shingle sets.
 
     node is the XXH64 of the text: equal texts are one node. Two texts at the similarity agree
     on a band with probability 1 - (1 - s**ROWS)**BANDS (0.9997 at 0.8), and their fingerprints
@@ -285,9 +295,8 @@ def near_groups(docs: DataFrame, key: str = "doc_id", shingle: int = 5, similari
     prints = stage(per_text(noded.select(F.struct(key, "node").alias("k"), "text"), "k", "bands array<long>", lambda: lambda ts: [[_signature(shingle_hashes(t, shingle)) for t in ts]])
                    .select(F.col(f"k.{key}").alias(key), "k.node", "bands"), "nodes")
     keyed = prints.groupBy("node").agg(F.first("bands").alias("bands")).select("node", F.explode("bands").alias("g"))
-    shared = keyed.groupBy("g").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("g")
-    wanted = stage(keyed.join(shared, "g").select("node", "g"), "bands")
-    total = wanted.count()
+    shared = keyed.groupBy("g").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("g", F.ceil(F.col("n") / CROWD).cast("int").alias("parts"))
+    wanted = stage(keyed.join(shared, "g").select("node", "g", "parts"), "bands")
 
     def make():
         def work(ts):
@@ -296,24 +305,61 @@ def near_groups(docs: DataFrame, key: str = "doc_id", shingle: int = 5, similari
 
         return work
 
-    chosen = texts.join(wanted.select("node").distinct(), "node", "left_semi").groupBy("node").agg(F.first("text").alias("text"))
-    rows = wanted.join(per_text(chosen, "node", "hashes binary, fp long", make), "node")
-
-    def join(pdf: pd.DataFrame) -> pd.DataFrame:
-        out = jaccard_links(pdf["fp"].to_numpy().view(np.uint64), pdf["g"].to_numpy(), pdf["node"].to_numpy(), list(pdf["hashes"]), similarity, budget)
-        return pd.DataFrame(out, columns=["u", "v"], dtype="int64")
-
-    links = rows.groupBy(F.pmod("g", F.lit(pieces(total, 4_000))).alias("bucket")).applyInPandas(lambda pdf: join(pdf), "u long, v long")
-    return _label(prints.select(key, "node"), components(links), key, "node")
+    def linked(rows: DataFrame, sided: bool) -> DataFrame:
+        """(u, v) of the links in rows(node, g), or those across in rows(node, g, root, side)."""
+        rows = stage(rows, "dealt")
+        chosen = texts.join(rows.select("node").distinct(), "node", "left_semi").groupBy("node").agg(F.first("text").alias("text"))
+
+        def join(pdf: pd.DataFrame) -> pd.DataFrame:
+            known = (pdf["root"].to_numpy(), pdf["side"].to_numpy()) if sided else ()
+            out = jaccard_links(pdf["fp"].to_numpy().view(np.uint64), pdf["g"].to_numpy(), pdf["node"].to_numpy(), list(pdf["hashes"]), similarity, budget, *known)
+            return pd.DataFrame(out, columns=["u", "v"], dtype="int64")
+
+        whole = rows.join(per_text(chosen, "node", "hashes binary, fp long", make), "node")
+        return whole.groupBy(F.pmod("g", F.lit(pieces(rows.count(), 4_000))).alias("bucket")).applyInPandas(lambda pdf: join(pdf), "u long, v long")
+
+    chunk = F.pmod(F.xxhash64("node", F.lit("chunk")), "parts").cast("int")
+    crowds = wanted.where("parts > 1")
+    pivots = crowds.groupBy("g", "parts", F.pmod(F.xxhash64("node", F.lit("pivot")), F.lit(PIVOTS)).alias("s")).agg(F.min("node").alias("node"))
+    shown = pivots.select("node", "g", chunk.alias("own"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("chunk")).where("own != chunk")
+    dealt = (
+        wanted.where("parts = 1").select("node", "g")
+        .unionAll(crowds.select("node", F.xxhash64("g", chunk))).unionAll(shown.select("node", F.xxhash64("g", "chunk")))
+    )
+    links = stage(linked(dealt, False), "near-links")
+    roots = components(links)
+    open_rows = _open_crowds(crowds, roots, chunk)
+    if not open_rows.isEmpty():
+        roots = components(links.unionAll(linked(open_rows, True)))
+    return _label(prints.select(key, "node"), roots, key, "node")
+
+
+def _open_crowds(crowds: DataFrame, roots: DataFrame, chunk: Column) -> DataFrame:
+    """(node, g, root, side): each crowd that isn't one component yet, in blocks.
+
+    Side 1 has the nodes outside the crowd's largest component, side 0 all its nodes; every
+    chunk of the one meets every chunk of the other in one group g.
+    """
+    known = crowds.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    per = known.groupBy("g", "root").agg(F.count(F.lit(1)).alias("n"))
+    still = per.groupBy("g").agg(F.max_by("root", F.struct("n", "root")).alias("main"), (F.sum("n") - F.max("n")).alias("rest")).where("rest > 0")
+    marked = stage(known.join(still, "g").select("node", "g", "parts", "root", "main", F.ceil(F.col("rest") / CROWD).cast("int").alias("rests")), "open")
+    own = F.pmod(F.xxhash64("node", F.lit("rest")), "rests").cast("int")
+    to = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    every = marked.select("node", "g", "root", chunk.alias("c"), to("rests").alias("r"), F.lit(0).alias("side"))
+    rest = marked.where("root != main").select("node", "g", "root", to("parts").alias("c"), own.alias("r"), F.lit(1).alias("side"))
+    return every.unionAll(rest).select("node", F.xxhash64("g", "c", "r").alias("g"), "root", "side")
 
 
 def keep_one(docs: DataFrame, key: str = "doc_id") -> DataFrame:
     """docs without all but one document of each near-duplicate group: the one with the smallest key stays.
 
-    Rows that repeat the kept one's key and text, and further texts under that key, go too.
+    A null key comes after all others. Rows that repeat the kept one's key and text go too;
+    texts of different groups stay even under one key or none.
     """
     named = near_groups(docs, key)
-    keep = named.where(F.col(key).eqNullSafe(F.col("component_id"))).groupBy("component_id").agg(F.min("node").alias("node"), F.min(key).alias("keep"))
+    least = F.min(F.struct(F.col(key).isNull().alias("last"), F.col(key).alias("keep"), "node")).alias("x")
+    keep = named.groupBy("root").agg(least).select("x.node", "x.keep")
     marked = docs.withColumn("_node", F.xxhash64(F.coalesce("text", F.lit(""))))
-    kept = marked.join(keep.select("node", "keep").distinct(), (F.col("_node") == F.col("node")) & F.col(key).eqNullSafe(F.col("keep")), "left_semi")
+    kept = marked.join(keep, (F.col("_node") == F.col("node")) & F.col(key).eqNullSafe(F.col("keep")), "left_semi")
     return kept.dropDuplicates(["_node", key]).select(*docs.columns)

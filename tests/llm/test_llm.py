@@ -300,6 +300,60 @@ def test_near_copies_by_similarity(spark):
     assert simhash.keep_one(df.unionAll(df)).count() == len(set(root)) and simhash.keep_one(df.limit(0)).count() == 0
 
 
+def drifting(rng, n: int, length: int = 220) -> list[str]:
+    """Texts that each differ a little from the one before, so that the first and the last have little in common."""
+    t, out = words(rng, length).split(), []
+    for i in range(n):
+        out.append(" ".join(t))
+        t[(7 * i) % length] = t[(7 * i + 90) % length] = f"new{i}"
+    return out
+
+
+def test_crowded_bands_lose_no_link(spark, monkeypatch):
+    """Chunks, pivots and blocks give what one task gives: chains through a crowd stay whole."""
+    rng = random.Random(4)
+    texts = [t for _ in range(3) for t in drifting(rng, 40)] + [words(rng, 60)] * 3
+    passage = words(rng, 150)
+    for i in range(6):  # groups that share bands by a passage, but are apart
+        own = words(rng, 50)
+        texts += [f"{passage} {own} copy{i} {j}" for j in range(5)]
+    df = docs_of(spark, texts).withColumn("doc_id", F.col("score").cast("long"))
+
+    def shingles(t):
+        w = t.split()
+        return {tuple(w[i : i + 5]) for i in range(len(w) - 4)}
+
+    s = [shingles(t.lower()) for t in texts]
+    root = dict(enumerate(groups(len(texts), lambda a, b: len(s[a] & s[b]) >= 0.8 * len(s[a] | s[b]))))
+    whole = {r.doc_id: r.component_id for r in simhash.near_groups(df).collect()}
+    sided = []
+    opened = simhash._open_crowds
+    monkeypatch.setattr(simhash, "_open_crowds", lambda *x: sided.append(opened(*x)) or sided[-1])
+    monkeypatch.setattr(simhash, "CROWD", 3)
+    assert whole == root == {r.doc_id: r.component_id for r in simhash.near_groups(df).collect()}
+    assert sided[0].count() > 0  # some crowd needed the second step
+
+
+def test_links_across_sides():
+    """With labels, only open pairs of different sides are checked."""
+    one, two, three = (np.array(x, "<u8").tobytes() for x in ([1, 2, 3, 4, 5], [1, 2, 3, 4, 5, 6], [50, 51]))
+    fp, g = np.array([1, 1, 3, 1], np.uint64), np.zeros(4, np.int64)
+    node, held = np.array([10, 11, 12, 13]), [one, two, three, one]
+    links = lambda label, side: simhash.jaccard_links(fp, g, node, held, 0.8, 2, np.array(label), np.array(side))
+    assert links([1, 2, 3, 1], [0, 0, 0, 0]) == []
+    assert {frozenset(x) for x in links([1, 2, 3, 1], [0, 1, 1, 0])} <= {frozenset((10, 11)), frozenset((13, 11))}
+    assert len(links([1, 2, 3, 1], [0, 1, 1, 0])) == 1
+    assert links([1, 1, 3, 1], [0, 1, 1, 0]) == []
+
+
+def test_keep_one_without_keys(spark):
+    """Components of null or repeated keys aren't taken for one another."""
+    rng = random.Random(2)
+    a, b, c = (words(rng, 50) for _ in range(3))
+    df = spark.createDataFrame([(None, a), (None, b), (None, a), (5, c), (5, a + " tail"), (6, c)], "doc_id long, text string")
+    assert sorted((r.doc_id or 0, r.text) for r in simhash.keep_one(df).collect()) == sorted([(0, b), (5, c), (5, a + " tail")])
+
+
 # --- media
 
 
