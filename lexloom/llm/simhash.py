@@ -227,7 +227,8 @@ def jaccard_links(fp: np.ndarray, group: np.ndarray, node: np.ndarray, held: lis
 
     First each group's pivots collect what is like them, which joins large groups of copies in
     one pass; then the trie join proposes pairs that aren't connected yet. With labels, rows of
-    one label are connected already and only pairs of different sides are compared.
+    one label are connected already, and only rows of side 1 are compared with those of other
+    sides; with side 2 if their node is the smaller one.
     """
     order = np.lexsort((node, fp, group))
     fp, group, node, held = fp[order], group[order], node[order], [held[i] for i in order]
@@ -266,7 +267,9 @@ def jaccard_links(fp: np.ndarray, group: np.ndarray, node: np.ndarray, held: lis
             stop = min(two.stop, i) if one == two else two.stop
             apart = forest.root[two.start : stop] != forest.root[i]
             if side is not None:
-                apart &= side[two.start : stop] != side[i]
+                other, nodes = side[two.start : stop], node[two.start : stop]
+                once = np.where(other == 1, nodes < node[i], node[i] < nodes) | ((other < 2) & (side[i] < 2))
+                apart &= ((other == 1) ^ (side[i] == 1)) & once
             for j in (np.flatnonzero(apart) + two.start).tolist():
                 if forest.root[i] != forest.root[j] and check(i, j):
                     forest.add(np.array([i]), np.array([j]))
@@ -337,8 +340,9 @@ def near_groups(docs: DataFrame, key: str = "doc_id", shingle: int = 5, similari
 def _open_crowds(crowds: DataFrame, roots: DataFrame, chunk: Column) -> DataFrame:
     """(node, g, root, side): each crowd that isn't one component yet, in blocks.
 
-    Side 1 has the nodes outside the crowd's largest component, side 0 all its nodes; every
-    chunk of the one meets every chunk of the other in one group g.
+    Side 1 has the nodes outside the crowd's largest component, side 0 those in it and side 2
+    those outside once more. Every block of side 1 meets every chunk but its nodes' own in one
+    group g: pairs within a chunk have been compared.
     """
     known = crowds.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     per = known.groupBy("g", "root").agg(F.count(F.lit(1)).alias("n"))
@@ -346,8 +350,9 @@ def _open_crowds(crowds: DataFrame, roots: DataFrame, chunk: Column) -> DataFram
     marked = stage(known.join(still, "g").select("node", "g", "parts", "root", "main", F.ceil(F.col("rest") / CROWD).cast("int").alias("rests")), "open")
     own = F.pmod(F.xxhash64("node", F.lit("rest")), "rests").cast("int")
     to = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    every = marked.select("node", "g", "root", chunk.alias("c"), to("rests").alias("r"), F.lit(0).alias("side"))
-    rest = marked.where("root != main").select("node", "g", "root", to("parts").alias("c"), own.alias("r"), F.lit(1).alias("side"))
+    every = marked.select("node", "g", "root", chunk.alias("c"), to("rests").alias("r"), F.when(F.col("root") == F.col("main"), 0).otherwise(2).alias("side"))
+    rest = marked.where("root != main").select("node", "g", "root", chunk.alias("mine"), to("parts").alias("c"), own.alias("r"), F.lit(1).alias("side"))
+    rest = rest.where("c != mine").drop("mine")
     return every.unionAll(rest).select("node", F.xxhash64("g", "c", "r").alias("g"), "root", "side")
 
 

@@ -344,6 +344,8 @@ def test_links_across_sides():
     assert {frozenset(x) for x in links([1, 2, 3, 1], [0, 1, 1, 0])} <= {frozenset((10, 11)), frozenset((13, 11))}
     assert len(links([1, 2, 3, 1], [0, 1, 1, 0])) == 1
     assert links([1, 1, 3, 1], [0, 1, 1, 0]) == []
+    assert links([1, 2, 3, 1], [2, 1, 1, 0]) == [(11, 13)] or links([1, 2, 3, 1], [2, 1, 1, 0]) == [(13, 11)]  # 10 < 11
+    assert len(links([1, 2, 3, 4], [1, 2, 1, 2])) == 2
 
 
 def test_keep_one_without_keys(spark):
