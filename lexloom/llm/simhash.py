@@ -32,6 +32,8 @@ from lexloom.llm.base import per_text, pieces, stage
 HOT = 20_000  # fingerprints of a block value that are dealt again
 GROUP = 50_000  # fingerprints that one task joins
 CROWD, PIVOTS = 1_000, 8  # texts of a band value that one chunk holds, and those that all its chunks share
+LARGE = 64  # rows of a group that is given to pivots first
+WORDS = 1 << 22  # 64-bit words that the shared hashes of one group may take
 BANDS, ROWS = 8, 2  # min-hash bands of the variant with a similarity
 _SALT = np.array([0x9E3779B97F4A7C15 * (2 * i + 1) % 2**64 for i in range(BANDS * ROWS)], np.uint64)
 
@@ -66,8 +68,8 @@ def fingerprints(docs: DataFrame, key: str = "doc_id", shingle: int = 3) -> Data
 def trie_pairs(fp: np.ndarray, group: np.ndarray, budget: int, most: int = 1 << 16, same: np.ndarray | None = None):
     """Yields index arrays (a, b) of pairs in one group within the budget.
 
-    With `same`, node pairs that have one and the same label throughout are dropped as well.
-    fp is sorted in each group without repeats, groups are contiguous. At most about `most`
+    With `same`, node pairs that have one and the same label throughout are dropped as well. Two
+    nodes of one fingerprint each are decided at once by their remaining bits. fp is sorted in each group without repeats, groups are contiguous. At most about `most`
     node pairs are expanded at a time; the others wait on a stack.
     """
     if len(fp) < 2:
@@ -110,7 +112,13 @@ def trie_pairs(fp: np.ndarray, group: np.ndarray, budget: int, most: int = 1 <<
             n = [x[flat] for x in n]
             alike = (same[n[0]] == same[n[2]]) & (turns[n[1] - 1] == turns[n[0]]) & (turns[n[3] - 1] == turns[n[2]])
             n = [x[~alike] for x in n]
-        full = (n[1] > n[0]) & (n[3] > n[2]) & ~((n[0] == n[2]) & (n[1] - n[0] < 2))
+        leaf = (n[1] - n[0] == 1) & (n[3] - n[2] == 1) & (n[0] != n[2])
+        if leaf.any():
+            a, b = n[0][leaf], n[2][leaf]
+            near = np.bitwise_count(fp[a] ^ fp[b]) <= budget
+            if near.any():
+                yield a[near], b[near]
+        full = (n[1] > n[0]) & (n[3] > n[2]) & ~leaf & ~((n[0] == n[2]) & (n[1] - n[0] < 2))
         stack.append((bit - 1, *(x[full] for x in n)))
 
 
@@ -120,14 +128,20 @@ class Forest:
     def __init__(self, n: int):
         self.root = np.arange(n)
 
-    def add(self, a: np.ndarray, b: np.ndarray) -> None:
+    def add(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Join the ends of each link; which links did so: a forest. A root is its tree's smallest row."""
+        place, used = np.arange(len(a)), []
         while True:
             ra, rb = self.root[a], self.root[b]
             apart = ra != rb
             if not apart.any():
-                return
-            a, b, ra, rb = a[apart], b[apart], ra[apart], rb[apart]
-            np.minimum.at(self.root, np.maximum(ra, rb), np.minimum(ra, rb))
+                return np.concatenate(used) if used else place[:0]
+            a, b, place = a[apart], b[apart], place[apart]
+            high, low = np.maximum(ra[apart], rb[apart]), np.minimum(ra[apart], rb[apart])
+            order = np.lexsort((low, high))
+            one = order[np.r_[True, high[order][1:] != high[order][:-1]]]  # each root goes to its lowest neighbour
+            self.root[high[one]] = low[one]
+            used.append(place[one])
             while (up := self.root[self.root] != self.root).any():
                 self.root[up] = self.root[self.root[up]]
 
@@ -222,67 +236,118 @@ def _signature(hashes: np.ndarray) -> list[int]:
     return out
 
 
+class Sets:
+    """Hash sets of rows, for intersections within a group: bits over what the group's rows share.
+
+    Hashes that only one row of a group has are left out, so a group of near copies needs few
+    words a row. A group whose bits would take over WORDS is intersected pair by pair.
+    """
+
+    def __init__(self, group: np.ndarray, held: list):
+        self.held = [np.frombuffer(x, "<u8") for x in held]
+        self.length = np.array([len(x) for x in self.held], np.int64)
+        turn = np.r_[True, group[1:] != group[:-1]] if len(group) else np.zeros(0, bool)
+        number = np.cumsum(turn) - 1
+        row = np.repeat(np.arange(len(group)), self.length)
+        values = np.concatenate(self.held) if len(row) else np.zeros(0, np.uint64)
+        order = np.lexsort((values, number[row]))
+        row, values = row[order], values[order]
+        own = number[row]
+        new = np.r_[True, (own[1:] != own[:-1]) | (values[1:] != values[:-1])][: len(row)]
+        shared = np.diff(np.r_[np.flatnonzero(new), len(row)]) > 1  # of each distinct hash of a group
+        groups = int(turn.sum())
+        each = np.bincount(own[new][shared], minlength=groups)
+        width = (each + 63) // 64
+        dense = width * np.bincount(number, minlength=groups) <= WORDS
+        self.dense, self.width = dense[number], (width * dense)[number]
+        self.start = np.r_[0, np.cumsum(self.width)]
+        rank = np.cumsum(shared) - 1 - (np.cumsum(each) - each)[own[new]]
+        which = np.cumsum(new) - 1
+        used = shared[which] & dense[own]
+        at, r = row[used], rank[which[used]]
+        self.bits = np.zeros(self.start[-1], np.uint64)
+        np.bitwise_or.at(self.bits, self.start[at] + (r >> 6), np.uint64(1) << (r & 63).astype(np.uint64))
+
+    def common(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Sizes of the intersections of rows a and b, pair by pair of one group each."""
+        out, w = np.zeros(len(a), np.int64), self.width[a]
+        ends = np.cumsum(w)
+        cuts = np.searchsorted(ends, np.arange(1 << 18, ends[-1] if len(w) else 0, 1 << 18)).tolist()
+        for lo, hi in zip([0, *cuts], [*cuts, len(w)]):
+            n = w[lo:hi]
+            step = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+            both = self.bits[np.repeat(self.start[a[lo:hi]], n) + step] & self.bits[np.repeat(self.start[b[lo:hi]], n) + step]
+            out[lo:hi] = np.bincount(np.repeat(np.arange(hi - lo), n), np.bitwise_count(both), hi - lo).astype(np.int64)
+        for i in np.flatnonzero(~self.dense[a]).tolist():
+            out[i] = len(np.intersect1d(self.held[a[i]], self.held[b[i]], assume_unique=True))
+        return out
+
+    def similar(self, a: np.ndarray, b: np.ndarray, similarity: float) -> np.ndarray:
+        """Whether the Jaccard similarity is at least `similarity`; two empty sets are equal."""
+        x, y = self.length[a], self.length[b]
+        good = similarity * np.maximum(x, y) <= np.minimum(x, y)
+        common = self.common(a[good], b[good])
+        good[good] = common >= similarity * (x[good] + y[good] - common)
+        return good
+
+
+def _crossed(a: np.ndarray, b: np.ndarray, first: np.ndarray, last: np.ndarray, most: int = 1 << 16):
+    """Yields row pairs of the pairs of ranges a and b, about `most` at a time; within one range each pair once."""
+    tall, wide = last[a] - first[a], last[b] - first[b]
+    ends = np.cumsum(tall * wide)
+    for lo in range(0, int(ends[-1]) if len(ends) else 0, most):
+        flat = np.arange(lo, min(lo + most, int(ends[-1])))
+        p = np.searchsorted(ends, flat, "right")
+        i, j = np.divmod(flat - (ends[p] - tall[p] * wide[p]), wide[p])
+        once = (a[p] != b[p]) | (i < j)
+        yield (first[a[p]] + i)[once], (first[b[p]] + j)[once]
+
+
 def jaccard_links(fp: np.ndarray, group: np.ndarray, node: np.ndarray, held: list, similarity: float, budget: int, label: np.ndarray | None = None, side: np.ndarray | None = None) -> list[tuple]:
     """A forest (node, node) of the pairs in one group whose hash sets are similar enough.
 
-    First each group's pivots collect what is like them, which joins large groups of copies in
-    one pass; then the trie join proposes pairs that aren't connected yet. With labels, rows of
-    one label are connected already, and only rows of side 1 are compared with those of other
-    sides; with side 2 if their node is the smaller one.
+    First the pivots of each large group collect what is like them; then the trie join proposes
+    pairs, and those that aren't connected yet are checked. With labels, rows of one label are
+    connected already, and only rows of side 1 are compared with those of other sides; with
+    side 2 if their node is the smaller one.
     """
     order = np.lexsort((node, fp, group))
     fp, group, node, held = fp[order], group[order], node[order], [held[i] for i in order]
-    forest, out = Forest(len(fp)), []
+    forest, sets, out = Forest(len(fp)), Sets(group, held), []
     if label is not None:
         _, at, inverse = np.unique(label[order], return_index=True, return_inverse=True)
         forest.root, side = at[inverse], side[order]
 
-    def check(i: int, j: int) -> bool:
-        a, b = np.frombuffer(held[i], "<u8"), np.frombuffer(held[j], "<u8")
-        if similarity * max(len(a), len(b)) > min(len(a), len(b)):
-            return False
-        common = len(np.intersect1d(a, b, assume_unique=True))
-        if common < similarity * (len(a) + len(b) - common):
-            return False
-        out.append((node[i], node[j]))
-        return True
+    def link(a: np.ndarray, b: np.ndarray) -> None:
+        apart = forest.root[a] != forest.root[b]
+        if side is not None:
+            apart &= ((side[a] == 1) & ((side[b] == 0) | ((side[b] == 2) & (node[a] < node[b])))) | ((side[b] == 1) & ((side[a] == 0) | ((side[a] == 2) & (node[b] < node[a]))))
+        a, b = a[apart], b[apart]
+        if len(a):
+            good = sets.similar(a, b, similarity)
+            a, b = a[good], b[good]
+            used = forest.add(a, b)
+            out.extend(zip(node[a[used]].tolist(), node[b[used]].tolist()))
 
     starts = np.flatnonzero(np.r_[True, group[1:] != group[:-1]])
-    for lo, hi in zip(starts, np.r_[starts[1:], len(fp)]):
-        left = np.arange(lo, hi)
-        for _ in range(PIVOTS if label is None else 0):  # pivots; whatever they leave is for the trie join
-            if len(left) < 2:
-                break
-            pivot, rest = left[len(left) // 2], np.delete(left, len(left) // 2)
-            near = np.bitwise_count(fp[rest] ^ fp[pivot]) <= budget
-            linked = np.array([bool(n) and check(pivot, j) for j, n in zip(rest, near)], bool)
-            forest.add(rest[linked], np.full(linked.sum(), pivot))
-            left = rest[~linked]
+    ends = np.r_[starts[1:], len(fp)]
+    large = (ends - starts > LARGE) & (label is None)
+    for lo, hi in zip(starts[large].tolist(), ends[large].tolist()):
+        for _ in range(PIVOTS):  # whatever they leave is for the trie join
+            left = np.flatnonzero(forest.root[lo:hi] == np.arange(lo, hi)) + lo
+            pivot = left[len(left) // 2]
+            near = left[(np.bitwise_count(fp[left] ^ fp[pivot]) <= budget) & (left != pivot)]
+            link(np.full(len(near), pivot), near)
     first = np.flatnonzero(np.r_[True, (group[1:] != group[:-1]) | (fp[1:] != fp[:-1])])
     last = np.r_[first[1:], len(fp)]
-
-    def join(one: range, two: range) -> None:
-        """Check the pairs that aren't connected yet."""
-        for i in one:
-            stop = min(two.stop, i) if one == two else two.stop
-            apart = forest.root[two.start : stop] != forest.root[i]
-            if side is not None:
-                other, nodes = side[two.start : stop], node[two.start : stop]
-                once = np.where(other == 1, nodes < node[i], node[i] < nodes) | ((other < 2) & (side[i] < 2))
-                apart &= ((other == 1) ^ (side[i] == 1)) & once
-            for j in (np.flatnonzero(apart) + two.start).tolist():
-                if forest.root[i] != forest.root[j] and check(i, j):
-                    forest.add(np.array([i]), np.array([j]))
-
-    ranges = [range(f, e) for f, e in zip(first.tolist(), last.tolist())]
-    for r in ranges:  # different texts with one fingerprint
-        if (forest.root[r.start : r.stop] != forest.root[r.start]).any():
-            join(r, r)
-    uniform = np.array([forest.root[r.start] if (forest.root[r.start : r.stop] == forest.root[r.start]).all() else -1 - r.start for r in ranges])
-    for a, b in trie_pairs(fp[first], group[first], budget, same=uniform):
-        open_pairs = (uniform[a] < 0) | (uniform[b] < 0) | (forest.root[first[a]] != forest.root[first[b]])
-        for x, y in zip(a[open_pairs].tolist(), b[open_pairs].tolist()):
-            join(ranges[x], ranges[y])
+    several = np.flatnonzero(last - first > 1)  # different texts with one fingerprint
+    for a, b in _crossed(several, several, first, last):
+        link(a, b)
+    mixed = np.maximum.reduceat(forest.root, first) != np.minimum.reduceat(forest.root, first)
+    uniform = np.where(mixed, -1 - first, forest.root[first])
+    for x, y in trie_pairs(fp[first], group[first], budget, same=uniform):
+        for a, b in _crossed(x, y, first, last):
+            link(a, b)
     return out
 
 

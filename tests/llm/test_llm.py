@@ -348,6 +348,44 @@ def test_links_across_sides():
     assert len(links([1, 2, 3, 4], [1, 2, 1, 2])) == 2
 
 
+@pytest.mark.parametrize("most", [1 << 22, 0])
+def test_links_by_bits_and_by_pairs(monkeypatch, most):
+    """Bits over shared hashes give the links that intersections of sets give, in groups of any size, with repeated fingerprints."""
+    monkeypatch.setattr(simhash, "WORDS", most)
+    rng = np.random.default_rng(3)
+    sets, g = [set()] * 3, [0, 0, 1]
+    for k, n in enumerate((1, 2, 30, 150)):
+        base = rng.integers(0, 2**63, 90)
+        for _ in range(n):
+            cut = rng.random(90) < rng.choice([0.02, 0.1, 0.3])
+            sets.append(set(np.where(cut, rng.integers(0, 2**63, 90), base).tolist()))
+            g.append(k)
+    fp = rng.integers(0, 4, len(sets)).astype(np.uint64)  # few fingerprints, all within the budget
+    group, node = np.array(g), np.arange(len(sets)) + 100
+    held = [np.array(sorted(x), "<u8").tobytes() for x in sets]
+    a, b = np.triu_indices(len(sets), 1)
+    inside = group[a] == group[b]
+    a, b = a[inside], b[inside]
+    order = np.lexsort((node, fp, group))
+    place = np.argsort(order)
+    common = simhash.Sets(group[order], [held[i] for i in order]).common(place[a], place[b])
+    assert common.tolist() == [len(sets[x] & sets[y]) for x, y in zip(a, b)]
+    root = groups(len(sets), lambda x, y: g[x] == g[y] and len(sets[x] & sets[y]) >= 0.8 * len(sets[x] | sets[y]))
+    forest = simhash.Forest(len(sets))
+    links = np.array(simhash.jaccard_links(fp, group, node, held, 0.8, 2)) - 100
+    forest.add(links[:, 0], links[:, 1])
+    assert forest.root.tolist() == list(root) and len(links) == len(sets) - len(set(root))
+    assert len(set(root)) > 10
+
+
+def test_trie_pairs_are_all_pairs_within_the_budget():
+    rng = np.random.default_rng(5)
+    fp = np.unique(np.concatenate([c ^ (np.uint64(1) << rng.integers(0, 64, 60).astype(np.uint64)) for c in rng.integers(0, 2**63, 5).astype(np.uint64)]))
+    for budget in (0, 2, 20):
+        got = [tuple(sorted(x)) for a, b in simhash.trie_pairs(fp, np.zeros(len(fp), np.int64), budget, most=50) for x in zip(a.tolist(), b.tolist())]
+        assert sorted(got) == [(i, j) for i in range(len(fp)) for j in range(i + 1, len(fp)) if int(fp[i] ^ fp[j]).bit_count() <= budget]
+
+
 def test_keep_one_without_keys(spark):
     """Components of null or repeated keys aren't taken for one another."""
     rng = random.Random(2)
