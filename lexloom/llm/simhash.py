@@ -376,8 +376,8 @@ def near_groups(docs: DataFrame, key: str = "doc_id", shingle: int = 5, similari
     def linked(rows: DataFrame, sided: bool) -> DataFrame:
         """(u, v) of the links in rows(node, g), or those across in rows(node, g, root, side)."""
         rows = stage(rows, "dealt")
-        once = texts.groupBy("node").agg(F.first("text").alias("text"))  # before the join: copies are merged where they are read
-        chosen = once.join(rows.select("node").distinct(), "node", "left_semi")
+        once = texts.groupBy("node").agg(F.first("text").alias("text"))  # copies are merged where they are read; a semi-join would be moved before that
+        chosen = once.join(rows.select("node").distinct(), "node")
 
         def join(pdf: pd.DataFrame) -> pd.DataFrame:
             known = (pdf["root"].to_numpy(), pdf["side"].to_numpy()) if sided else ()
