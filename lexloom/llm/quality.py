@@ -49,11 +49,10 @@ def statistics(text: str | None) -> list[float]:
     if not w:
         return out + [0.0] * (len(FEATURES) - len(out))
     seen = Counter(words)
-    some = words if w <= 4096 else words[:: w // 2048]  # evenly over the whole text
-    ends = sum(not x[-1].isalnum() for x in some) / len(some)
+    ends = sum(n for x, n in seen.items() if not x[-1].isalnum()) / w
     return out + [
         sum(map(len, words)) / w, math.log1p(max(map(len, words))), len(seen) / w, seen.most_common(1)[0][1] / w,
-        sum(x[0].isupper() for x in some) / len(some), sum(x.isupper() for x in some) / len(some), ends,
+        sum(n for x, n in seen.items() if x[0].isupper()) / w, sum(n for x, n in seen.items() if x.isupper()) / w, ends,
         w / len(lines), 1 - len(set(lines)) / len(lines), sum(map(str.__eq__, words, words[1:])) / w,
     ]
 

@@ -70,6 +70,14 @@ def test_quality_edges(spark):
     assert kept.columns == docs.columns and kept.count() == len(ODD)
 
 
+def test_quality_statistics_take_every_word():
+    """A long text with a period of words has the shares of one period."""
+    for period in ("Ab cd ", "AB cd. Ef gh ", "one Two THREE four! five Six seven EIGHT "):
+        short, long = (dict(zip(quality.FEATURES, quality.statistics(period * n))) for n in (1, 2500))
+        for name in ("capital", "all_caps", "marked"):
+            assert long[name] == pytest.approx(short[name]), (period, name)
+
+
 # --- pieces
 
 
