@@ -136,6 +136,10 @@ def q_merge_cutoff(spark, sf_dir):
     return index.cut_off(short_counts(spark, sf_dir), 5, staged)
 
 
+def q_merge_cutoff_whole(spark, sf_dir):
+    return index.cut_off(counts(spark, sf_dir), 5, staged)
+
+
 def q_find_anagrams(spark, sf_dir):
     return search.find_anagrams(phrases(spark, sf_dir), "ehrt")
 
@@ -202,6 +206,7 @@ QUERIES = {
     "dump_index": lambda spark, sf_dir: index.dump(counts(spark, sf_dir)),
     "merge_sources": q_merge_sources,
     "merge_cutoff": q_merge_cutoff,
+    "merge_cutoff_whole": q_merge_cutoff_whole,
     **{name: expression(expr) for name, (expr, _) in EXPRESSIONS.items()},
     "find_anagrams": q_find_anagrams,
     "find_phone_words": q_find_phone_words,

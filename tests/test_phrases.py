@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from lexloom.functions import markup, normalize
 from lexloom.functions.symbols import END, PB
 from lexloom.operators import index, rank, search
-from lexloom.plans import automaton, build
+from lexloom.plans import automaton, build, queries
 from lexloom.plans import pattern as P
 from lexloom.sources import corpus
 from lexloom.streaming.rank import index_stream, rank_stream
@@ -168,6 +168,16 @@ def test_cutoff(spark):
     assert index.cut_off(weighted(spark, []), 2).count() == 0
 
 
+def test_cutoff_of_whole_chains(spark, tmp_path):
+    """Prefixes of more than three words are kept, and roll up from there."""
+    lines = ["one two three four five six"] * 5 + ["one two three four other"] * 3 + ["one two three four last"] * 2 + ["a b c d e"] * 4
+    rows = [(i, t, "en", "s", len(t)) for i, t in enumerate(lines)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(str(tmp_path / "documents.parquet"))
+    got = dict(map(tuple, queries.QUERIES["merge_cutoff_whole"](spark, str(tmp_path)).collect()))
+    chains = [(c, 1) for t in lines for c in chains_by_hand(t, 40)]
+    assert got == cut_by_hand(chains, 5) and got["one two three four five six"] == 5 and got["one two three four "] == 5
+
+
 def test_merge_plan():
     assert [sum(map(len, build.merge_plan(n))) for n in (1, 200, 201, 451)] == [1, 1, 3, 4]
     assert build.merge_plan(451)[0] == [200, 200, 51]
