@@ -13,6 +13,8 @@ from min-hash bands instead and checks each link that the trie join proposes by
 Jaccard similarity of the shingle sets. A band value of over CROWD texts is dealt in chunks that
 share some pivots; what they leave outside its largest component is then compared with all its
 chunks, block by block, so a task's memory doesn't grow with the group and no link is lost.
+Bands and budget miss a few links. So texts that share a shingle of their Jaccard prefixes and
+are in different components still are compared as well, all pairs, which makes the links exact.
 
 Null and wordless texts have fingerprint zero, linked like any other; texts shorter than a
 shingle are one shingle. Null keys take part and get the component's smallest non-null key
@@ -21,18 +23,22 @@ shingle are one shingle. Null keys take part and get the component's smallest no
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lexloom.llm.base import per_text, pieces, stage
+from lexloom.llm.base import per_text, pieces, slices, small_batches, stage
 
 HOT = 20_000  # fingerprints of a block value that are dealt again
 GROUP = 50_000  # fingerprints that one task joins
 CROWD, PIVOTS = 1_000, 8  # texts of a band value that one chunk holds, and those that all its chunks share
 LARGE = 64  # rows of a group that is given to pivots first
+SHINGLES = 400_000  # shingles of texts that one bucket of the prefix filter holds, about
 WORDS = 1 << 22  # 64-bit words that the shared hashes of one group may take
 BANDS, ROWS = 8, 2  # min-hash bands of the variant with a similarity
 _SALT = np.array([0x9E3779B97F4A7C15 * (2 * i + 1) % 2**64 for i in range(BANDS * ROWS)], np.uint64)
@@ -308,15 +314,15 @@ def jaccard_links(fp: np.ndarray, group: np.ndarray, node: np.ndarray, held: lis
 
     First the pivots of each large group collect what is like them; then the trie join proposes
     pairs, and those that aren't connected yet are checked. With labels, rows of one label are
-    connected already, and only rows of side 1 are compared with those of other sides; with
-    side 2 if their node is the smaller one.
+    connected already; with sides, only rows of side 1 are compared with those of other sides,
+    with side 2 if their node is the smaller one. A budget of 64 bits takes all pairs.
     """
     order = np.lexsort((node, fp, group))
     fp, group, node, held = fp[order], group[order], node[order], [held[i] for i in order]
     forest, sets, out = Forest(len(fp)), Sets(group, held), []
     if label is not None:
         _, at, inverse = np.unique(label[order], return_index=True, return_inverse=True)
-        forest.root, side = at[inverse], side[order]
+        forest.root, side = at[inverse], None if side is None else side[order]
 
     def link(a: np.ndarray, b: np.ndarray) -> None:
         apart = forest.root[a] != forest.root[b]
@@ -338,11 +344,13 @@ def jaccard_links(fp: np.ndarray, group: np.ndarray, node: np.ndarray, held: lis
             pivot = left[len(left) // 2]
             near = left[(np.bitwise_count(fp[left] ^ fp[pivot]) <= budget) & (left != pivot)]
             link(np.full(len(near), pivot), near)
-    first = np.flatnonzero(np.r_[True, (group[1:] != group[:-1]) | (fp[1:] != fp[:-1])])
+    first = np.flatnonzero(np.r_[True, (group[1:] != group[:-1]) | ((fp[1:] != fp[:-1]) & (budget < 64))])
     last = np.r_[first[1:], len(fp)]
     several = np.flatnonzero(last - first > 1)  # different texts with one fingerprint
     for a, b in _crossed(several, several, first, last):
         link(a, b)
+    if budget >= 64:
+        return out
     mixed = np.maximum.reduceat(forest.root, first) != np.minimum.reduceat(forest.root, first)
     uniform = np.where(mixed, -1 - first, forest.root[first])
     for x, y in trie_pairs(fp[first], group[first], budget, same=uniform):
@@ -354,14 +362,21 @@ def jaccard_links(fp: np.ndarray, group: np.ndarray, node: np.ndarray, held: lis
 def near_groups(docs: DataFrame, key: str = "doc_id", shingle: int = 5, similarity: float = 0.8, budget: int = 20) -> DataFrame:
     """(key, node, root, component_id): groups of texts linked by Jaccard >= similarity of their shingle sets.
 
-    node is the XXH64 of the text: equal texts are one node. Two texts at the similarity agree
-    on a band with probability 1 - (1 - s**ROWS)**BANDS (0.9997 at 0.8), and their fingerprints
-    differ in more than the budget with a probability of about 0.0005.
+    node is the XXH64 of the text: equal texts are one node. Bands and budget find nearly all
+    links; the rest are among the texts of `_open_prefixes`.
     """
     noded = docs.select(key, F.coalesce("text", F.lit("")).alias("text")).withColumn("node", F.xxhash64("text"))
     texts = noded.select("node", "text")
-    prints = stage(per_text(noded.select(F.struct(key, "node").alias("k"), "text"), "k", "bands array<long>", lambda: lambda ts: [[_signature(shingle_hashes(t, shingle)) for t in ts]])
-                   .select(F.col(f"k.{key}").alias(key), "k.node", "bands"), "nodes")
+
+    def signed_sets():
+        def work(ts):
+            hashes = [shingle_hashes(t, shingle) for t in ts]
+            return [[_signature(h) for h in hashes], [len(h) for h in hashes]]
+
+        return work
+
+    prints = stage(per_text(noded.select(F.struct(key, "node").alias("k"), "text"), "k", "bands array<long>, size long", signed_sets)
+                   .select(F.col(f"k.{key}").alias(key), "k.node", "bands", "size"), "nodes")
     keyed = prints.groupBy("node").agg(F.first("bands").alias("bands")).select("node", F.explode("bands").alias("g"))
     shared = keyed.groupBy("g").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("g", F.ceil(F.col("n") / CROWD).cast("int").alias("parts"))
     wanted = stage(keyed.join(shared, "g").select("node", "g", "parts"), "bands")
@@ -373,19 +388,20 @@ def near_groups(docs: DataFrame, key: str = "doc_id", shingle: int = 5, similari
 
         return work
 
-    def linked(rows: DataFrame, sided: bool) -> DataFrame:
-        """(u, v) of the links in rows(node, g), or those across in rows(node, g, root, side)."""
+    def linked(rows: DataFrame, texts: DataFrame = texts, budget: int = budget, each: int = 4_000) -> DataFrame:
+        """(u, v) of the links in rows(node, g), or those across in rows(node, g, root) or rows(node, g, root, side)."""
         rows = stage(rows, "dealt")
+        labels = rows.columns[2:]
         once = texts.groupBy("node").agg(F.first("text").alias("text"))  # copies are merged where they are read; a semi-join would be moved before that
         chosen = once.join(rows.select("node").distinct(), "node")
 
         def join(pdf: pd.DataFrame) -> pd.DataFrame:
-            known = (pdf["root"].to_numpy(), pdf["side"].to_numpy()) if sided else ()
+            known = [pdf[c].to_numpy() for c in labels]
             out = jaccard_links(pdf["fp"].to_numpy().view(np.uint64), pdf["g"].to_numpy(), pdf["node"].to_numpy(), list(pdf["hashes"]), similarity, budget, *known)
             return pd.DataFrame(out, columns=["u", "v"], dtype="int64")
 
         whole = rows.join(per_text(chosen, "node", "hashes binary, fp long", make), "node")
-        return whole.groupBy(F.pmod("g", F.lit(pieces(rows.count(), 4_000))).alias("bucket")).applyInPandas(lambda pdf: join(pdf), "u long, v long")
+        return whole.groupBy(F.pmod("g", F.lit(pieces(rows.count(), each))).alias("bucket")).applyInPandas(lambda pdf: join(pdf), "u long, v long")
 
     chunk = F.pmod(F.xxhash64("node", F.lit("chunk")), "parts").cast("int")
     crowds = wanted.where("parts > 1")
@@ -395,14 +411,96 @@ def near_groups(docs: DataFrame, key: str = "doc_id", shingle: int = 5, similari
         wanted.where("parts = 1").select("node", "g")
         .unionAll(crowds.select("node", F.xxhash64("g", chunk))).unionAll(shown.select("node", F.xxhash64("g", "chunk")))
     )
-    links = stage(linked(dealt, False), "near-links")
+    links = stage(linked(dealt), "near-links")
     roots = components(links)
     open_rows = _open_crowds(crowds, roots, chunk)
     if not open_rows.isEmpty():
-        roots = components(links.unionAll(linked(open_rows, True)))
+        links = links.unionAll(stage(linked(open_rows), "near-links"))
+        roots = components(links)
+    total = prints.agg(F.sum("size")).first()[0] or 0
+    open_rows = stage(_open_prefixes(texts, roots, total, shingle, similarity), "open")
+    if not open_rows.isEmpty():
+        few = texts.join(F.broadcast(open_rows.select("node").distinct()), "node", "left_semi")
+        blocks = open_rows.where("parts = 1").select("node", "g", "root").unionAll(
+            open_rows.where("parts > 1").select("node", "g", "root", chunk.alias("c"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("d"))
+            .where("c != d").select("node", F.xxhash64("g", F.least("c", "d"), F.greatest("c", "d")), "root")
+        )
+        roots = components(links.unionAll(linked(blocks, few, 64, 1_000)))
     return _label(prints.select(key, "node"), roots, key, "node")
 
 
+def _open_prefixes(texts: DataFrame, roots: DataFrame, total: int, shingle: int, similarity: float) -> DataFrame:
+    """(node, g, root, parts): texts of different components that share a shingle g of their prefixes.
+
+    Of n shingles in an order that is the same for all texts, two similar texts share one of the
+    first n - ceil(similarity * n) + 1. Shingles of one component only come first in the order,
+    the others by the number of texts that have them, so few texts have any other in the prefix.
+    A shingle is named by its bucket and 32 bits; `spare` allows for those that fall together in
+    a text: it is what n distinct names have beyond the prefix. One g stands for all with the
+    same texts.
+    """
+    small_batches(texts.sparkSession)
+    buckets = pieces(total, SHINGLES)
+    rooted = texts.join(F.broadcast(roots), "node", "left").select("node", F.coalesce("root", "node").alias("root"), "text")
+    kinds = {"key": "<u4", "node": "<i8", "root": "<i8", "spare": "<i4"}
+    names = ["bucket", *kinds]
+
+    def deal(batches):
+        def flush():
+            count = [len(k) for k in keys]
+            key = np.concatenate(keys)
+            of = np.repeat(np.arange(len(keys)), count)
+            order = np.argsort(key >> np.uint64(32), kind="stable")
+            key, of = key[order], of[order]
+            bucket = (key >> np.uint64(32)).astype(np.int64)
+            starts = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]])
+            low = (key & np.uint64(0xFFFFFFFF)).astype("<u4")
+            columns = [low, *(np.array(x, kind)[of] for x, kind in zip(zip(*seen.values()), list(kinds.values())[1:]))]
+            parts = [[c[a:b].tobytes() for a, b in zip(starts, np.r_[starts[1:], len(key)])] for c in columns]
+            return pa.RecordBatch.from_arrays([pa.array(bucket[starts], pa.int32()), *(pa.array(x, pa.binary()) for x in parts)], names=names)
+
+        keys, seen, held = [], {}, 0
+        for part in (x for b in batches for x in slices(b, "text")):
+            for node, root, text in zip(*(part.column(c).to_pylist() for c in ("node", "root", "text"))):
+                h = np.unique(shingle_hashes(text, shingle))
+                if node in seen or not len(h):
+                    continue
+                name = np.unique(((h >> np.uint64(32)) % np.uint64(buckets) << np.uint64(32)) | (h & np.uint64(0xFFFFFFFF)))
+                seen[node] = node, root, math.ceil(similarity * len(h) - 1e-9) - 1 - (len(h) - len(name))
+                keys.append(name)
+                held += len(name)
+            if held > 1 << 20:
+                yield flush()
+                keys, seen, held = [], {}, 0
+        if keys:
+            yield flush()
+
+    def shared(pdf: pd.DataFrame) -> pd.DataFrame:
+        key, node, root, spare = (np.frombuffer(b"".join(pdf[c]), kind) for c, kind in kinds.items())
+        order = np.argsort(key, kind="stable")
+        k = key[order]
+        starts = np.flatnonzero(np.r_[True, k[1:] != k[:-1]])
+        several = np.minimum.reduceat(root[order], starts) != np.maximum.reduceat(root[order], starts)
+        order = order[np.repeat(several, np.diff(np.r_[starts, len(k)]))]
+        order = order[np.lexsort((node[order], key[order]))]
+        k, n = key[order], node[order]
+        order = order[np.r_[True, (k[1:] != k[:-1]) | (n[1:] != n[:-1])][: len(k)]]  # copies of a text
+        _, inverse, count = np.unique(key[order], return_inverse=True, return_counts=True)
+        g = key[order].astype(np.int64) | (int(pdf["bucket"].iloc[0]) << 32)
+        return pd.DataFrame({"node": node[order], "root": root[order], "g": g, "spare": spare[order], "texts": count[inverse]})
+
+    dealt = rooted.mapInArrow(deal, "bucket int, key binary, node binary, root binary, spare binary")
+    found = dealt.groupBy("bucket").applyInPandas(lambda pdf: shared(pdf), "node long, root long, g long, spare int, texts long")
+    own = Window.partitionBy("node")
+    placed = found.select("*", F.row_number().over(own.orderBy("texts", "g")).alias("place"), F.count(F.lit(1)).over(own).alias("n"))
+    prefix = stage(placed.where("place <= n - spare").select("node", "root", "g"), "prefixes")
+    per = prefix.groupBy("g").agg(
+        F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("node")).alias("x"), F.bit_xor(F.xxhash64("node", F.lit("y"))).alias("y"), F.min("root").alias("low"), F.max("root").alias("high")
+    )
+    one = per.where("low != high").groupBy("n", "x", "y").agg(F.min("g").alias("g")).select("g", F.ceil(F.col("n") / CROWD).cast("int").alias("parts"))
+    return prefix.join(one, "g").select("node", "g", "root", "parts")
+
+
 def _open_crowds(crowds: DataFrame, roots: DataFrame, chunk: Column) -> DataFrame:
     """(node, g, root, side): each crowd that isn't one component yet, in blocks.
 

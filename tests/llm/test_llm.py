@@ -308,6 +308,30 @@ def test_near_copies_by_similarity(spark):
     assert simhash.keep_one(df.unionAll(df)).count() == len(set(root)) and simhash.keep_one(df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("crowd, size", [(1000, 2_000_000), (3, 200)])
+def test_short_near_copies_are_all_linked(spark, monkeypatch, crowd, size):
+    """Pairs of 4 and 5 shingles, at exactly 0.8, and short texts of common parts as by brute force."""
+    monkeypatch.setattr(simhash, "CROWD", crowd)
+    monkeypatch.setattr(simhash, "SHINGLES", size)
+    rng = random.Random(4)
+    texts = [" ".join(f"w{rng.randrange(10**9)}" for _ in range(8)) for _ in range(1200)]
+    texts += [f"{t} more{i}" if i % 2 else f"more{i} {t}" for i, t in enumerate(texts)]
+    parts = [" ".join(f"p{rng.randrange(10**6)}" for _ in range(12)) for _ in range(4)]
+    for _ in range(120):
+        w = " ".join(rng.sample(parts, rng.randint(1, 3))).split()
+        for _ in range(rng.randint(0, 2)):
+            w.insert(rng.choice([0, len(w), rng.randrange(len(w))]), f"x{rng.randrange(30)}")
+        texts.append(" ".join(w))
+    s = [{tuple(t.split()[i : i + 5]) for i in range(len(t.split()) - 4)} for t in texts]
+    alike = lambda a, b: 5 * len(s[a] & s[b]) >= 4 * len(s[a] | s[b])
+    root = {i: 2400 + g for i, g in enumerate(groups(120, lambda a, b: alike(2400 + a, 2400 + b)), 2400)}
+    root |= {i: i % 1200 for i in range(2400)}
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    got = {r.doc_id: r.component_id for r in simhash.near_groups(df).collect()}
+    assert all(alike(i, i + 1200) for i in range(1200)) and len({root[i] for i in range(2400, 2520)}) > 5
+    assert [i for i in got if got[i] != root[i]] == []
+
+
 def drifting(rng, n: int, length: int = 220) -> list[str]:
     """Texts that each differ a little from the one before, so that the first and the last have little in common."""
     t, out = words(rng, length).split(), []
