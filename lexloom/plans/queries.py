@@ -123,7 +123,9 @@ def q_children(spark, sf_dir):
 
 def q_merge_sources(spark, sf_dir):
     lines = norm_lines(spark, sf_dir, "lang")
-    return index.merge(*(index.chain_counts(lines.where(F.col("lang") == x)) for x in ("en", "de", "fr", "es")))
+    known = ("en", "de", "fr", "es")
+    parts = [F.col("lang") == x for x in known] + [F.col("lang").isNull() | ~F.col("lang").isin(*known)]
+    return index.merge(*(index.chain_counts(lines.where(x)) for x in parts))
 
 
 def short_counts(spark, sf_dir):

@@ -178,6 +178,12 @@ def test_cutoff_of_whole_chains(spark, tmp_path):
     assert got == cut_by_hand(chains, 5) and got["one two three four five six"] == 5 and got["one two three four "] == 5
 
 
+def test_merge_of_all_languages(spark, tmp_path):
+    rows = [(i, "ab cd", x, "s", 5) for i, x in enumerate(["en", "de", "fr", "es", "it", "", None])]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(str(tmp_path / "documents.parquet"))
+    assert dict(map(tuple, queries.QUERIES["merge_sources"](spark, str(tmp_path)).collect())) == {"ab cd": 7, "cd": 7}
+
+
 def test_merge_plan():
     assert [sum(map(len, build.merge_plan(n))) for n in (1, 200, 201, 451)] == [1, 1, 3, 4]
     assert build.merge_plan(451)[0] == [200, 200, 51]
