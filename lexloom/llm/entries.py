@@ -66,9 +66,9 @@ def op10_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def page_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The interleaved text and media items of each page."""
+    """The interleaved text and media items of each page; one row of nulls for a page without any."""
     items = media.sequences(table(spark, sf_dir, "pages"), "page_id")
-    return items.select("page_id", F.explode("items").alias("item")).select("page_id", "item.*")
+    return items.select("page_id", F.explode_outer("items").alias("item")).select("page_id", "item.*")
 
 
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:

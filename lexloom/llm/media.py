@@ -83,6 +83,7 @@ class _Sequence(HTMLParser):
         self.hidden = 0
         self.figure: list[dict] | None = None
         self.caption: list[str] | None = None
+        self.captions: list[str] = []  # of the open figure, or outside any
 
     def flush(self) -> None:
         said = " ".join("".join(self.text).split())
@@ -102,10 +103,12 @@ class _Sequence(HTMLParser):
                 self.figure.append(item)
         elif tag == "figcaption":
             self.flush()
+            self.end_caption()
             self.caption = []
         elif tag in self.BLOCKS:
             self.flush()
             if tag == "figure":
+                self.end_figure()
                 self.figure = []
 
     def handle_startendtag(self, tag, attrs):
@@ -119,15 +122,24 @@ class _Sequence(HTMLParser):
         elif tag in self.BLOCKS:
             self.flush()
             if tag == "figure":
-                self.end_caption()
-                self.figure = None
+                self.end_figure()
 
     def end_caption(self) -> None:
         if self.caption is not None:
-            said = " ".join("".join(self.caption).split())
-            for item in self.figure or ():
-                item["caption"] = said or item["caption"]
+            self.captions.append("".join(self.caption))
             self.caption = None
+            if self.figure is None:
+                self.end_figure()
+
+    def end_figure(self, closed: bool = True) -> None:
+        """The caption goes to all media of the figure, or is a text if there are none; a figure that the page leaves open makes no text."""
+        self.end_caption()
+        captions, self.captions, figure, self.figure = self.captions, [], self.figure, None
+        said = " ".join(" ".join(captions).split())
+        for item in figure or ():
+            item["caption"] = said or item["caption"]
+        if said and not figure and (closed or figure is None):
+            self.items.append({"position": len(self.items), "kind": "text", "text": said, "ref": None, "caption": None})
 
     def handle_data(self, data):
         if not self.hidden:
@@ -138,8 +150,8 @@ def parse_sequence(html: str | None) -> list[dict]:
     p = _Sequence()
     p.feed(html or "")
     p.close()
-    p.end_caption()
     p.flush()
+    p.end_figure(closed=False)
     return p.items
 
 

@@ -443,6 +443,15 @@ def test_media_round_trip(spark):
         media.from_png(media.to_png(media.pad(b"abc"))[:-20] + bytes(20))
 
 
+def test_captions_are_kept(spark, tmp_path):
+    said = lambda html: [(x["kind"], x["text"] or x["ref"], x["caption"]) for x in media.parse_sequence(html)]
+    assert said('<figure><figcaption>c d</figcaption><img src="a" alt="x"><img src="b"></figure>') == [("media", "a", "c d"), ("media", "b", "c d")]
+    assert said("<figure><table><tr><td>t</td></tr></table><figcaption>c</figcaption></figure>z") == [("text", "t", None), ("text", "c", None), ("text", "z", None)]
+    assert said("<figcaption>c</figcaption>z<figure><figcaption>d<figure><img src=a>") == [("text", "c", None), ("text", "z", None), ("text", "d", None), ("media", "a", None)]
+    spark.createDataFrame([(1, "u", "<p>x</p>"), (2, "u", ""), (3, "u", None)], "page_id long, url string, html string").write.parquet(str(tmp_path / "pages.parquet"))
+    assert sorted((r.page_id, r.text) for r in entries.page_sequences(spark, str(tmp_path)).collect()) == [(1, "x"), (2, None), (3, None)]
+
+
 def test_html_sequences():
     html = '<p>One <b>two</b></p><figure><img src="a.png" alt="x"><figcaption>Cap &amp; tion</figcaption></figure>three<img src=b.png alt=y><script>no</script><p>four'
     got = [(i["position"], i["kind"], i["text"], i["ref"], i["caption"]) for i in media.parse_sequence(html)]
