@@ -7,35 +7,145 @@ import re
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-_NESTED = r"(?:[\]\[]??[^\]\[])*?"
-#: (pattern, replacement) of one round, in order; all lazy and case-insensitive.
-ROUNDS = (
-    (r"(?is)<!--.*?-->|<ref(?:[^>]*?[^/>])??>.*?</ref>|<gallery(?:[^>]*?[^/>])??>.*?</gallery>|<imagemap(?:[^>]*?[^/>])??>.*?</imagemap>"
-     rf"|\[\[[a-z-]*?:{_NESTED}\]\]|\{{\|(?:[^{{|]|\{{[^|]|\|[^}}])*?\|+?\}}|\{{\{{[^{{}}]*?\}}\}}", ""),
-    (r"(?i)</?[a-z][a-z0-9]*?(?: [^>]*?)??/??>", " "),
-    (r"(?i)&[a-z]+?;", " "),
-    (rf"(?i)\[\[(?:{_NESTED}\|)?({_NESTED})(?:\|{_NESTED})??\]\]", r"\1"),
-    (r"(?i)\[(?:http|https|ftp)://[^\] ]*?( [^\]]*?)??\]", r"\1"),
-)
+# Elements that go with all they hold, and the schemes of outside links.
+WHOLE = ("ref", "gallery", "imagemap")
+SCHEMES = ("http://", "https://", "ftp://")
+_LETTERS = frozenset("abcdefghijklmnopqrstuvwxyz")
+_RUN = re.compile(r"\{+")
+
+
+def _name_at(s: str, at: int) -> tuple[str, int]:
+    """The tag name (a letter, then letters and digits) that starts at `at`, and where it ends."""
+    end = at
+    while end < len(s) and s[end].isascii() and s[end].isalnum() and not (end == at and s[end].isdigit()):
+        end += 1
+    return s[at:end].lower(), end
+
+
+def _tag_end(s: str, name_end: int) -> int:
+    """Where the tag ends whose name ends at `name_end`; -1 if it isn't a tag."""
+    if s[name_end : name_end + 1] not in (" ", "/", ">"):
+        return -1
+    stop = s.find(">", name_end)
+    if stop < 0 or (s[name_end] == "/" and stop != name_end + 1):
+        return -1
+    return stop + 1
+
+
+def drop_elements(s: str) -> str:
+    """Comments, and the elements of WHOLE with their content, taken out."""
+    out, at, low = [], 0, s.lower()
+    while (start := s.find("<", at)) >= 0:
+        end = -1
+        if s.startswith("<!--", start):
+            end = s.find("-->", start + 4)
+            end = end + 3 if end >= 0 else -1
+        else:
+            name, stop = _name_at(s, start + 1)
+            head = _tag_end(s, stop) if name in WHOLE else -1
+            if head >= 0 and s[head - 2] != "/":
+                end = low.find(f"</{name}>", head)
+                end = end + len(name) + 3 if end >= 0 else -1
+        out.append(s[at : start if end >= 0 else start + 1])
+        at = end if end >= 0 else start + 1
+    return "".join(out) + s[at:]
+
+
+def drop_braces(s: str) -> str:
+    """Templates and tables taken out, whatever their nesting; a sign without its partner stays."""
+    out: list[str] = []
+    opened: list[tuple[str, int]] = []  # (closing sign, length of out before the opening one)
+    at = 0
+    for m in re.finditer(r"[{}|]", s):
+        i = m.start()
+        if i < at:
+            continue
+        two = s[i : i + 2]
+        if two == "{{" and len(_RUN.match(s, i)[0]) % 2:
+            continue  # of an odd number of braces the last ones belong together
+        if two in ("{{", "{|"):
+            out.append(s[at:i])
+            opened.append(("}}" if two == "{{" else "|}", len(out)))
+            out.append(two)
+            at = i + 2
+        elif two in ("}}", "|}") and any(sign == two for sign, _ in opened):
+            while opened[-1][0] != two:
+                opened.pop()
+            del out[opened.pop()[1] :]
+            at = i + 2
+    return "".join(out) + s[at:]
+
+
+def spaced_tags(s: str) -> str:
+    """A space for each tag and each named entity."""
+    out, at = [], 0
+    for m in re.finditer("[<&]", s):
+        i = m.start()
+        if i < at:
+            continue
+        if s[i] == "<":
+            name, stop = _name_at(s, i + 2 if s.startswith("</", i) else i + 1)
+            end = _tag_end(s, stop) if name else -1
+        else:
+            end = i + 1
+            while end < len(s) and s[end].lower() in _LETTERS:
+                end += 1
+            end = end + 1 if end > i + 1 and s[end : end + 1] == ";" else -1
+        if end >= 0:
+            out += [s[at:i], " "]
+            at = end
+    return "".join(out) + s[at:]
+
+
+def _is_named(content: str) -> bool:
+    """Whether a link is into a namespace: letters and hyphens, then a colon."""
+    head, colon, _ = content.partition(":")
+    return bool(colon) and all(c in _LETTERS or c == "-" for c in head.lower())
+
+
+def labelled_links(s: str) -> str:
+    """Links replaced by their labels; links into a namespace go."""
+    out: list[str] = []
+    opened: list[int] = []
+    at = 0
+    for m in re.finditer(r"[\[\]]", s):
+        i = m.start()
+        if i < at:
+            continue
+        two = s[i : i + 2]
+        if two == "[[":
+            out.append(s[at:i])
+            opened.append(len(out))
+            out.append(two)
+            at = i + 2
+        elif two == "]]" and opened:
+            out.append(s[at:i])
+            first = opened.pop()
+            content = "".join(out[first + 1 :])
+            del out[first:]
+            parts = content.split("|")
+            out.append("" if _is_named(content) else parts[min(1, len(parts) - 1)])
+            at = i + 2
+        elif s.startswith(SCHEMES, i + 1) or s[i + 1 : i + 9].lower().startswith(SCHEMES):
+            end = s.find("]", i)
+            if s[i] == "[" and end >= 0:
+                _, space, label = s[i + 1 : end].partition(" ")
+                out += [s[at:i], space + label]
+                at = end + 1
+    return "".join(out) + s[at:]
 
 
 def strip_markup(text: str | None) -> str:
-    """Apply the first kind of removal that changes anything until none does."""
-    s = text or ""
-    patterns = [(re.compile(p), r) for p, r in ROUNDS]
-    changed = True
-    while changed:
-        changed = False
-        for p, r in patterns:
-            s, n = p.subn(lambda m, r=r: (m[1] or "") if r.startswith("\\") else r, s)
-            if n:
-                changed = True
-                break
-    return re.sub("(?i)((?:BEGIN|END) ARTICLE)", r">\1", s)
+    """All kinds of markup taken out, again until nothing changes; then article markers are escaped."""
+    s, before = text or "", None
+    while s != before:
+        before = s
+        s = labelled_links(spaced_tags(drop_braces(drop_elements(s))))
+    return re.sub("(?i)(?=(?:BEGIN|END) ARTICLE)", ">", s)
 
 
 def plain_text(df: DataFrame, column: str) -> DataFrame:
-    """df with `plain`: the column without markup (a fixpoint, hence an Arrow function)."""
+    """df with `plain`: the column without markup (nested, hence an Arrow function)."""
 
     @F.pandas_udf("string")
     def run(texts):
@@ -45,10 +155,11 @@ def plain_text(df: DataFrame, column: str) -> DataFrame:
 
 
 def strip_tags(html: Column) -> Column:
-    """Comments, scripts and styles removed, tags and entities to spaces: built-in functions only."""
-    s = F.regexp_replace(html, r"(?is)<!--.*?-->|<script.*?</script>|<style.*?</style>", "")
-    s = F.regexp_replace(s, r"(?i)</?[a-z][a-z0-9]*( [^>]*)?/?>", " ")
-    return F.trim(F.regexp_replace(F.regexp_replace(s, r"(?i)&[a-z]+;", " "), r"[ \t\r\n]+", " "))
+    """Comments, scripts and styles removed, tags and references to spaces: built-in functions only."""
+    for opening, closing in (("<!--", "-->"), ("<script", "</script>"), ("<style", "</style>")):
+        html = F.regexp_replace(html, f"(?is){opening}.*?{closing}", "")
+    s = F.regexp_replace(html, "<[A-Za-z/!][^>]*>", " ")
+    return F.trim(F.regexp_replace(F.regexp_replace(s, "&#?[A-Za-z0-9]+;", " "), "[ \\t\\r\\n]+", " "))
 
 
 def articles(pages: DataFrame, title: str = "title", text: str = "text") -> DataFrame:
@@ -75,22 +186,39 @@ def convert_characters(text: Column, characters: dict[str, str], phrases: dict[s
     return run(text)
 
 
-def convert_files(spark, source: str, target: str, characters: dict[str, str], first: int | None = None, dry_run: bool = False) -> dict[str, int]:
-    """Convert the text files under `source` that `target` doesn't have yet; the summary counts."""
+def file_status(spark, source: str, target: str, first: int | None = None) -> DataFrame:
+    """(name, status, text) of the files under `source`, named by their path below it.
+
+    status: converted (to be, with text), skipped (target has it), failed (no valid UTF-8), or
+    left (behind the `first` names).
+    """
+    root = "/" + re.sub(r"^[A-Za-z][A-Za-z0-9+.-]*:/*|^/+", "", source).rstrip("/") + "/"
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(source)
-    found = files.select(F.replace("path", F.lit(files.select(F.min("path")).first()[0].rsplit("/", 1)[0] + "/"), F.lit("")).alias("name"), "content")
-    scanned = found.count()
-    chosen = found.orderBy("name").limit(first) if first is not None else found
-    selected = chosen.count()
+    name = F.regexp_replace("path", rf"^[A-Za-z][A-Za-z0-9+.-]*:/*(?=/|\Q{root[1:]}\E)", "")
+    name = F.regexp_replace(name, rf"^/?\Q{root[1:]}\E", "")
+    found = files.select(name.alias("name"), F.try_validate_utf8(F.col("content").cast("string")).alias("text"))
+    if first is not None:
+        chosen = found.select("name").orderBy("name").limit(first).withColumn("chosen", F.lit(True))
+        found = found.join(chosen, "name", "left")
+    else:
+        found = found.withColumn("chosen", F.lit(True))
     try:
-        done = spark.read.parquet(target).select("name")
+        done = spark.read.parquet(target).select("name").distinct().withColumn("done", F.lit(True))
+        found = found.join(done, "name", "left")
     except Exception as e:  # noqa: BLE001
         if "PATH_NOT_FOUND" not in str(e):
             raise
-        done = None
-    todo = chosen.join(done, "name", "left_anti") if done is not None else chosen
-    todo = todo.withColumn("text", F.try_validate_utf8(F.col("content").cast("string")))
-    counts = todo.agg(F.count(F.lit(1)).alias("n"), F.count(F.when(F.col("text").isNull(), 1)).alias("bad")).first()
+        found = found.withColumn("done", F.lit(None).cast("boolean"))
+    status = F.when(F.col("chosen").isNull(), "left").when(F.col("done"), "skipped").when(F.col("text").isNull(), "failed").otherwise("converted")
+    return found.select("name", status.alias("status"), "text")
+
+
+def convert_files(spark, source: str, target: str, characters: dict[str, str], first: int | None = None, dry_run: bool = False) -> dict[str, int]:
+    """Convert the text files under `source` that `target` doesn't have yet; the summary counts."""
+    status = file_status(spark, source, target, first)
+    n = {r.status: r.n for r in status.groupBy("status").agg(F.count(F.lit(1)).alias("n")).collect()}  # four rows at most
     if not dry_run:
-        todo.where("text is not null").select("name", convert_characters(F.col("text"), characters).alias("text")).write.mode("append").parquet(target)
-    return {"scanned": scanned, "selected": selected, "converted": counts.n - counts.bad, "skipped": selected - counts.n, "failed": counts.bad}
+        made = status.where("status = 'converted'").select("name", convert_characters(F.col("text"), characters).alias("text"))
+        made.write.mode("append").parquet(target)
+    counts = {k: n.get(k, 0) for k in ("converted", "skipped", "failed")}
+    return {"scanned": sum(n.values()), "selected": sum(counts.values()), **counts}

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import codecs
 import unicodedata
 from bisect import bisect_right
 
@@ -114,7 +115,13 @@ class Normalizer:
 
     def corpus(self, text: str) -> str:
         """spaced() with position breaks around CJK symbols."""
-        s = self.spaced(text)
+        return self.broken(self.spaced(text))
+
+    def typed(self, path: str) -> str:
+        """A typed path as the index has it: a query literal with position breaks."""
+        return self.broken(self.spaced(path, strict=True))
+
+    def broken(self, s: str) -> str:
         if s.isascii():
             return s
         out, before, attached = [], DISALLOWED, False
@@ -127,21 +134,27 @@ class Normalizer:
         return "".join(out)
 
 
+def _one_sequence(e: UnicodeError) -> tuple[str, int]:
+    """A space for an undecodable sequence. Surrogates, overlong and too large forms are one sequence each."""
+    raw, start, stop = e.object, e.start, e.end
+    lead = raw[start]
+    if lead in (0xED, 0xF4, 0xE0, 0xF0, 0xC0, 0xC1):
+        size = 2 if lead < 0xE0 else 3 if lead < 0xF0 else 4
+        tail = raw[start + 1 : start + size]
+        if len(tail) == size - 1 and all(0x80 <= b < 0xC0 for b in tail):
+            stop = start + size
+    return _BAD, stop
+
+
+_BAD = "\ufdd0"  # stands for a bad sequence while decoding; valid text may have it too, so it is counted before
+codecs.register_error("lexloom-sequence", _one_sequence)
+
+
 def invalid_sequences(raw: bytes) -> tuple[str, int]:
     """Text with a space for each undecodable sequence, and their number."""
-    out, count = [], 0
-    while True:
-        try:
-            return "".join(out) + raw.decode("utf-8"), count
-        except UnicodeDecodeError as e:
-            out += [raw[: e.start].decode("utf-8"), " "]
-            stop = e.end
-            if raw[e.start] in (0xED, 0xF4) or raw[e.start] in (0xE0, 0xF0, 0xC0, 0xC1):  # surrogates, overlong and too large forms are one sequence
-                size = 2 if raw[e.start] < 0xE0 else 3 if raw[e.start] < 0xF0 else 4
-                tail = raw[e.start + 1 : e.start + size]
-                if len(tail) == size - 1 and all(0x80 <= b < 0xC0 for b in tail):
-                    stop = e.start + size
-            raw, count = raw[stop:], count + 1
+    text = raw.decode("utf-8", "lexloom-sequence")
+    count = text.count(_BAD) - raw.count(_BAD.encode()) if _BAD in text else 0
+    return text.replace(_BAD, " "), count  # a noncharacter of the text's own is a boundary too
 
 
 def strict_utf8(raw: bytes) -> str:
@@ -152,8 +165,14 @@ def strict_utf8(raw: bytes) -> str:
         raise ValueError(f"invalid UTF-8 at byte {e.start}") from None
 
 
+def ascii_corpus(c: Column) -> Column:
+    """corpus() of text that is ASCII throughout, by built-in functions."""
+    joined = F.regexp_replace(F.lower(c), "(?<=[a-z])'(?=[a-z])", "")
+    return F.trim(F.regexp_replace(joined, "[^a-z0-9]+", " "))
+
+
 def corpus_text(df: DataFrame, column: str = "text") -> DataFrame:
-    """df with (normalized, invalid_utf8) of a string or binary column."""
+    """df with (normalized, invalid_utf8) of a string or binary column. ASCII rows stay in built-in functions."""
     spark = df.sparkSession
     ranges = spark.sparkContext.broadcast(class_ranges(spark))
     schema = T.StructType.fromDDL("normalized string, invalid_utf8 long")
@@ -163,7 +182,18 @@ def corpus_text(df: DataFrame, column: str = "text") -> DataFrame:
         import pandas as pd
 
         n = Normalizer(ranges.value)
-        rows = [invalid_sequences(bytes(r)) if r is not None else ("", 0) for r in raws]
-        return pd.DataFrame([(n.corpus(t), k) for t, k in rows], columns=schema.names)
+        rows = [invalid_sequences(bytes(r)) if r is not None else None for r in raws]
+        return pd.DataFrame([(n.corpus(r[0]), r[1]) if r else (None, 0) for r in rows], columns=schema.names)
+
+    raw = F.col(column).cast("binary")
+    text = F.try_validate_utf8(raw.cast("string"))
+    plain = text.isNotNull() & (F.octet_length(text) == F.char_length(text))
+    ours = F.coalesce(raw.isNull() | plain, F.lit(True))
+    done = df.withColumn("_plain", ours).withColumn("_n", run(F.when(~ours, raw)))
+    normal = F.when(F.col("_plain"), F.coalesce(ascii_corpus(text), F.lit(""))).otherwise(F.col("_n.normalized"))
+    return done.select(*df.columns, normal.alias("normalized"), F.col("_n.invalid_utf8").alias("invalid_utf8"))
+
 
-    return df.withColumn("_n", run(F.col(column).cast("binary"))).select("*", "_n.normalized", "_n.invalid_utf8").drop("_n")
+def invalid_total(normalised: DataFrame) -> DataFrame:
+    """(invalid_utf8): the undecodable sequences of all rows of corpus_text."""
+    return normalised.agg(F.coalesce(F.sum("invalid_utf8"), F.lit(0)).alias("invalid_utf8"))

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lexloom.functions.normalize import Normalizer
 from lexloom.functions.symbols import BOUNDARY, END, PB, spelled, terminator
 
 MAX_SYMBOLS = 40
@@ -31,17 +34,88 @@ def chain_counts(lines: DataFrame, text: str = "text", weight: str | None = None
     return found.groupBy("chain").agg(F.sum("w").alias("cnt"))
 
 
-def boundary_prefixes(chain: Column) -> Column:
-    """The prefixes of a chain that end at a space, a position break or its end, marks included."""
-    parts = F.regexp_extract_all(chain, F.lit(f"[^ {PB}]+[ {PB}]*"), 0)
-    joined = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.array_join(F.slice(parts, 1, i), ""))
-    ended = F.transform(joined, lambda p: F.when(p.endswith(" ") | p.endswith(PB), p).otherwise(F.concat(p, F.lit(END))))
-    return F.when(chain == "", F.array().cast("array<string>")).otherwise(ended)
+_MARK = re.compile(BOUNDARY)
+_FOLDED = "p string, n long, below boolean, done boolean"
 
 
-def boundary_phrases(counts: DataFrame) -> DataFrame:
-    """(phrase, cnt): phrase ends with its boundary mark; cnt is the total below that prefix."""
-    return counts.select(F.explode(boundary_prefixes(F.col("chain"))).alias("phrase"), "cnt").groupBy("phrase").agg(F.sum("cnt").alias("cnt"))
+def _fold(batches, least: int | None, whole: bool):
+    """Rows of _FOLDED from sorted rows (p, n, below): counts of boundary prefixes.
+
+    Only the prefixes of the row at hand are open, in a stack of at most a chain's depth. least
+    None: every prefix has all counts below it. Otherwise one with fewer adds its count to the
+    prefix before. What may go on in a neighbouring partition (prefixes of this one's first or
+    last row) isn't done unless this partition is the whole.
+    """
+    stack: list[list] = []
+    first = None
+    rows: list[tuple] = []
+
+    def close() -> None:
+        p, n, below = stack.pop()
+        if not whole and first.startswith(p):
+            if n or below:
+                rows.append((p, n, below, False))
+            if least is None and stack:
+                stack[-1][1] += n
+            return
+        if least is None:
+            rows.append((p, n, below, True))
+            if stack:
+                stack[-1][1] += n
+            return
+        emit = n >= least or (n > 0 and below)
+        if emit:
+            rows.append((p, n, below, True))
+        if stack:
+            stack[-1][1] += 0 if emit else n
+            stack[-1][2] |= emit or below
+
+    def batch():
+        columns = list(zip(*rows)) if rows else [[]] * 4
+        rows.clear()
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.int64(), pa.bool_(), pa.bool_()))], names=["p", "n", "below", "done"])
+
+    for b in batches:
+        for p, n, below in zip(*(c.to_pylist() for c in b.columns)):
+            if first is None:
+                first = p
+            while stack and not p.startswith(stack[-1][0]):
+                close()
+            for m in _MARK.finditer(p, len(stack[-1][0]) if stack else 0):
+                stack.append([p[: m.end()], 0, False])
+            if stack:
+                stack[-1][1] += n
+                stack[-1][2] |= below
+            if len(rows) > 10_000:
+                yield batch()
+    while stack:
+        if whole:
+            close()
+            continue
+        p, n, below = stack.pop()
+        if n or below:
+            rows.append((p, n, below, False))
+        if least is None and stack:
+            stack[-1][1] += n
+    yield batch()
+
+
+def _ranges(rows: DataFrame, parts: int | None = None) -> DataFrame:
+    spread = rows.repartitionByRange(parts, "p") if parts else rows.repartitionByRange("p")
+    return spread.select("p", "n", "below").sortWithinPartitions("p")
+
+
+def boundary_phrases(counts: DataFrame, stage=None) -> DataFrame:
+    """(phrase, cnt): phrase ends with its boundary mark; cnt is the total below that prefix.
+
+    Chains are sorted by ranges and each partition adds up its own prefixes; only those at a
+    partition's edges are added up across partitions. `stage` may write that, or it is done twice.
+    """
+    rows = counts.where("chain <> ''").select(F.concat("chain", F.lit(END)).alias("p"), F.col("cnt").alias("n"), F.lit(False).alias("below"))
+    folded = _ranges(rows).mapInArrow(lambda it: _fold(it, None, False), _FOLDED)
+    folded = stage(folded, "prefixes") if stage else folded
+    edges = folded.where("not done").groupBy("p").agg(F.sum("n").alias("n"))
+    return folded.where("done").select("p", "n").unionAll(edges).select(F.col("p").alias("phrase"), F.col("n").alias("cnt"))
 
 
 def with_text(phrases: DataFrame) -> DataFrame:
@@ -62,6 +136,23 @@ def prefix_counts(counts: DataFrame, depth: int, path: str = "") -> DataFrame:
     return split.withColumn("sibling_rank", rank)
 
 
+def explore(counts: DataFrame, path: str = "", depth: int | None = None, normalizer: Normalizer | None = None) -> DataFrame:
+    """(prefix, parent, symbol, cnt, sibling_rank): the nodes along a typed path, and below it down to `depth`.
+
+    The path is normalised as a query literal, with position breaks as the index has them. The
+    depth counts from the root and is the path's length if not given, so an empty path gives
+    no node. Siblings rank by falling count, then by symbol.
+    """
+    if depth is not None and depth <= 0:
+        raise ValueError("depth must be positive")
+    typed = (normalizer or Normalizer([])).typed(path)
+    depth = len(typed) if depth is None else depth
+    if not depth:
+        return prefix_counts(counts, 1).limit(0)
+    found = prefix_counts(counts, depth, typed[:depth])
+    return found.where(F.char_length("prefix") > len(typed)).unionByName(found.where(F.lit(typed).startswith(F.col("prefix"))))
+
+
 def children(counts: DataFrame, parent: str, least: str = "", most: str = PB) -> DataFrame:
     """(symbol, cnt): the symbols after a prefix, in a range."""
     below = counts.withColumn("whole", F.concat("chain", F.lit(END))).where(F.col("whole").startswith(parent))
@@ -78,9 +169,14 @@ def total(counts: DataFrame) -> DataFrame:
     return counts.agg(F.coalesce(F.sum("cnt"), F.lit(0)).alias("total"))
 
 
+def walk(counts: DataFrame) -> DataFrame:
+    """(chain, cnt) in the order of the symbols, the end mark included: letters, end, position break."""
+    return counts.select(F.concat("chain", F.lit(END)).alias("chain"), "cnt").orderBy("chain")
+
+
 def dump(counts: DataFrame) -> DataFrame:
-    """(cnt, chain) with marks spelled out."""
-    return counts.select("cnt", spelled(F.concat("chain", F.lit(END))).alias("chain"))
+    """(cnt, chain) in the order of walk(), with marks spelled out."""
+    return walk(counts).select("cnt", spelled(F.col("chain")).alias("chain"))
 
 
 def save(counts: DataFrame, path: str, metadata: dict | None = None) -> None:
@@ -91,10 +187,19 @@ def save(counts: DataFrame, path: str, metadata: dict | None = None) -> None:
 
 
 def load(spark: SparkSession, path: str) -> DataFrame:
+    """The chains of a saved index; its metadata, columns and counts are checked first."""
     meta = [r.asDict() for r in spark.read.parquet(f"{path}/metadata").limit(2).collect()]
-    if len(meta) != 1 or meta[0]["format_version"] != METADATA["format_version"]:
-        raise ValueError(f"{path} isn't an index of version {METADATA['format_version']}")
-    return spark.read.parquet(f"{path}/chains")
+    if len(meta) != 1 or set(meta[0]) != set(METADATA):
+        raise ValueError(f"{path} has no metadata of an index")
+    for name in ("format_version", "flags", "normalization_profile", "max_chain_symbols", "title_multiplier"):
+        if meta[0][name] != METADATA[name]:
+            raise ValueError(f"{path} has {name} {meta[0][name]}, not {METADATA[name]}")
+    chains = spark.read.parquet(f"{path}/chains")
+    if [(f.name, f.dataType.simpleString()) for f in chains.schema] != [("chain", "string"), ("cnt", "bigint")]:
+        raise ValueError(f"{path} has other columns than chain and cnt")
+    if not chains.where("chain is null or chain = '' or cnt is null or cnt < 1").isEmpty():
+        raise ValueError(f"{path} has an empty chain or a count below 1")
+    return chains
 
 
 def merge(*indexes: DataFrame) -> DataFrame:
@@ -102,38 +207,47 @@ def merge(*indexes: DataFrame) -> DataFrame:
     return reduce(DataFrame.unionByName, indexes).groupBy("chain").agg(F.sum("cnt").alias("cnt"))
 
 
-def merge_saved(spark: SparkSession, paths: list[str], cutoff: int = 1, stage=None) -> DataFrame:
-    """The merged index of saved ones with equal metadata."""
+def same_metadata(spark: SparkSession, paths: list[str]) -> None:
     if len({tuple(sorted(spark.read.parquet(f"{p}/metadata").first().asDict().items())) for p in paths}) != 1:
         raise ValueError("the indexes differ in their metadata")
+
+
+def merge_saved(spark: SparkSession, paths: list[str], cutoff: int = 1, stage=None) -> DataFrame:
+    """The merged index of saved ones with equal metadata."""
+    same_metadata(spark, paths)
     merged = merge(*(load(spark, p) for p in paths))
     return cut_off(merged, cutoff, stage) if cutoff > 1 else merged
 
 
 def merge_rounds(spark: SparkSession, paths: list[str], fan_in: int = 200, between: int = 2, final: int = 5, stage=None) -> DataFrame:
-    """Batches of fan_in with the cutoff `between`, then all with `final`; batches lose what stays below."""
-    parts = [merge_saved(spark, paths[i : i + fan_in], 1 if len(paths) <= fan_in else between, stage) for i in range(0, len(paths), fan_in)]
-    return cut_off(merge(*parts), final, stage)
+    """Batches of fan_in with the cutoff `between` until so few are left, which get `final`; batches lose what stays below."""
+    parts = [lambda p=p: load(spark, p) for p in paths]
+    same_metadata(spark, paths)
+    while len(parts) > fan_in:
+        batches = [parts[i : i + fan_in] for i in range(0, len(parts), fan_in)]
+        done = [cut_off(merge(*(p() for p in b)), between, stage) for b in batches]
+        parts = [lambda d=d: d for d in done]
+    return cut_off(merge(*(p() for p in parts)), final, stage)
+
+
+EDGE_ROWS = 1_000_000  # rows that one task folds at the end
 
 
 def cut_off(counts: DataFrame, least: int, stage=None) -> DataFrame:
     """(chain, cnt): counts below `least` roll up to the prefix at the boundary before.
 
     A prefix is kept once it has `least`, or some and a longer one is kept; what reaches the
-    empty prefix is lost. One shuffle for each boundary depth, deepest first; `stage` may write
-    each level to keep the plan short.
+    empty prefix is lost. Chains are sorted by ranges and each partition decides its own
+    prefixes; those at its edges (a chain's depth at each) go on to a next round, until few are
+    left. `stage` may write each round, or rounds are computed again.
     """
     keep = stage or (lambda df, name: df)
-    ended = counts.select(F.concat("chain", F.lit(END)).alias("p"), F.col("cnt").alias("n"))
-    ended = keep(ended.withColumn("depth", F.regexp_count("p", F.lit(BOUNDARY))), "cutoff")
-    deepest = ended.agg(F.max("depth")).first()[0] or 0
-    carried, out = None, []
-    for depth in range(deepest, 0, -1):
-        own = ended.where(F.col("depth") == depth).select("p", "n", F.lit(False).alias("below"))
-        level = (own if carried is None else own.unionByName(carried)).groupBy("p").agg(F.sum("n").alias("n"), F.max("below").alias("below"))
-        emit = (F.col("n") >= least) | ((F.col("n") > 0) & F.col("below"))
-        level = keep(level.withColumn("emit", emit), "cutoff")
-        out.append(level.where("emit").select(F.regexp_replace("p", f"{END}$", "").alias("chain"), F.col("n").alias("cnt")))
-        up = F.regexp_replace("p", f"[^ {PB}]*{BOUNDARY}$", "")
-        carried = level.select(up.alias("p"), F.when(F.col("emit"), 0).otherwise(F.col("n")).cast("long").alias("n"), (F.col("emit") | F.col("below")).alias("below")).where("p <> ''")
-    return reduce(DataFrame.unionByName, out) if out else counts
+    rows = counts.where("chain <> ''").select(F.concat("chain", F.lit(END)).alias("p"), F.col("cnt").alias("n"), F.lit(False).alias("below"))
+    out, parts = [], None
+    while True:
+        folded = keep(_ranges(rows, parts).mapInArrow(lambda it, whole=parts == 1: _fold(it, least, whole), _FOLDED), "cutoff")
+        out.append(folded.where("done").select(F.regexp_replace("p", f"{END}$", "").alias("chain"), F.col("n").alias("cnt")))
+        if parts == 1:
+            return reduce(DataFrame.unionByName, out)
+        rows = folded.where("not done")
+        parts = -(-rows.count() // EDGE_ROWS) or 1  # fewer by far each round: two chains' depths for a partition

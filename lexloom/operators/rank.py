@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lexloom.functions.normalize import ascii_line
@@ -53,9 +53,10 @@ def rank_lines(lines: DataFrame, phrases: DataFrame, total: int, max_steps: int
     spans = norm.where("letters <> ''").select("letters", F.explode(starts).alias("start")).distinct()
     size = F.least(F.lit(MAX_SYMBOLS), F.char_length("letters") - F.col("start"))
     parts = spans.select("letters", "start", F.explode(F.sequence(F.lit(1), size)).alias("n")).select("letters", "start", F.substring("letters", F.col("start") + 1, F.col("n")).alias("word"))
-    usable = phrases.where(~F.col("phrase").endswith(PB) & F.col("phrase").rlike(rf"\A[a-z0-9 ]+[ {END}]?\z"))
+    usable = phrases.where(~F.contains("phrase", F.lit(PB)))
+    word = F.translate("phrase", f" {END}", "")  # only words of ASCII letters and digits can equal a part of a line
     variants = usable.select(
-        F.regexp_replace("phrase", f"[ {PB}{END}]", "").alias("word"), F.struct(F.rtrim(visible(F.col("phrase"))).alias("text"), F.col("phrase").endswith(" ").alias("spaced"), "cnt").alias("v")
+        word.alias("word"), F.struct(F.rtrim(visible(F.col("phrase"))).alias("text"), F.col("phrase").endswith(" ").alias("spaced"), "cnt").alias("v")
     )
     hits = parts.join(variants, "word").groupBy("letters", "start").agg(F.collect_list("v").alias("vs"))
     per_line = hits.groupBy("letters").agg(F.collect_list(F.struct("start", "vs")).alias("found"))
@@ -93,7 +94,3 @@ def rank_with(lines: DataFrame, ranker) -> DataFrame:
 
     return lines.select("line_number", "line").mapInPandas(run, "score double, line_number long, text string")
 
-
-def line_numbers(*keys: Column) -> Column:
-    """A 64-bit number for each line of a table without an order."""
-    return F.xxhash64(*keys)

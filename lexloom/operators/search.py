@@ -1,27 +1,30 @@
-"""Ranked search over boundary phrases: patterns, restarts, anagrams, keypad words, exploring."""
-
-from __future__ import annotations
+"""Ranked search over boundary phrases: patterns, restarts, anagrams, keypad words, filters of one's own, time limits."""
 
 import re
+import threading
+import uuid
+from collections.abc import Iterator
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lexloom.functions.normalize import Normalizer
-from lexloom.functions.symbols import BOUNDARY, END, PB, visible
+from lexloom.functions.symbols import BOUNDARY, END, PB, terminator, visible
 from lexloom.plans import pattern as P
 
 RESTART = 1e-6
 KEYPAD = ("abcdefghijklmnopqrstuvwxyz", "22233344455566677778889999")
 
 
-def match(phrase: Column, expr: str, alphabet: frozenset[str] = P.ASCII, normalizer: Normalizer | None = None, prefer_regex: bool = True) -> Column:
+def match(phrase: Column, expr: str, alphabet: frozenset[str] | None = None, normalizer: Normalizer | None = None, prefer_regex: bool = True) -> Column:
     """Whether a boundary phrase matches a pattern. Each operand of a top-level & is a predicate
     of its own; one that is regular stays a built-in regular expression, others run an automaton.
+    Both take every symbol of the index for `_`, `.` and complements, or those of an alphabet.
     """
     out = None
     for tree in P.conjuncts(P.Parser(expr, normalizer).parse()):
-        regex = P.to_regex(tree) if prefer_regex else None
+        regex = P.to_regex(tree, alphabet) if prefer_regex else None
         if regex is not None:
             one = phrase.rlike(rf"\A(?:{regex}){BOUNDARY}\z")
         else:
@@ -42,11 +45,11 @@ def _accepts(compiled: P.Compiled):
     return accepts
 
 
-def _within(phrase: Column, compiled: P.Compiled, alphabet: frozenset[str]) -> Column:
+def _within(phrase: Column, compiled: P.Compiled, alphabet: frozenset[str] | None) -> Column:
     """A necessary condition by built-in functions: only symbols that the automaton moves on."""
     moved = {c for m in compiled.dfa.moves for c in m}
     usable = {ch for ch, c in compiled.classes.items() if c in moved}
-    if usable >= alphabet:
+    if P.OTHER in usable or (alphabet is not None and usable >= alphabet):
         return F.lit(True)
     return phrase.rlike(rf"\A[{''.join(map(re.escape, sorted(usable | {' ', PB, END})))}]*\z")
 
@@ -61,20 +64,38 @@ def ranked(found: DataFrame, limit: int | None = None, merge_boundaries: bool =
     return best if limit is None else best.orderBy(F.desc("score"), "text").limit(limit)
 
 
-def find(phrases: DataFrame, expr: str, limit: int | None = None, alphabet: frozenset[str] = P.ASCII, normalizer: Normalizer | None = None, merge_boundaries: bool = False, prefer_regex: bool = True) -> DataFrame:
+def find(phrases: DataFrame, expr: str, limit: int | None = None, alphabet: frozenset[str] | None = None, normalizer: Normalizer | None = None, merge_boundaries: bool = False, prefer_regex: bool = True) -> DataFrame:
     """(text, score) of phrases(phrase, cnt) that match, without combinations."""
     hits = phrases.where(match(F.col("phrase"), expr, alphabet, normalizer, prefer_regex))
     return ranked(hits.select("phrase", F.col("cnt").cast("double").alias("score")), limit, merge_boundaries)
 
 
-def find_combined(phrases: DataFrame, expr: str, total: int, segments: int = 2, limit: int | None = None, restart: float = RESTART, alphabet: frozenset[str] = P.ASCII, normalizer: Normalizer | None = None) -> DataFrame:
-    """(text, score) of up to `segments` phrases in a row; all but the last end at a space.
+def _positive(name: str, value: int | None) -> None:
+    if value is not None and (not isinstance(value, int) or isinstance(value, bool) or value < 1):
+        raise ValueError(f"{name} must be a positive integer")
+
+
+def find_combined(
+    phrases: DataFrame, expr: str, total: int, segments: int | None = None, limit: int | None = None, restart: float = RESTART, alphabet: frozenset[str] | None = None, normalizer: Normalizer | None = None, stage=None
+) -> DataFrame:
+    """(text, score) of phrases in a row; all but the last end at a space.
 
     Joining costs cnt / total * restart. A phrase that already completes the pattern isn't
     extended. With a limit, each automaton state keeps as many best beginnings in each round,
-    which can't lose a result, as what follows depends on the state alone.
+    which can't lose a result, as what follows depends on the state alone. Any number of phrases
+    may follow one another unless `segments` says less: a pattern of bounded length ends by
+    itself, and with a limit the search ends once no longer row can come among the best; an
+    endless pattern without either is an error. `stage` may write each round, or each computes
+    those before it again.
     """
+    keep = stage or (lambda df, name: df)
+    _positive("segments", segments)
+    _positive("limit", limit)
     compiled = P.compile_pattern(P.Parser(expr, normalizer).parse(), alphabet)
+    if segments is None:
+        segments = compiled.dfa.longest(frozenset(compiled.classes[c] for c in (" ", PB, END)))  # each phrase has a symbol at least
+        if segments is None and limit is None and restart:
+            raise ValueError("an endless pattern needs a limit or a number of segments")
     accepting = sorted(compiled.dfa.accepting)
     phrases = phrases.where(_within(F.col("phrase"), compiled, alphabet))
 
@@ -85,12 +106,14 @@ def find_combined(phrases: DataFrame, expr: str, total: int, segments: int = 2,
 
         return phrases.select("phrase", "cnt", F.explode(live(F.col("phrase"))).alias("step")).select("phrase", "cnt", "step.*")
 
-    now = steps([0]).select("phrase", F.lit(1.0).alias("scale"), "cnt", "b")
-    found = None
-    for turn in range(segments):
+    now = keep(steps([0]).select("phrase", F.lit(1.0).alias("scale"), "cnt", "b"), "segments")
+    found, turn = None, 0
+    most = phrases.agg(F.max("cnt")).first()[0] or 0 if segments is None else 0
+    while True:
         hits = now.where(F.col("b").isin(accepting)).select("phrase", (F.col("scale") * F.col("cnt")).alias("score"))
         found = hits if found is None else found.unionByName(hits)
-        if turn == segments - 1 or restart == 0:
+        turn += 1
+        if turn == segments or restart == 0:
             break
         ends = now.where(~F.col("b").isin(accepting) & F.col("phrase").endswith(" "))
         joined = ends.select("b", visible(F.col("phrase")).alias("begun"), (F.col("scale") * (F.col("cnt") / F.lit(total)) * F.lit(restart)).alias("scale"))
@@ -98,12 +121,62 @@ def find_combined(phrases: DataFrame, expr: str, total: int, segments: int = 2,
         if limit is not None:
             rank = F.row_number().over(Window.partitionBy("b").orderBy(F.desc("scale"), "begun"))
             joined = joined.withColumn("rank", rank).where(F.col("rank") <= limit).drop("rank")
-        states = [r.b for r in joined.select("b").distinct().collect()]  # states of one automaton
-        after = steps(states)
-        now = joined.join(after, joined.b == after.a).select(F.concat("begun", "phrase").alias("phrase"), "scale", "cnt", after.b)
+        heads = joined.groupBy("b").agg(F.max("scale").alias("scale")).collect()  # a row for each state of one automaton
+        if not heads:
+            break
+        if segments is None:
+            worst = ranked(found, limit).agg(F.count(F.lit(1)).alias("n"), F.min("score").alias("least")).first()
+            if worst.n == limit and worst.least > max(h.scale for h in heads) * most:
+                break
+        after = steps([h.b for h in heads])
+        now = keep(joined.join(after, joined.b == after.a).select(F.concat("begun", "phrase").alias("phrase"), "scale", "cnt", after.b), "segments")
     return ranked(found, limit)
 
 
+def find_filtered(phrases: DataFrame, make_filter, limit: int | None = None, merge_boundaries: bool = False) -> DataFrame:
+    """(text, score) of the phrases that a filter of one's own lets through.
+
+    make_filter() runs once in each Python worker that needs it and returns a function from a
+    visible text and its boundary (`space`, `pb` or `end`) to a truth value.
+    """
+    _positive("limit", limit)
+
+    @F.pandas_udf("boolean")
+    def passes(texts: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        keep = make_filter()
+        for said, ends in texts:
+            yield pd.Series([bool(keep(t, e)) for t, e in zip(said, ends)], dtype="bool")
+
+    text = F.regexp_replace(F.col("phrase"), f"{BOUNDARY}$", "")
+    hits = phrases.where(passes(text, terminator(F.col("phrase"))))
+    return ranked(hits.select("phrase", F.col("cnt").cast("double").alias("score")), limit, merge_boundaries)
+
+
+def capped(df: DataFrame, seconds: float = 30, action=lambda df: df.collect()):
+    """The result of an action on df, or a TimeoutError after some seconds; its jobs are cancelled then."""
+    if not seconds > 0:
+        raise ValueError("seconds must be positive")
+    context, group, late = df.sparkSession.sparkContext, f"capped-{uuid.uuid4().hex}", threading.Event()
+
+    def stop() -> None:
+        late.set()
+        context.cancelJobGroup(group)
+
+    timer = threading.Timer(seconds, stop)
+    timer.daemon = True
+    context.setJobGroup(group, "capped", interruptOnCancel=True)
+    timer.start()
+    try:
+        return action(df)
+    except Exception as e:
+        if late.is_set():
+            raise TimeoutError(f"no result within {seconds} seconds") from e
+        raise
+    finally:
+        timer.cancel()
+        context.setLocalProperty("spark.jobGroup.id", None)
+
+
 def _words(phrases: DataFrame) -> DataFrame:
     """(phrase, cnt, word): phrases of one unbroken word that end at a space or the end."""
     word = F.regexp_replace("phrase", f"[ {PB}{END}]", "")

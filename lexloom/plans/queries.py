@@ -2,37 +2,19 @@
 
 from __future__ import annotations
 
-import atexit
-import shutil
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexloom.functions import markup, normalize
+from lexloom.functions.symbols import END, PB, spelled
 from lexloom.operators import index, rank, search
+from lexloom.plans import build
+from lexloom.plans import pattern as P
 from lexloom.sources import corpus
-from lexloom.streaming.rank import rank_stream
-
-_SAVED: dict[tuple[str, str], str] = {}
-
+from lexloom.sources.staging import shared_path, staged
+from lexloom.streaming.rank import index_stream, rank_stream
 
-def shared_path(spark: SparkSession, name: str) -> str:
-    """A new path in the folder that all executors share, or in a temporary one if none is set."""
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not base:
-        base = spark.conf.get("lexloom.index.dir", None) or tempfile.mkdtemp(prefix="lexloom-index-")
-        if not spark.conf.get("lexloom.index.dir", None):
-            atexit.register(shutil.rmtree, base, True)
-            spark.conf.set("lexloom.index.dir", base)
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-
-
-def staged(df: DataFrame, name: str) -> DataFrame:
-    path = shared_path(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+_SAVED: dict[tuple, str] = {}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -45,8 +27,10 @@ def norm_lines(spark: SparkSession, sf_dir: str, *keys: str) -> DataFrame:
 
 
 def saved(spark: SparkSession, sf_dir: str, name: str, make) -> DataFrame:
-    """A part of the index of sf_dir, built once a session."""
-    at = (spark.sparkContext.applicationId, f"{sf_dir}/{name}")
+    """A part of the index of sf_dir, built once a session for the files as they are."""
+    files = spark.read.format("binaryFile").load(f"{sf_dir}/documents.parquet")
+    state = tuple(files.agg(F.count(F.lit(1)), F.sum("length"), F.max("modificationTime").cast("string")).first())
+    at = (spark.sparkContext.applicationId, f"{sf_dir}/{name}", state)
     if at not in _SAVED:
         path = shared_path(spark, name)
         make().write.parquet(path)
@@ -59,7 +43,16 @@ def counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return saved(spark, sf_dir, "phrases", lambda: index.boundary_phrases(counts(spark, sf_dir)))
+    return saved(spark, sf_dir, "phrases", lambda: index.boundary_phrases(counts(spark, sf_dir), staged))
+
+
+def unicode_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lines = corpus.document_lines(table(spark, sf_dir, "documents"), "doc_id")
+    return normalize.corpus_text(lines, "line")
+
+
+def unicode_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return saved(spark, sf_dir, "unicode", lambda: index.chain_counts(unicode_lines(spark, sf_dir), "normalized"))
 
 
 def whole(spark: SparkSession, sf_dir: str) -> int:
@@ -89,6 +82,11 @@ EXPRESSIONS = {
     "expr_intersection": ("th_*&_*er&_{5}", "regexp_full_match(t, 'th.*') AND regexp_full_match(t, '.*er') AND length(t) = 5"),
     "expr_nested_intersection": ("t(h_*&_*e)_", "regexp_full_match(t, 'th.*.') AND regexp_full_match(t, 't.*e.') AND length(t) >= 4"),
     "expr_anagram_letters": ("<tshe>", "list_sort(string_split(t, '')) = ['e', 'h', 's', 't']"),
+    "expr_dot": ('"th. o_*"', "regexp_full_match(s, 'th. o[^ ]*')"),
+    "expr_any_class": ('"[_ ]{4}th"', "regexp_full_match(s, '.{4}th')"),
+    "expr_no_class": ('"th[^_]_*"', "regexp_full_match(s, 'th [^ ]*')"),
+    "expr_folded_literal": ("THeR_", "regexp_full_match(t, 'ther.')"),
+    "expr_grouped": ("(t(he|o))(re)?", "regexp_full_match(t, '(t(he|o))(re)?')"),
     "expr_anagram_parts": ("<(th)(er)(in)>", "t IN ('therin', 'thiner', 'erthin', 'erinth', 'inther', 'inerth')"),
 }
 
@@ -128,18 +126,193 @@ def q_merge_sources(spark, sf_dir):
     return index.merge(*(index.chain_counts(lines.where(x)) for x in parts))
 
 
-def short_counts(spark, sf_dir):
-    """Chains of three words at most."""
-    short = counts(spark, sf_dir).select(F.substring_index("chain", " ", 3).alias("chain"), "cnt")
-    return short.groupBy("chain").agg(F.sum("cnt").alias("cnt"))
+def q_merge_cutoff(spark, sf_dir):
+    return index.cut_off(counts(spark, sf_dir), 5, staged)
 
 
-def q_merge_cutoff(spark, sf_dir):
-    return index.cut_off(short_counts(spark, sf_dir), 5, staged)
+def part_indexes(spark, sf_dir, n: int) -> list[str]:
+    """Saved indexes of the documents dealt by id."""
+    lines = norm_lines(spark, sf_dir).withColumn("part", F.pmod(F.coalesce("doc_id", F.lit(0)), F.lit(n)))
+    paths = [shared_path(spark, f"part{i}") for i in range(n)]
+    for i, path in enumerate(paths):
+        index.save(index.chain_counts(lines.where(F.col("part") == i)), path)
+    return paths
 
 
-def q_merge_cutoff_whole(spark, sf_dir):
-    return index.cut_off(counts(spark, sf_dir), 5, staged)
+def q_merge_rounds(spark, sf_dir):
+    return index.merge_rounds(spark, part_indexes(spark, sf_dir, 3), fan_in=2, between=2, final=5, stage=staged)
+
+
+def q_saved_index(spark, sf_dir):
+    return index.merge_saved(spark, part_indexes(spark, sf_dir, 2))
+
+
+def q_partial_runs(spark, sf_dir):
+    source, out, check = (shared_path(spark, x) for x in ("lines", "runs", "stream"))
+    norm_lines(spark, sf_dir).select("text").write.parquet(source)
+    index_stream(spark.readStream.schema("text string").parquet(source), out, check).awaitTermination()
+    return index.merge(spark.read.parquet(out).select("chain", "cnt"))
+
+
+def q_explore_path(spark, sf_dir):
+    found = index.explore(counts(spark, sf_dir), "the", 5)
+    return found.select(spelled(F.col("prefix")).alias("prefix"), "cnt", "sibling_rank")
+
+
+def q_marked_lines(spark, sf_dir):
+    """Documents as articles, half of them by each kind of markers."""
+    docs = table(spark, sf_dir, "documents").where("doc_id is not null")
+    text = normalize.ascii_line(F.coalesce("text", F.lit("")))
+    one = F.array(F.concat(F.lit("BEGIN ARTICLE:"), F.col("lang")), text, F.lit("END ARTICLE:"))
+    two = F.array(F.lit("<doc id=1>"), F.col("lang"), text, F.lit("</doc>"))
+    lines = docs.select(F.col("doc_id").alias("file"), F.posexplode(F.when(F.col("doc_id") % 2 == 0, one).otherwise(two)).alias("line_no", "line"))
+    return corpus.marked_lines(lines, "file")
+
+
+def wiki_dump(spark, sf_dir, where: str) -> str:
+    """An XML dump of the documents that `where` takes: title and text without markup."""
+    path = shared_path(spark, "dump")
+    docs = table(spark, sf_dir, "documents").where(where)
+    pages = docs.select(F.concat(F.lit("doc "), "doc_id").alias("title"), normalize.ascii_line(F.coalesce("text", F.lit(""))).alias("text"))
+    pages.write.format("xml").option("rowTag", "page").option("rootTag", "dump").save(path)
+    return path
+
+
+def q_wiki_articles(spark, sf_dir):
+    return markup.articles(corpus.wiki_pages(spark, wiki_dump(spark, sf_dir, "true"))).select("title", "text")
+
+
+def q_build(spark, sf_dir):
+    dumps = {name: wiki_dump(spark, sf_dir, f"doc_id % 2 = {i}") for i, name in enumerate(("even", "odd"))}
+    return build.Build(shared_path(spark, "build"), dumps, cutoff=1, test="the_*").run(spark)
+
+
+#: Kinds of markup around the words `w`, and what stays of each.
+WIKI = (
+    ("{{box|{{inner|w}}}} w", "w"), ("{| a {| b |} |} w", "w"), ("<!-- w -->w", "w"), ("<ref name=a>w</ref>w<ref name=b/>", "w"), ("[[File:a.png|w [[b|c]]]] w", "w"),
+    ("[[target|w]] w", "w w"), ("[[w]]", "w"), ("[http://a.b/c w] [https://d]", "w"), ("<b>w</b>&nbsp;<br/>w", "w w"), ("w BEGIN ARTICLE", "w >BEGIN ARTICLE"),
+)
+
+
+def q_wiki_markup(spark, sf_dir):
+    """Normalised lines in each kind of markup, with spaces collapsed after its removal."""
+    lines = norm_lines(spark, sf_dir).where("text <> ''")
+    kinds = F.array(*[F.lit(x.replace("w", "{w}")) for x, _ in WIKI])
+    text = F.replace(F.replace(F.element_at(kinds, (F.col("line_no") % len(WIKI) + 1).cast("int")), F.lit("{w}"), F.lit("\x01")), F.lit("\x01"), "text")
+    plain = markup.plain_text(lines.select("doc_id", F.col("line_no").cast("int").alias("line_no"), text.alias("wiki")), "wiki")
+    return plain.select("doc_id", "line_no", F.trim(F.regexp_replace("plain", " +", " ")).alias("plain"))
+
+
+def fixed(spark, rows, ddl):
+    return spark.createDataFrame(list(rows), ddl)
+
+
+#: Lines and what the index has of them.
+NORMALISED = (
+    ("a--b", "a b"), ("I'm", "im"), ("rock 'n' roll", "rock n roll"), ("cafe\u0301", "café"), ("ＡＩ时代", "ai|时|代"), ("中国科学院", "中|国|科|学|院"), ("台 臺", "台 臺"), ("か\u3099", "が"),
+    ("かな文字 カタカナ", "か|な|文|字 カ|タ|カ|ナ"), ("한글ABC", "한|글|abc"), ("Straße ﬁx", "strasse fix"), ("x α y ① z", "x y z"), ("\u3000  ", ""),
+)
+#: An article, title first, and how the index has each line.
+MIXED = (("BEGIN ARTICLE:Open源 中国科学院", "open|源 中|国|科|学|院", 10), ("Open-source AI 时代", "open source ai 时|代", 1), ("かな文字 カタカナ", "か|な|文|字 カ|タ|カ|ナ", 1), ("한글ABC", "한|글|abc", 1))
+#: Bytes, whether they are UTF-8, bad sequences, and text with boundaries for those.
+BYTES = (("6180806 2".replace(" ", ""), False, 2, "a b"), ("78EDA08079", False, 1, "x y"), ("C0AF61", False, 1, "a"), ("F4908080", False, 1, ""), ("E4B8", False, 1, ""), ("E4B8AD61", True, 0, "中|a"))
+CLASSES = (("a", "AsciiLetter"), ("7", "AsciiDigit"), ("é", "LatinLetter"), ("中", "Han"), ("か", "Hiragana"), ("カ", "Katakana"), ("한", "Hangul"), ("α", "Disallowed"), ("①", "Disallowed"), ("\U0001d400", "Disallowed"), ("\u0301", "Disallowed"))
+#: Patterns, and the byte at which each fails (-1: none).
+SYNTAX = (("(a", 2), ("a{2,1}", 6), ("<>", 2), ("a)", 1), ("a**", 2), ("[b-a]", 4), ("α", 0), ("aα", 1), ("a{256,}", -1), ("a{256}", 6), ("[_(]", 2), ("[_ ]", -1), ("th_*&_{5}", -1))
+#: A few traditional characters and their simplified forms; a table for real use is data.
+SIMPLIFIED = {"數": "数", "學": "学", "體": "体", "與": "与", "結": "结", "構": "构"}
+CHINESE = (("數學", "数学"), ("繁體中文與结构\r\n<b>", "繁体中文与结构\r\n<b>"), ("abc", "abc"))
+
+
+def q_unicode_cases(spark, sf_dir):
+    found = normalize.corpus_text(fixed(spark, [(x,) for x, _ in NORMALISED], "line string"), "line")
+    return found.select("line", F.replace("normalized", F.lit(PB), F.lit("|")).alias("normalized"))
+
+
+def q_cjk_index(spark, sf_dir):
+    lines = fixed(spark, [(0, i, x) for i, (x, _, _) in enumerate(MIXED)], "file int, line_no int, line string")
+    return index.dump(index.chain_counts(normalize.corpus_text(corpus.marked_lines(lines, "file")), "normalized", "weight"))
+
+
+def q_utf8_cases(spark, sf_dir):
+    rows = fixed(spark, [(x,) for x, _, _, _ in BYTES], "raw string").withColumn("bytes", F.unhex("raw"))
+    found = normalize.corpus_text(rows, "bytes").withColumn("valid", F.is_valid_utf8(F.col("bytes").cast("string")))
+    return found.select("raw", "valid", "invalid_utf8", F.replace("normalized", F.lit(PB), F.lit("|")).alias("normalized"))
+
+
+def q_character_classes(spark, sf_dir):
+    n = normalize.Normalizer(normalize.class_ranges(spark))
+    return fixed(spark, [(c, normalize.NAMES[n.classify(c)]) for c, _ in CLASSES], "symbol string, class string")
+
+
+def q_pattern_errors(spark, sf_dir):
+    def at(expr: str) -> int:
+        try:
+            P.Parser(expr).parse()
+        except P.PatternSyntaxError as e:
+            return e.offset
+        return -1
+
+    return fixed(spark, [(x, at(x)) for x, _ in SYNTAX], "expr string, fails_at int")
+
+
+def q_invalid_total(spark, sf_dir):
+    """Bad sequences of all lines, each with three bytes after it that are two sequences."""
+    lines = corpus.document_lines(table(spark, sf_dir, "documents"), "doc_id")
+    raw = lines.select(F.concat(F.col("line").cast("binary"), F.unhex(F.lit("FFC0AF"))).alias("raw"))
+    return normalize.invalid_total(normalize.corpus_text(raw, "raw"))
+
+
+def q_zh_convert(spark, sf_dir):
+    rows = fixed(spark, [(x,) for x, _ in CHINESE], "text string")
+    return rows.select("text", markup.convert_characters(F.col("text"), SIMPLIFIED).alias("simplified"))
+
+
+def q_convert_tree(spark, sf_dir):
+    """Names and texts after the conversion of a tree of files, one of which is there already and one no UTF-8."""
+    source, target = shared_path(spark, "tree"), shared_path(spark, "converted")
+    files = [("top.txt", "數".encode()), ("a/one.txt", "學體".encode()), ("a/b/two.txt", b"x"), ("bad.txt", b"\xff")]
+    for name, content in files:
+        corpus.write_bytes(spark, f"{source}/{name}", content)
+    markup.convert_files(spark, source, target, SIMPLIFIED, first=1)
+    markup.convert_files(spark, source, target, SIMPLIFIED)
+    status = markup.file_status(spark, source, target).select("name", "status")
+    return status.join(spark.read.parquet(target), "name", "left").select("name", "status", "text")
+
+
+def q_unicode_search(spark, sf_dir):
+    phrases = index.boundary_phrases(unicode_counts(spark, sf_dir), staged)
+    return search.find(phrases, "_é_*", normalizer=normalize.Normalizer(normalize.class_ranges(spark)))
+
+
+def q_own_filter(spark, sf_dir):
+    return search.find_filtered(phrases(spark, sf_dir), lambda: lambda text, end: len(text) > 2 and end == "space" and text == text[::-1])
+
+
+def q_result_sink(spark, sf_dir):
+    path = shared_path(spark, "results")
+    found = search.find(phrases(spark, sf_dir), "th_{2}")
+    corpus.result_lines(found.withColumn("score", F.col("score") / 8)).write.text(path)
+    return spark.read.text(path)
+
+
+def q_ranked_sink(spark, sf_dir):
+    path = shared_path(spark, "ranked")
+    corpus.write_ranked(rank.rank_lines(lines_to_rank(spark, sf_dir), phrases(spark, sf_dir), whole(spark, sf_dir)), path)
+    return spark.read.schema("score double, line_number long, text string").csv(path, sep="\t")
+
+
+def q_own_ranker(spark, sf_dir):
+    return rank.rank_with(lines_to_rank(spark, sf_dir), lambda line: (len(line) / 4, line[::-1]))
+
+
+def q_rank_budget(spark, sf_dir):
+    return rank.rank_lines(lines_to_rank(spark, sf_dir), phrases(spark, sf_dir), whole(spark, sf_dir), max_steps=1, order=False)
+
+
+def q_capped_search(spark, sf_dir):
+    rows = search.capped(search.find(phrases(spark, sf_dir), "th_{3}", limit=50), seconds=600)
+    return spark.createDataFrame(rows, "text string, score double")
 
 
 def q_find_anagrams(spark, sf_dir):
@@ -151,10 +324,14 @@ def q_find_phone_words(spark, sf_dir):
 
 
 def q_restart_two_segments(spark, sf_dir):
-    found = search.find_combined(phrases(spark, sf_dir), "theand", whole(spark, sf_dir))
+    found = search.find_combined(phrases(spark, sf_dir), "theand", whole(spark, sf_dir), segments=2, stage=staged)
     return found.select("text", F.round(F.col("score") * 1e6, 4).alias("score"))
 
 
+def q_restart_any_segments(spark, sf_dir):
+    return search.find_combined(phrases(spark, sf_dir), "theandof", whole(spark, sf_dir), stage=staged)
+
+
 def q_rank_lines(spark, sf_dir):
     return rank.rank_lines(lines_to_rank(spark, sf_dir), phrases(spark, sf_dir), whole(spark, sf_dir))
 
@@ -190,8 +367,7 @@ def q_drop_redirects(spark, sf_dir):
 
 
 def q_unicode_normalize(spark, sf_dir):
-    lines = corpus.document_lines(table(spark, sf_dir, "documents"), "doc_id")
-    return normalize.corpus_text(lines, "line").select("doc_id", "line_no", "normalized", "invalid_utf8")
+    return unicode_lines(spark, sf_dir).select("doc_id", "line_no", "normalized", "invalid_utf8")
 
 
 QUERIES = {
@@ -208,11 +384,36 @@ QUERIES = {
     "dump_index": lambda spark, sf_dir: index.dump(counts(spark, sf_dir)),
     "merge_sources": q_merge_sources,
     "merge_cutoff": q_merge_cutoff,
-    "merge_cutoff_whole": q_merge_cutoff_whole,
     **{name: expression(expr) for name, (expr, _) in EXPRESSIONS.items()},
     "find_anagrams": q_find_anagrams,
     "find_phone_words": q_find_phone_words,
     "restart_two_segments": q_restart_two_segments,
+    "restart_any_segments": q_restart_any_segments,
+    "merge_rounds": q_merge_rounds,
+    "saved_index": q_saved_index,
+    "partial_runs": q_partial_runs,
+    "explore_path": q_explore_path,
+    "index_walk": lambda spark, sf_dir: index.walk(counts(spark, sf_dir)),
+    "marked_lines": q_marked_lines,
+    "wiki_articles": q_wiki_articles,
+    "wiki_markup": q_wiki_markup,
+    "build_pipeline": q_build,
+    "unicode_cases": q_unicode_cases,
+    "cjk_index": q_cjk_index,
+    "utf8_cases": q_utf8_cases,
+    "character_classes": q_character_classes,
+    "pattern_errors": q_pattern_errors,
+    "invalid_total": q_invalid_total,
+    "zh_convert": q_zh_convert,
+    "convert_tree": q_convert_tree,
+    "unicode_chain_counts": unicode_counts,
+    "unicode_search": q_unicode_search,
+    "own_filter": q_own_filter,
+    "result_sink": q_result_sink,
+    "ranked_sink": q_ranked_sink,
+    "own_ranker": q_own_ranker,
+    "rank_budget": q_rank_budget,
+    "capped_search": q_capped_search,
     "rank_lines": q_rank_lines,
     "stream_rank": q_stream_rank,
     "page_results": q_page_results,
@@ -257,8 +458,79 @@ def _expr(condition: str) -> str:
     return f"""WITH {_PHRASES} {_FOUND} FROM (SELECT text, terminator, cnt, replace(text, ' ', '') AS t, text AS s FROM phrases) WHERE {condition} GROUP BY text, terminator"""
 
 
-_TAGS = r"""trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(html, '(?is)<!--.*?-->|<script.*?</script>|<style.*?</style>', '', 'g'),
-    '(?i)</?[a-z][a-z0-9]*( [^>]*)?/?>', ' ', 'g'), '(?i)&[a-z]+;', ' ', 'g'), '[ \t\r\n]+', ' ', 'g'))"""
+_TAGS = r"""trim(regexp_replace(regexp_replace(regexp_replace(
+    regexp_replace(regexp_replace(regexp_replace(html, '(?is)<!--.*?-->', '', 'g'), '(?is)<script.*?</script>', '', 'g'), '(?is)<style.*?</style>', '', 'g'),
+    '<[A-Za-z/!][^>]*>', ' ', 'g'), '&#?[A-Za-z0-9]+;', ' ', 'g'), '[ \t\r\n]+', ' ', 'g'))"""
+
+
+def _cut(source: str, least: int, name: str, levels: int = 42) -> str:
+    """Tables that end in `name`(chain, cnt): counts below `least` rolled up, a table for each depth; $ stands for the end."""
+    parts = [f"{name}_e AS MATERIALIZED (SELECT chain || '$' AS p, cnt AS n, length(chain) - length(replace(chain, ' ', '')) + 1 AS d FROM {source} WHERE chain <> '')"]
+    for d in range(levels, 0, -1):
+        up = f"UNION ALL SELECT regexp_replace(p, '[^ ]*[ $]$', ''), CASE WHEN emit THEN 0 ELSE n END, emit OR below FROM {name}_{d + 1}" if d < levels else ""
+        parts.append(
+            f"{name}_{d} AS MATERIALIZED (SELECT *, n >= {least} OR (n > 0 AND below) AS emit FROM (SELECT p, sum(n) AS n, bool_or(below) AS below"
+            f" FROM (SELECT p, n, false AS below FROM {name}_e WHERE d = {d} {up}) GROUP BY p))"
+        )
+    every = " UNION ALL ".join(f"SELECT p, n FROM {name}_{d} WHERE emit" for d in range(1, levels + 1))
+    return ", ".join([*parts, f"{name} AS MATERIALIZED (SELECT rtrim(p, '$') AS chain, CAST(n AS BIGINT) AS cnt FROM ({every}))"])
+
+
+_LATIN = r"a-z\p{Latin}"
+
+
+def _elided(text: str) -> str:
+    """Apostrophes between two letters taken out; done twice, as a letter may stand between two of them."""
+    once = lambda x: f"regexp_replace({x}, '([{_LATIN}])[''\u2019]([{_LATIN}])', '\\1\\2', 'g')"
+    return once(once(text))
+
+
+_UNICODE = f"""unicode AS (
+    SELECT doc_id, line_no, trim(regexp_replace({_elided("replace(lower(ls[line_no + 1]), 'ß', 'ss')")}, '[^0-9{_LATIN}]+', ' ', 'g')) AS text
+    FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents), LATERAL (SELECT CAST(unnest(range(0, len(ls))) AS INTEGER) AS line_no)
+)"""
+_UNICODE_COUNTS = f"{_UNICODE}, counts AS (SELECT chain, CAST(count(*) AS BIGINT) AS cnt FROM {_chains('unicode', 'doc_id')} GROUP BY chain)"
+
+
+def _phrases_of(counts: str) -> str:
+    return counts + _PHRASES[len(_COUNTS) :]
+
+
+def _values(rows, names: str) -> str:
+    said = lambda x: "'" + x.replace("'", "''") + "'" if isinstance(x, str) else str(x).lower()
+    return f"SELECT * FROM (VALUES {', '.join('(' + ', '.join(map(said, r)) + ')' for r in rows)}) AS v({names})"
+
+
+_RANKED = f"""WITH RECURSIVE {_PHRASES}, total AS (SELECT sum(cnt) AS n FROM counts),
+    v AS (SELECT text, terminator = 'space' AS spaced, cnt, replace(text, ' ', '') AS word FROM phrases),
+    said AS (SELECT DISTINCT {_NORM.format("coalesce(text, '')")} AS said FROM benchmark),
+    line AS (
+        SELECT said, replace(said, ' ', '') AS letters, list_transform(range(1, len(string_split(said, ' '))), lambda i: length(array_to_string(string_split(said, ' ')[1:i], ''))) AS needed FROM said
+    ),
+    part AS (
+        SELECT said, needed, s, k, substr(letters, CAST(s + 1 AS INT), CAST(k AS INT)) AS word
+        FROM line, LATERAL (SELECT unnest(range(0, length(letters))) AS s), LATERAL (SELECT unnest(range(1, least(40, length(letters) - s) + 1)) AS k)
+    ),
+    hit AS (
+        SELECT said, s, s + k AS e, text, spaced, cnt FROM part JOIN v USING (word)
+        WHERE list_has_all(list_transform(range(1, len(string_split(text, ' '))), lambda i: s + length(array_to_string(string_split(text, ' ')[1:i], ''))), list_filter(needed, lambda q: q > s AND q < s + k))
+    ),
+    byend AS MATERIALIZED (SELECT said, e, list({{'s': s, 't': text, 'p': spaced, 'c': CAST(cnt AS DOUBLE)}}) AS hs FROM hit GROUP BY said, e),
+    dp AS (
+        SELECT said, letters, CAST(0 AS BIGINT) AS i, [CAST(1 AS DOUBLE)] AS score, [''] AS begun FROM line
+        UNION ALL
+        SELECT said, letters, i + 1, list_append(score, -best.a), list_append(begun, best.b) FROM (
+            SELECT d.said, d.letters, d.i, d.score, d.begun, list_sort(list_transform(list_filter(coalesce(hs, []), lambda h: h.p AND d.score[h.s + 1] IS NOT NULL),
+                lambda h: {{'a': -(d.score[h.s + 1] * (h.c / total.n) * CAST(1e-6 AS DOUBLE)), 'b': d.begun[h.s + 1] || h.t || ' '}}))[1] AS best
+            FROM dp d CROSS JOIN total LEFT JOIN byend ON byend.said = d.said AND byend.e = d.i + 1 WHERE d.i < length(d.letters)
+        )
+    ),
+    last AS (
+        SELECT d.said, list_sort(list_transform(list_filter(coalesce(hs, []), lambda h: d.score[h.s + 1] IS NOT NULL), lambda h: {{'a': -(d.score[h.s + 1] * h.c), 'b': d.begun[h.s + 1] || h.t}}))[1] AS best
+        FROM dp d LEFT JOIN byend ON byend.said = d.said AND byend.e = d.i WHERE d.i = length(d.letters)
+    )
+    SELECT coalesce(-best.a, CAST(0 AS DOUBLE)) AS score, item_id AS line_number, coalesce(best.b, last.said) AS text
+    FROM benchmark JOIN last ON last.said = {_NORM.format("coalesce(benchmark.text, '')")}"""
 
 SQL = {
     "expr_search": _expr("regexp_full_match(t, 'the.*')"),
@@ -277,22 +549,65 @@ SQL = {
     "total_count": f"WITH {_COUNTS} SELECT CAST(sum(cnt) AS BIGINT) AS total FROM counts",
     "dump_index": f"WITH {_COUNTS} SELECT cnt, chain || '<END>' AS chain FROM counts",
     "merge_sources": f"WITH {_COUNTS} SELECT chain, cnt FROM counts",
-    "merge_cutoff": f"""WITH {_COUNTS}, short AS (
-            SELECT array_to_string(string_split(chain, ' ')[1:3], ' ') AS chain, CAST(sum(cnt) AS BIGINT) AS n FROM counts GROUP BY 1
-        ), w AS (SELECT string_split(chain, ' ') AS ws, n FROM short),
-        e3 AS (SELECT ws[1] || ' ' AS p1, ws[1] || ' ' || ws[2] || ' ' AS p2, array_to_string(ws, ' ') AS p, n, n >= 5 AS emit FROM w WHERE len(ws) = 3),
-        own2 AS (
-            SELECT p1, p2 AS p, sum(CASE WHEN emit THEN 0 ELSE n END) AS n, bool_or(emit) AS below FROM e3 GROUP BY ALL
-            UNION ALL SELECT ws[1] || ' ', array_to_string(ws, ' '), n, false FROM w WHERE len(ws) = 2
-        ),
-        e2 AS (SELECT *, n >= 5 OR (n > 0 AND below) AS emit FROM own2),
-        own1 AS (
-            SELECT p1 AS p, sum(CASE WHEN emit THEN 0 ELSE n END) AS n, bool_or(emit OR below) AS below FROM e2 GROUP BY ALL
-            UNION ALL SELECT ws[1], n, false FROM w WHERE len(ws) = 1
-        ),
-        e1 AS (SELECT *, n >= 5 OR (n > 0 AND below) AS emit FROM own1)
-        SELECT chain, CAST(cnt AS BIGINT) AS cnt FROM (
-            SELECT p AS chain, n AS cnt FROM e3 WHERE emit UNION ALL SELECT p, n FROM e2 WHERE emit UNION ALL SELECT p, n FROM e1 WHERE emit)""",
+    "merge_cutoff": f"WITH {_COUNTS}, {_cut('counts', 5, 'cut')} SELECT chain, cnt FROM cut",
+    "merge_rounds": f"""WITH {_LINES}, {', '.join(
+            f"part{i} AS (SELECT chain, CAST(count(*) AS BIGINT) AS cnt FROM {_chains('lines', 'doc_id')} WHERE coalesce(doc_id, 0) % 3 = {i} GROUP BY chain)" for i in range(3))},
+        batch AS (SELECT chain, sum(cnt) AS cnt FROM (FROM part0 UNION ALL FROM part1) GROUP BY chain),
+        {_cut('batch', 2, 'one')}, {_cut('part2', 2, 'two')},
+        merged AS (SELECT chain, sum(cnt) AS cnt FROM (FROM one UNION ALL FROM two) GROUP BY chain), {_cut('merged', 5, 'cut')} SELECT chain, cnt FROM cut""",
+    "saved_index": f"WITH {_COUNTS} SELECT chain, cnt FROM counts",
+    "partial_runs": f"WITH {_COUNTS} SELECT chain, cnt FROM counts",
+    "index_walk": f"WITH {_COUNTS} SELECT chain || chr(1114110) AS chain, cnt FROM counts ORDER BY chain",
+    "explore_path": f"""WITH {_COUNTS}, node AS (
+            SELECT substr(whole, 1, n) AS prefix, substr(whole, 1, n - 1) AS parent, CAST(sum(cnt) AS BIGINT) AS cnt
+            FROM (SELECT chain || chr(1114110) AS whole, cnt FROM counts WHERE starts_with(chain, 'the')), (SELECT unnest([1, 2, 3, 4, 5]) AS n) WHERE length(whole) >= n GROUP BY ALL
+        ) SELECT replace(prefix, chr(1114110), '<END>') AS prefix, cnt, CAST(row_number() OVER (PARTITION BY parent ORDER BY cnt DESC, prefix) AS INTEGER) AS sibling_rank FROM node""",
+    "marked_lines": f"""SELECT lang AS text, 10 AS weight FROM documents WHERE doc_id IS NOT NULL
+        UNION ALL SELECT {_NORM.format("coalesce(text, '')")}, 1 FROM documents WHERE doc_id IS NOT NULL""",
+    "wiki_articles": f"SELECT 'doc ' || doc_id AS title, {_NORM.format('text')} AS text FROM documents WHERE {_NORM.format('text')} <> ''",
+    "wiki_markup": f"WITH {_LINES} SELECT doc_id, line_no, replace(([{', '.join(repr(y) for _, y in WIKI)}])[line_no % {len(WIKI)} + 1], 'w', text) AS plain FROM lines WHERE text <> ''",
+    "build_pipeline": f"""WITH weighted AS (
+            SELECT 'doc ' || doc_id AS text, 10 AS weight FROM documents WHERE {_NORM.format('text')} <> '' UNION ALL SELECT {_NORM.format('text')}, 1 FROM documents
+        ), counts AS (SELECT chain, CAST(sum(weight) AS BIGINT) AS cnt FROM {_chains('weighted', 'weight')} GROUP BY chain){_PHRASES[len(_COUNTS):]}
+        {_FOUND} FROM phrases WHERE regexp_full_match(replace(text, ' ', ''), 'the.*') GROUP BY text, terminator ORDER BY score DESC, text LIMIT 100""",
+    "unicode_normalize": f"WITH {_UNICODE} SELECT doc_id, line_no, text AS normalized, CAST(0 AS BIGINT) AS invalid_utf8 FROM unicode",
+    "unicode_chain_counts": f"WITH {_UNICODE_COUNTS} SELECT chain, cnt FROM counts",
+    "unicode_search": f"WITH {_phrases_of(_UNICODE_COUNTS)} {_FOUND} FROM phrases WHERE regexp_full_match(replace(text, ' ', ''), '.é.*') GROUP BY text, terminator",
+    "unicode_cases": _values(NORMALISED, "line, normalized"),
+    "cjk_index": f"""WITH line AS ({_values([(x, n) for _, x, n in MIXED], "text, weight")})
+        SELECT CAST(sum(weight) AS BIGINT) AS cnt, replace(substr(text, p), '|', '<PB>') || '<END>' AS chain
+        FROM line, LATERAL (SELECT CAST(unnest(range(1, length(text) + 1)) AS INT) AS p) WHERE p = 1 OR substr(text, p - 1, 1) IN (' ', '|') GROUP BY ALL""",
+    "utf8_cases": f"SELECT raw, valid, CAST(n AS BIGINT) AS invalid_utf8, normalized FROM ({_values(BYTES, 'raw, valid, n, normalized')})",
+    "character_classes": _values(CLASSES, "symbol, class"),
+    "pattern_errors": _values(SYNTAX, "expr, fails_at"),
+    "invalid_total": "SELECT CAST(2 * sum(len(string_split(coalesce(text, ''), chr(10)))) AS BIGINT) AS invalid_utf8 FROM documents",
+    "zh_convert": _values(CHINESE, "text, simplified"),
+    "convert_tree": _values([("a/b/two.txt", "skipped", "x"), ("a/one.txt", "skipped", "学体"), ("top.txt", "skipped", "数")], "name, status, text") + " UNION ALL SELECT 'bad.txt', 'failed', NULL",
+    "own_filter": f"WITH {_PHRASES} SELECT text || ' ' AS text, CAST(cnt AS DOUBLE) AS score FROM phrases WHERE terminator = 'space' AND length(text) > 2 AND reverse(text) = text",
+    "result_sink": f"""WITH {_PHRASES} SELECT (CASE WHEN cnt % 8 = 0 THEN CAST(cnt // 8 AS VARCHAR) ELSE rtrim(printf('%.3f', cnt / 8), '0') END) || ' ' || text AS value
+        FROM phrases WHERE regexp_full_match(replace(text, ' ', ''), 'th..')""",
+    "rank_lines": _RANKED,
+    "stream_rank": _RANKED,
+    "ranked_sink": _RANKED,
+    "own_ranker": "SELECT length(text) / 4 AS score, item_id AS line_number, reverse(text) AS text FROM benchmark",
+    "rank_budget": f"SELECT CAST(-1 AS DOUBLE) AS score, item_id AS line_number, {_NORM.format('text')} AS text FROM benchmark",
+    "capped_search": f"""WITH {_PHRASES} {_FOUND} FROM phrases WHERE regexp_full_match(replace(text, ' ', ''), 'th...') GROUP BY text, terminator ORDER BY score DESC, text LIMIT 50""",
+    "remove_markup": r"""WITH RECURSIVE step AS (
+            SELECT page_id, html AS s, 0 AS i FROM pages
+            UNION ALL
+            SELECT page_id, regexp_replace(regexp_replace(regexp_replace(s, '(?s)<!--.*?-->', '', 'g'), '</?[A-Za-z][A-Za-z0-9]*( [^>]*)?/?>', ' ', 'g'), '&[A-Za-z]+;', ' ', 'g'), i + 1
+            FROM step WHERE i < 8 AND (s LIKE '%<!--%-->%' OR regexp_matches(s, '</?[A-Za-z][A-Za-z0-9]*( [^>]*)?/?>|&[A-Za-z]+;'))
+        ) SELECT page_id, arg_max(s, i) AS plain FROM step GROUP BY page_id""",
+    "restart_any_segments": f"""WITH RECURSIVE {_PHRASES}, total AS (SELECT sum(cnt) AS n FROM counts),
+        seg AS MATERIALIZED (SELECT text, terminator, CAST(cnt AS DOUBLE) AS cnt, replace(text, ' ', '') AS t FROM phrases WHERE contains('theandof', replace(text, ' ', ''))),
+        begun AS (
+            SELECT CAST(0 AS BIGINT) AS at, CAST(1 AS DOUBLE) AS scale, '' AS text
+            UNION ALL
+            SELECT b.at + length(s.t), b.scale * (s.cnt / total.n) * CAST(1e-6 AS DOUBLE), b.text || s.text || ' '
+            FROM begun b JOIN seg s ON s.terminator = 'space' AND substr('theandof', CAST(b.at + 1 AS INT), CAST(length(s.t) AS INT)) = s.t AND b.at + length(s.t) < 8, total
+        )
+        SELECT b.text || s.text || CASE WHEN s.terminator = 'space' THEN ' ' ELSE '' END AS text, max(b.scale * s.cnt) AS score
+        FROM begun b JOIN seg s ON substr('theandof', CAST(b.at + 1 AS INT)) = s.t GROUP BY 1""",
     **{name: _expr(condition) for name, (_, condition) in EXPRESSIONS.items()},
     "find_anagrams": _expr("s NOT LIKE '% %' AND list_sort(string_split(t, '')) = ['e', 'h', 'r', 't']"),
     "find_phone_words": _expr("s NOT LIKE '% %' AND translate(t, 'abcdefghijklmnopqrstuvwxyz', '22233344455566677778889999') = '843'"),

@@ -173,7 +173,7 @@ def test_cutoff_of_whole_chains(spark, tmp_path):
     lines = ["one two three four five six"] * 5 + ["one two three four other"] * 3 + ["one two three four last"] * 2 + ["a b c d e"] * 4
     rows = [(i, t, "en", "s", len(t)) for i, t in enumerate(lines)]
     spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(str(tmp_path / "documents.parquet"))
-    got = dict(map(tuple, queries.QUERIES["merge_cutoff_whole"](spark, str(tmp_path)).collect()))
+    got = dict(map(tuple, queries.QUERIES["merge_cutoff"](spark, str(tmp_path)).collect()))
     chains = [(c, 1) for t in lines for c in chains_by_hand(t, 40)]
     assert got == cut_by_hand(chains, 5) and got["one two three four five six"] == 5 and got["one two three four "] == 5
 
@@ -184,19 +184,18 @@ def test_merge_of_all_languages(spark, tmp_path):
     assert dict(map(tuple, queries.QUERIES["merge_sources"](spark, str(tmp_path)).collect())) == {"ab cd": 7, "cd": 7}
 
 
-def test_merge_plan():
-    assert [sum(map(len, build.merge_plan(n))) for n in (1, 200, 201, 451)] == [1, 1, 3, 4]
-    assert build.merge_plan(451)[0] == [200, 200, 51]
-
 
 # --- patterns
 
+# Patterns with a phrase that each takes and one that it doesn't.
 GOLDEN = [
     ('"(((((m?o)?c)?h)?i)t?)_(h(a(t(o(ry?)?)?)?)?)?&_{5,}" ', "chitchat", "itch"),
-    ('("<(-may)?(-sit)?(tit)?(ble)?(com)?(iks)?(ial)?(im-b)?(-mon)?>"&_{18}) ', "mayim bialiks sitcom", "mayim bialiks commons"),
-    ("([aehimnprsw]*&_*a_*&_*e_*&_*h_*&_*i_*&_*m_*&_*n_*&_*p_*&_*r_*&_*s_*&_*w_*) ", "new hampshire", "minesweeper shi"),
+    ('("<(-may)?(-sit)?(tit)?(ble)?(com)?(iks)?(ial)?(im-b)?(-mon)?>"&_{18}) ', "mayim bialiks sitcom", "mayim bialiks common"),
+    ("([aehimnprsw]*&_*a_*&_*e_*&_*h_*&_*i_*&_*m_*&_*n_*&_*p_*&_*r_*&_*s_*&_*w_*) ", "new hampshire", "minesweeper ship"),
     ("<eelqsuuu> ", "equuleus", "equus"),
     ("(c?h?a?r?m?&____)(e?l?t?o?n?&____)(c?h?e?s?t?&____)(o?n?e?&__) ", "charlton heston", "charmton heston"),
+    ("(<(cerb)?(ecto)?(lonm)?(ddog)?(fblo)?(iero)?(skey)?(ells)?(dwhi)?(atra)?(subj)?(odan)?(thel)?>&_{24}) ", "subject of blood and whiskey", "subject of blood and whisubj"),
+    ("<het><ral><seg><tan><rut><bla><oody><afl><ndi><cin><awe><ter> ", "the largest natural body of land in ice water", "the largest natural body of water in iceland"),
     ('"<(cs)(dy)(er)(i)(mo)(n)(th)(__?)>" ', "thermodynamics", "thermodyanmics"),
     ("(<waterhegm>&_*w_*a_*t_*e_*r_*) ", "wheat germ", "merge what"),
 ]
@@ -351,7 +350,7 @@ def test_streams(spark, ranking, tmp_path):
 def test_marked_lines(spark):
     lines = ["BEGIN ARTICLE: T one", "body", "END ARTICLE: T one", '<doc id="1">', "Two", "text", "</doc>"]
     df = spark.createDataFrame(list(enumerate(lines)), "line_no int, line string")
-    assert sorted(map(tuple, corpus.marked_lines(df).collect())) == sorted([(" T one", 10), ("body", 1), ("Two", 10), ("text", 1)])
+    assert sorted(map(tuple, corpus.marked_lines(df.withColumn("file", F.lit(1)), "file").collect())) == sorted([(" T one", 10), ("body", 1), ("Two", 10), ("text", 1)])
 
 
 def test_markup():
@@ -394,3 +393,122 @@ def test_entry(spark):
     import __spark_entry__ as e
 
     assert e.entry(spark).count() > 0 and set(e.oracle_sql()) <= set(e.queries())
+
+
+def test_class_with_every_symbol(spark):
+    """`_` and `.` in a class are members beside the others."""
+    df = spark.createDataFrame([(f"a{c}b{END}",) for c in ("", " ", "x", "é")], "phrase string")
+    for expr, want in {'"a[_ ]b"': {" ", "x", "é"}, '"a[^_]b"': {" "}, '"a[^_ ]b"': set(), '"a[^.]b"': set(), '"a[.]b"': {" ", "x", "é"}, '"a_b"': {"x", "é"}}.items():
+        for regex in (True, False):
+            got = {r.phrase[1:-2] for r in df.where(search.match(F.col("phrase"), expr, prefer_regex=regex)).collect()}
+            assert got == want, (expr, regex)
+    with pytest.raises(P.PatternSyntaxError):
+        P.Parser("[_(]").parse()
+    ascii_only = {r.phrase[1:-2] for r in df.where(search.match(F.col("phrase"), '"a_b"', P.ASCII)).collect()}
+    assert ascii_only == {"x"}
+
+
+def test_restart_without_bound(spark):
+    phrases = index.boundary_phrases(weighted(spark, [("a x", 5), ("b x", 7), ("c", 2)]))
+    got = {r.text for r in search.find_combined(phrases, "abac", 20).collect()}
+    assert got == {"a b a c"}
+    with pytest.raises(ValueError, match="endless"):
+        search.find_combined(phrases, "a*", 20)
+    best = search.find_combined(phrases, "aa*b", 20, limit=2).orderBy(F.desc("score")).collect()
+    assert [r.text for r in best] == ["a b ", "a a b "]
+    for bad in (0, -1, True, "5"):
+        with pytest.raises(ValueError, match="positive"):
+            search.find_combined(phrases, "ab", 20, limit=bad)
+
+
+def test_longest():
+    at = lambda e: (c := P.compile_pattern(P.Parser(e).parse())).dfa.longest(frozenset(c.classes[x] for x in (" ", PB, END)))
+    assert at("abc") == 3 and at("a{2,5}|bc") == 5 and at("a*b") is None and at('"a b- c"') == 3 and at("foo&bar") == 0 and at("( a)*") is None
+
+
+def test_explorer(spark, normalizer):
+    counts = weighted(spark, [("ab", 3), ("ac", 5), (f"中{PB}国", 2)])
+    rows = {(r.prefix, r.cnt, r.sibling_rank) for r in index.explore(counts, "a", 2).collect()}
+    assert rows == {("a", 8, 1), ("ac", 5, 1), ("ab", 3, 2)}
+    assert {r.prefix for r in index.explore(counts, "a").collect()} == {"a"} and index.explore(counts, "").count() == 0
+    assert {r.prefix for r in index.explore(counts, "中国", normalizer=normalizer).collect()} == {"中", f"中{PB}", f"中{PB}国"}
+    with pytest.raises(ValueError, match="depth"):
+        index.explore(counts, "a", 0)
+
+
+def test_walk_is_in_symbol_order(spark):
+    got = [r.chain for r in index.walk(weighted(spark, [("ab", 1), ("a", 1), (f"a{PB}中", 1), ("a b", 1)])).collect()]
+    assert got == [f"a b{END}", f"ab{END}", f"a{END}", f"a{PB}中{END}"]
+
+
+def test_phrases_by_ranges(spark):
+    """Prefixes that lie across many partitions add up."""
+    rng = random.Random(3)
+    rows = Counter(" ".join(rng.choice("abc") for _ in range(rng.randint(1, 6))) for _ in range(400))
+    want = Counter()
+    for chain, n in rows.items():
+        parts = chain.split(" ")
+        for i in range(1, len(parts) + 1):
+            want[" ".join(parts[:i]) + (" " if i < len(parts) else END)] += n
+    assert dict(map(tuple, index.boundary_phrases(weighted(spark, list(rows.items()))).collect())) == want
+
+
+def test_load_validates(spark, tmp_path):
+    index.save(weighted(spark, [("a", 0)]), str(tmp_path / "zero"))
+    with pytest.raises(ValueError, match="below 1"):
+        index.load(spark, str(tmp_path / "zero"))
+    index.save(weighted(spark, [("a", 1)]), str(tmp_path / "cap"), {**index.METADATA, "max_chain_symbols": 9})
+    with pytest.raises(ValueError, match="max_chain_symbols"):
+        index.load(spark, str(tmp_path / "cap"))
+
+
+def test_merge_in_rounds(spark, tmp_path):
+    paths = [str(tmp_path / f"p{i}") for i in range(5)]
+    for i, p in enumerate(paths):
+        index.save(weighted(spark, [("a b", 1), ("c", 1 + 4 * (i == 0))]), p)
+    assert dict(map(tuple, index.merge_rounds(spark, paths, fan_in=2, between=2, final=4).collect())) == {"a b": 4, "c": 8}
+
+
+def test_text_files_in_order(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "x.txt").write_text("<doc id=1>\nTitle\nbody\n</doc>\n", encoding="utf-8")
+    lines = corpus.text_lines(spark, str(tmp_path / "in"))
+    got = corpus.marked_lines(lines, "file", "block", "line_no").collect()
+    assert sorted(map(tuple, got)) == [("Title", 10), ("body", 1)]
+
+
+def test_number_format(spark):
+    values = [80.0, 1.5e-7, 0.5, 123456789.0, 0.00012345, 99999999.5, 1e8, -2.5, 0.0, 1 / 3, 1e-5, 12345.678]
+    df = spark.createDataFrame([(v,) for v in values], "x double")
+    assert [r[0] for r in df.select(corpus.general_number(F.col("x"))).collect()] == [f"{v:.8g}" for v in values]
+
+
+def test_time_limit(spark):
+    import time
+
+    assert search.capped(spark.range(3), 60, lambda df: df.count()) == 3
+    slow = spark.range(1, 2, 1, 1).mapInPandas(lambda it: (time.sleep(60) or b for b in it), "id long")
+    with pytest.raises(TimeoutError):
+        search.capped(slow, 2)
+    with pytest.raises(ValueError):
+        search.capped(slow, 0)
+
+
+def test_ranges_of_files(spark, tmp_path):
+    empty = tmp_path / "empty"
+    empty.mkdir()
+    assert markup.convert_files(spark, str(empty), str(tmp_path / "o"), {"a": "b"})["scanned"] == 0
+    (empty / "a").mkdir()
+    (empty / "a" / "x.txt").write_text("q")
+    (empty / "b.txt").write_text("q")
+    assert {(r.name, r.status) for r in markup.file_status(spark, str(empty), str(tmp_path / "o")).collect()} == {("a/x.txt", "converted"), ("b.txt", "converted")}
+
+
+def test_shared_folder_is_refused_on_a_cluster():
+    from types import SimpleNamespace as N
+
+    from lexloom.sources import staging
+
+    conf = N(get=lambda name, default=None: None)
+    with pytest.raises(RuntimeError, match="checkpoint"):
+        staging.shared_dir(N(sparkContext=N(getConf=lambda: conf, master="spark://a:7077"), conf=conf))
