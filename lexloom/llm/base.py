@@ -2,10 +2,7 @@
 
 from __future__ import annotations
 
-import atexit
 import math
-import shutil
-import tempfile
 import uuid
 
 import pyarrow as pa
@@ -16,6 +13,7 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
 from lexloom.sources.corpus import spread
+from lexloom.sources.staging import shared_path, staged
 
 #: Text bytes that one Python task should hold at a time.
 CHUNK_BYTES = 8 << 20
@@ -28,25 +26,27 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spread(spark.read.parquet(f"{sf_dir}/{name}.parquet"))
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share; a temporary one only where the session names none (tests)."""
-    conf = spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if conf:
-        return conf.rstrip("/")
-    own = spark.conf.get("lexloom.shared.dir", None)
-    if not own:
-        own = tempfile.mkdtemp(prefix="lexloom-")
-        atexit.register(shutil.rmtree, own, True)
-        spark.conf.set("lexloom.shared.dir", own)
-    return own
+def stage(df: DataFrame, name: str) -> DataFrame:
+    """Cut the lineage: write `df` as Parquet in the shared folder and read it back; it is deleted when the application ends."""
+    return staged(df, name)
 
 
-def stage(df: DataFrame, name: str) -> DataFrame:
-    """Cut the lineage: write `df` as Parquet in the shared folder and read it back."""
+def stage_bucketed(df: DataFrame, name: str, key: str) -> DataFrame:
+    """stage(), dealt by `key` into as many buckets as a shuffle has partitions: joins and groupings
+    by `key` then read it in place. df should come from a shuffle by `key`, so each task writes its own buckets."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    table = f"lexloom_{name}_{uuid.uuid4().hex}".replace("-", "_")
+    df.write.option("path", shared_path(spark, name)).option("compression", "zstd").bucketBy(buckets, key).saveAsTable(table)
+    return spark.table(table)
+
+
+def free_name(df: DataFrame, name: str) -> str:
+    """A column name like `name` that df doesn't have."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
 
 
 def text_bytes(df: DataFrame, column: str = "text") -> tuple[int, int]:

@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexloom.llm.base import pieces, slices, small_batches, stage, text_bytes
+from lexloom.llm.base import free_name, pieces, slices, small_batches, stage, stage_bucketed, text_bytes
 
 SPAN, GRAM = 200, 64
 REACH = SPAN - GRAM + 1  # places of a window's anchor
@@ -94,9 +94,9 @@ def joined(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(b"".join(raws), np.uint8), np.cumsum([len(r) for r in raws], dtype=np.int64)
 
 
-def text_anchors(raw: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, ...]:
+def text_anchors(raw: np.ndarray, ends: np.ndarray, most: int = 1 << 24) -> tuple[np.ndarray, ...]:
     """anchors(), in slices where a single text is longer than the place code allows."""
-    step = (1 << 24) - SPAN
+    step = most - SPAN
     if len(raw) <= step:
         return anchors(raw, ends)
     found = []
@@ -398,9 +398,12 @@ def _text_key(text):
 
 
 def distinct_texts(docs: DataFrame) -> DataFrame:
-    """(dk, text, copies): each text once; one shuffle of the texts, combined on the map side."""
+    """(dk, text, copies): each text once; one shuffle of the texts, combined on the map side.
+
+    Written in buckets of dk, so that the joins by dk that follow read the texts in place.
+    """
     slim = docs.select(_text_key(F.col("text")).alias("dk"), F.coalesce("text", F.lit("")).alias("text"))
-    return slim.groupBy("dk").agg(F.first("text").alias("text"), F.count(F.lit(1)).alias("copies"))
+    return stage_bucketed(slim.groupBy("dk").agg(F.first("text").alias("text"), F.count(F.lit(1)).alias("copies")), "texts", "dk")
 
 
 def repeated_spans(texts: DataFrame, size: int) -> DataFrame:
@@ -409,7 +412,7 @@ def repeated_spans(texts: DataFrame, size: int) -> DataFrame:
     blobs = texts.mapInArrow(lambda it: _anchor_blobs(it, n), "bucket int, h binary, t binary, p binary, keys binary")
     repeated = blobs.groupBy("bucket").applyInPandas(lambda pdf: _repeated(pdf), "dk binary, p binary")
     marks = repeated.groupBy("dk").agg(F.array_join(F.collect_list(F.hex("p")), "").alias("p")).select("dk", F.unhex("p").alias("p"))
-    marked = texts.join(marks, "dk").select("dk", "text", "p")
+    marked = texts.join(marks.hint("shuffle_hash"), "dk").select("dk", "text", "p")
     m = pieces(size, 16 << 20)
     runs = stage(marked.mapInArrow(lambda it: _run_blobs(it, m), "bucket int, head binary, rest binary, lefts binary, keys binary, spans binary"), "runs")
     early = runs.where("bucket < 0").select(F.col("keys").alias("dk"), "spans")
@@ -438,21 +441,23 @@ def _kept(docs: DataFrame, make_rows, ddl: str) -> DataFrame:
             columns = zip(*rows) if rows else [[]] * len(types)
             yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(c, t) for c, t in zip(columns, types))], names=["dk", *names])
 
-    return texts.join(spans, "dk", "left").mapInArrow(run, f"dk binary, {ddl}")
+    return texts.join(spans.hint("shuffle_hash"), "dk", "left").mapInArrow(run, f"dk binary, {ddl}")
 
 
 def remove_repeats(docs: DataFrame, key: str = "doc_id") -> DataFrame:
     """(key, n_bytes, n_removed, n_spans, kept_sha256) of each row of docs."""
     row = lambda raw, kept, runs: (len(raw), len(raw) - len(kept), runs, hashlib.sha256(kept).hexdigest())
     kept = _kept(docs, row, "n_bytes long, n_removed long, n_spans long, kept_sha256 string")
-    return docs.select(key, _text_key(F.col("text")).alias("dk")).join(kept, "dk").drop("dk")
+    dk = free_name(docs.select(key), "dk")
+    return docs.select(key, _text_key(F.col("text")).alias(dk)).join(kept.withColumnRenamed("dk", dk), dk).drop(dk)
 
 
 def cut_repeats(docs: DataFrame, key: str = "doc_id") -> DataFrame:
     """docs with the repeated bytes cut out of text and n_chars set anew; broken characters at a cut go too."""
     row = lambda raw, kept, runs: (kept.decode("utf-8", "ignore") if runs else None, runs)
-    cut = _kept(docs, row, "_kept string, _runs long").where("_runs > 0")
-    marked = docs.withColumn("_dk", _text_key(F.col("text"))).join(cut, F.col("_dk") == F.col("dk"), "left")
-    text = F.when(F.col("_runs") > 0, F.col("_kept")).otherwise(F.col("text"))
-    fresh = {"text": text, "n_chars": F.when(F.col("_runs") > 0, F.char_length("_kept").cast("long")).otherwise(F.col("n_chars"))}
+    dk, kept, runs = (free_name(docs, x) for x in ("dk", "kept", "runs"))
+    cut = _kept(docs, row, "kept string, runs long").where("runs > 0").toDF(dk, kept, runs)
+    marked = docs.withColumn(dk, _text_key(F.col("text"))).join(cut, dk, "left")
+    changed = F.col(runs) > 0
+    fresh = {"text": F.when(changed, F.col(kept)).otherwise(F.col("text")), "n_chars": F.when(changed, F.char_length(kept).cast("long")).otherwise(F.col("n_chars"))}
     return marked.select(*[fresh[c].alias(c) if c in fresh else F.col(c) for c in docs.columns])
