@@ -4,7 +4,8 @@ At each position the automaton's output links list every piece that ends there,
 and each relaxes the best segmentation up to that position. For a unigram model the best is
 the largest sum of scores. A BPE model has no such sum: its encoder merges by rank, so there a
 piece is admitted only if merging leaves it and the last piece before it apart, which holds
-for exactly one piece at each position, and the pass gives the encoder's own result. Text is
+for exactly one piece at each position, and the pass gives the encoder's own result. Whether two
+pieces stay apart is read from each piece's last merge, without merging their text again. Text is
 cut where no piece can span (before a run of word marks), and results of short stretches are
 kept in a bounded table.
 
@@ -15,18 +16,21 @@ without the word mark U+2581 decodes to itself.
 
 from __future__ import annotations
 
+import array
 import functools
 import re
 import struct
+import zlib
 
 import ahocorasick
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lexloom.llm.base import per_text
 
 MARK = "▁"
-KEEP = 200_000  # stretches whose ids a worker remembers
+KEEP = 300_000  # stretches whose packed ids a worker remembers
 
 
 def _fields(raw: bytes):
@@ -98,13 +102,25 @@ class Pieces:
             if not self.bpe or self.merged(t) == [t]:  # a piece that merging never leaves whole isn't one
                 self.auto.add_word(t, i)
         self.auto.make_automaton()
+        if self.bpe:
+            self._number()
         self.apart = functools.lru_cache(1 << 18)(self._apart)
-        self.stretch = functools.lru_cache(KEEP)(self._stretch)
+        self.packed = functools.lru_cache(KEEP)(self._packed)
+
+    def _number(self) -> None:
+        """Each piece's turn in the order of merging (equal scores: equal turns, the leftmost first), and its last merge."""
+        turns = {score: n for n, score in enumerate(sorted({self.score[i] for i in self.ids.values()}, reverse=True))}
+        self.turn = {i: turns[self.score[i]] for i in self.ids.values()}
+        self.halves: dict[int, tuple[int, int]] = {}
+        for t, i in self.ids.items():
+            if len(t) > 1 and t in self.auto:
+                a, b = self.merged(t, whole=False)
+                self.halves[i] = self.ids[a], self.ids[b]
 
-    def merged(self, text: str) -> list[str]:
-        """The BPE merging of a short text: best score first, leftmost among equals."""
+    def merged(self, text: str, whole: bool = True) -> list[str]:
+        """The BPE merging of a short text: best score first, leftmost among equals; not whole: until two parts are left."""
         parts = list(text)
-        while len(parts) > 1:
+        while len(parts) > (1 if whole else 2):
             best, at = None, -1
             for i in range(len(parts) - 1):
                 j = self.ids.get(parts[i] + parts[i + 1])
@@ -116,7 +132,28 @@ class Pieces:
         return parts
 
     def _apart(self, left: int, right: int) -> bool:
-        return self.merged(self.text[left] + self.text[right]) == [self.text[left], self.text[right]]
+        """Whether merging leaves two neighbouring pieces as they are.
+
+        Merges are undone on the side where the later one was: at each time the parts that touch
+        must not make a piece which would have been merged before.
+        """
+        ids, text, turn, halves = self.ids, self.text, self.turn, self.halves
+        limit = len(turn)  # merges of a lower number came first
+        while True:
+            both = ids.get(text[left] + text[right])
+            if both is not None and turn[both] < limit:
+                return False
+            a, b = turn[left] if left in halves else -1, turn[right] if right in halves else -1
+            if a < 0 and b < 0:
+                return True
+            if a > b:
+                limit, left = a, halves[left][1]
+            else:
+                limit, right = b + 1, halves[right][0]
+
+    def _packed(self, text: str) -> bytes:
+        """The ids of a stretch, as little-endian 32-bit numbers."""
+        return array.array("i", self._stretch(text)).tobytes()
 
     def _stretch(self, text: str) -> list[int]:
         n = len(text)
@@ -158,21 +195,23 @@ class Pieces:
         return out[::-1]
 
     def encode(self, text: str | None) -> list[int]:
+        return array.array("i", self.encode_packed(text)).tolist()
+
+    def encode_packed(self, text: str | None) -> bytes:
+        """The ids of a whole text, packed as by _packed."""
         s = text or ""
         if self.squeeze:
             s = re.sub(" +", " ", s).strip(" ")
         if not s:
-            return []
+            return b""
         if self.escape:
             s = s.replace(" ", MARK)
         if self.dummy:
             s = MARK + s
         if not self.split:
-            return list(self._stretch(s))
-        out: list[int] = []
-        for part in _PARTS.findall(s):
-            out += self.stretch(part) if len(part) <= 64 else self._stretch(part)
-        return out
+            return self._packed(s)
+        known, fresh = self.packed, self._packed
+        return b"".join([known(part) if len(part) <= 64 else fresh(part) for part in _PARTS.findall(s)])
 
     def decode(self, ids: list[int] | None) -> str:
         s = b"".join(map(self.said.__getitem__, ids or ())).decode("utf-8", "replace")
@@ -212,21 +251,18 @@ def decode_ids(encoded: DataFrame, model: bytes, key: str = "doc_id") -> DataFra
 
 
 def encode_summary(docs: DataFrame, model: bytes, key: str = "doc_id") -> DataFrame:
-    """(key, n_ids, ids_crc32, round_trip): digest of each text's ids; whether decoding returns the text."""
-    import zlib
-
-    import numpy as np
-
+    """(key, ids, n_ids, ids_crc32, round_trip): each text's ids and their digest; whether decoding them returns the text."""
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
     def make():
         p = Pieces(sent.value)
 
         def work(texts):
-            ids = [p.encode(t) for t in texts]
-            crc = [zlib.crc32(np.array(x, "<u4").tobytes()) for x in ids]
-            return [[len(x) for x in ids], crc, [p.decode(x) == (t or "") for x, t in zip(ids, texts)]]
+            packed = [p.encode_packed(t) for t in texts]
+            ids = [np.frombuffer(x, "<i4") for x in packed]
+            back = [p.decode(x.tolist()) == (t or "") for x, t in zip(ids, texts)]
+            return [ids, list(map(len, ids)), list(map(zlib.crc32, packed)), back]
 
         return work
 
-    return per_text(docs, key, "n_ids long, ids_crc32 long, round_trip boolean", make)
+    return per_text(docs, key, "ids array<int>, n_ids long, ids_crc32 long, round_trip boolean", make)
