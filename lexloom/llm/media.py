@@ -1,9 +1,9 @@
 """Media columns: interleaved document sequences.
 
 `parse_sequence` turns HTML into ordered structs of text and media references (a figure's
-caption stays with its image). Payloads live in a media table, one row per distinct payload,
-keyed by SHA-256 digest; a join on the digest resolves references, so copies share one stored
-payload. The stored form is an 8-bit greyscale PNG of 64 samples a row.
+caption stays with its image). Payloads live in a media table keyed by SHA-256 digest, each
+stored once by every task that meets it; a join on the digest resolves references, so copies
+share a stored payload. The stored form is an 8-bit greyscale PNG of 64 samples a row.
 
 Null texts and HTML count as empty: an empty sequence, or a payload of 64 zero bytes. A
 reference without a stored payload keeps its place with null media columns. Equal texts give
@@ -18,12 +18,17 @@ import zlib
 from html.parser import HTMLParser
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
-from lexloom.llm.base import per_text, stage
+from lexloom.llm.base import per_text, slices, small_batches, stage
 
 WIDTH = 64
+LEVEL = 6  # of the stored form's compression
+REMEMBER = 200_000  # digests that a task remembers
 _MAGIC = b"\x89PNG\r\n\x1a\n"
 
 
@@ -41,7 +46,7 @@ def to_png(payload: bytes) -> bytes:
     samples = np.zeros((rows, WIDTH + 1), np.uint8)  # each row starts with filter 0
     samples[:, 1:] = np.frombuffer(payload, np.uint8).reshape(rows, WIDTH)
     head = struct.pack(">IIBBBBB", WIDTH, rows, 8, 0, 0, 0, 0)
-    return _MAGIC + _part(b"IHDR", head) + _part(b"IDAT", zlib.compress(samples.tobytes(), 1)) + _part(b"IEND", b"")
+    return _MAGIC + _part(b"IHDR", head) + _part(b"IDAT", zlib.compress(samples.tobytes(), LEVEL)) + _part(b"IEND", b"")
 
 
 def from_png(stored: bytes) -> bytes:
@@ -163,26 +168,40 @@ def sequences(pages: DataFrame, key: str, html: str = "html") -> DataFrame:
     return per_text(pages, key, f"items array<{ITEM}>", lambda: lambda texts: [[parse_sequence(t) for t in texts]], html)
 
 
-def media_table(texts: DataFrame, text: str = "text") -> DataFrame:
-    """(digest, media): each distinct payload once, in stored form, as a table in the shared folder."""
-    slim = texts.select(F.sha2(F.coalesce(text, F.lit("")), 256).alias("digest"), text)
+def media_table(texts: DataFrame, text: str = "text", remember: int = REMEMBER) -> DataFrame:
+    """(digest, media): the payloads in stored form, as a table in the shared folder.
 
-    def encode(ts):
-        return [[to_png(pad((t or "").encode("utf-8", "surrogatepass"))) for t in ts]]
+    A task stores a payload once (it remembers the last `remember` digests), so copies share a
+    payload within a task and the payloads never move; tasks that met the same text have equal
+    rows, of which readers take any.
+    """
+    small_batches(texts.sparkSession)
+    at = texts.select(text).columns[0]
+    schema = pa.schema([("digest", pa.string()), ("media", pa.binary())])
 
-    stored = per_text(slim, "digest", "media binary", lambda: encode, text)
-    return stage(stored.groupBy("digest").agg(F.first("media").alias("media")), "media")
+    def store(batches):
+        seen: dict[str, None] = {}
+        for part in (x for b in batches for x in slices(b, at)):
+            digests, stored = [], []
+            for t in part.column(at).to_pylist():
+                raw = (t or "").encode("utf-8", "surrogatepass")
+                digest = hashlib.sha256(raw).hexdigest()
+                if digest not in seen:
+                    digests.append(digest)
+                    stored.append(to_png(pad(raw)))
+                    seen[digest] = None
+                    if len(seen) > remember:
+                        del seen[next(iter(seen))]
+            yield pa.RecordBatch.from_arrays([pa.array(digests, pa.string()), pa.array(stored, pa.binary())], schema=schema)
+
+    return stage(texts.select(F.col(text).cast("string").alias(at)).mapInArrow(store, "digest string, media binary"), "media")
 
 
 FACTS = "payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
 
 
 def media_facts(media: DataFrame) -> DataFrame:
-    """(digest, FACTS) of each stored payload, from the bytes read back."""
-    from pyspark.sql import types as T
-    from pyspark.sql.pandas.types import to_arrow_type
-    import pyarrow as pa
-
+    """(digest, FACTS) of each distinct stored payload, from the bytes read back."""
     schema = T.StructType.fromDDL("digest string, " + FACTS)
     types = [to_arrow_type(f.dataType) for f in schema]
 
@@ -195,7 +214,8 @@ def media_facts(media: DataFrame) -> DataFrame:
             columns = zip(*rows) if rows else [[]] * len(types)
             yield pa.RecordBatch.from_arrays([pa.array(c, type=t) for c, t in zip(columns, types)], names=schema.names)
 
-    return media.select("digest", "media").mapInArrow(read, schema)
+    facts = media.select("digest", "media").mapInArrow(read, schema)
+    return facts.groupBy("digest").agg(F.first(F.struct(*schema.names[1:])).alias("x")).select("digest", "x.*")
 
 
 def resolve(sequence: DataFrame, facts: DataFrame, key: str, prefix: str = "media:") -> DataFrame:
