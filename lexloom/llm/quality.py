@@ -132,7 +132,8 @@ def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", max_train: in
     )
     texts = docs.select(key, "text").join(F.broadcast(chosen.select(key)), key, "left_semi")  # at most max_train keys
     found = per_text(texts, key, "x array<double>", lambda: lambda ts: [[statistics(t) for t in ts]])
-    rows = found.join(F.broadcast(chosen), key).orderBy(key, F.col("x").cast("string")).dropDuplicates([key]).select("x", "y").toPandas()
+    one = found.groupBy(key).agg(F.min("x").alias("x"))  # of several texts of a doc_id the least statistics, whatever the order of rows
+    rows = one.join(F.broadcast(chosen), key).orderBy(key).select("x", "y").toPandas()
     return fit(np.array(rows["x"].tolist(), dtype=float), rows["y"].to_numpy(dtype=float))
 
 

@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lexloom.llm.base import per_text, pieces, slices, small_batches, stage
+from lexloom.llm.base import free_name, per_text, pieces, slices, small_batches, stage
 
 HOT = 20_000  # fingerprints of a block value that are dealt again
 GROUP = 50_000  # fingerprints that one task joins
@@ -359,6 +359,10 @@ def jaccard_links(fp: np.ndarray, group: np.ndarray, node: np.ndarray, held: lis
     return out
 
 
+def text_node(text: Column) -> Column:
+    return F.xxhash64(F.coalesce(text, F.lit("")))
+
+
 def near_groups(docs: DataFrame, key: str = "doc_id", shingle: int = 5, similarity: float = 0.8, budget: int = 20) -> DataFrame:
     """(key, node, root, component_id): groups of texts linked by Jaccard >= similarity of their shingle sets.
 
@@ -528,7 +532,8 @@ def keep_one(docs: DataFrame, key: str = "doc_id") -> DataFrame:
     """
     named = near_groups(docs, key)
     least = F.min(F.struct(F.col(key).isNull().alias("last"), F.col(key).alias("keep"), "node")).alias("x")
-    keep = named.groupBy("root").agg(least).select("x.node", "x.keep")
-    marked = docs.withColumn("_node", F.xxhash64(F.coalesce("text", F.lit(""))))
-    kept = marked.join(keep, (F.col("_node") == F.col("node")) & F.col(key).eqNullSafe(F.col("keep")), "left_semi")
-    return kept.dropDuplicates(["_node", key]).select(*docs.columns)
+    node, keep = free_name(docs, "node"), free_name(docs, "keep")
+    chosen = named.groupBy("root").agg(least).select(F.col("x.node").alias(node), F.col("x.keep").alias(keep))
+    marked = docs.withColumn(node, text_node(F.col("text")))
+    kept = marked.join(chosen, [marked[node] == chosen[node], marked[key].eqNullSafe(chosen[keep])], "left_semi")
+    return kept.dropDuplicates([node, key]).select(*docs.columns)
