@@ -2,10 +2,12 @@
 
 Documents become token pieces of at most CAPACITY tokens; full pieces are sequences of their
 own. The others are dealt to shards of about SHARD pieces. On each shard, ISLANDS populations
-of packings evolve: a crossover takes whole bins, best filled first, from two parents, skips
-bins that would repeat a piece, and puts the displaced pieces back best-fit; the fitness is the
-mean squared fill. After each epoch every island gets its neighbour's elite. The first
-individual is best-fit decreasing, so a packing is never worse than that.
+of packings evolve: a crossover takes whole well-filled bins, the best first, from two parents,
+skips bins that would repeat a piece, and puts the displaced pieces back best-fit; a mutation
+empties bins and matches their pieces anew, two or three to an exact fill. The fitness is the
+number of bins, then the mean squared fill. After each epoch every island keeps its population
+and gets its neighbour's elite. The first individual is best-fit decreasing, so a packing is
+never worse than that, and where that is at the lower bound nothing evolves.
 
 Null texts count as empty (one piece: the end token). Repeated rows are pieces of their own.
 Pieces that agree in all columns are interchangeable. Extra columns are ignored.
@@ -28,7 +30,9 @@ from lexloom.llm.base import per_text, pieces, stage
 CAPACITY = 1024
 END_ID = 2
 SHARD = 8192
-ISLANDS, EPOCHS, POPULATION, GENERATIONS = 2, 2, 4, 3
+ISLANDS, EPOCHS, POPULATION, GENERATIONS = 2, 2, 6, 20
+WELL = 0.97  # share of its capacity that a well-filled bin has
+SLACK = 8  # tokens that a matched bin may lack
 BIN_SPACE = 1 << 32  # sequence ids of a shard
 
 
@@ -126,55 +130,129 @@ def fitness(bins: list[list[int]], size: list[int], capacity: int) -> tuple[int,
     return -len(bins), sum((sum(size[i] for i in b) / capacity) ** 2 for b in bins) / max(1, len(bins))
 
 
+def _exact(count: np.ndarray, room: int, rng) -> list[int] | None:
+    """One or two sizes that are there and fill the room exactly; of several pairs any."""
+    if count[room]:
+        return [room]
+    a = np.arange(1, room // 2 + 1)
+    good = (count[a] > 0) & (count[room - a] > 0)
+    if room % 2 == 0 and len(a):
+        good[-1] &= count[room // 2] > 1
+    found = np.flatnonzero(good)
+    if not len(found):
+        return None
+    a = int(found[int(rng.integers(len(found)))]) + 1
+    return [room - a, a]
+
+
+def matched(items: list[int], size: list[int], capacity: int, rng) -> list[list[int]]:
+    """Bins built around the largest piece left, filled exactly where two more pieces can, else nearly."""
+    by: list[list[int]] = [[] for _ in range(capacity + 1)]
+    for i in items:
+        by[size[i]].append(i)
+    count = np.array([len(x) for x in by])
+    bins, largest = [], capacity
+    while True:
+        while largest and not count[largest]:
+            largest -= 1
+        if not largest:
+            return bins
+        chosen, room = [largest], capacity - largest
+        count[largest] -= 1
+        while room:
+            pick = next((x for r in range(room, max(0, room - SLACK), -1) if (x := _exact(count, r, rng))), None)
+            if pick is None:
+                fits = np.flatnonzero(count[: room + 1])
+                if not len(fits):
+                    break
+                pick = [int(fits[-min(len(fits), int(rng.geometric(0.5)))])]
+            for x in pick:
+                count[x] -= 1
+            chosen += pick
+            room -= sum(pick)
+            if len(pick) == 2:
+                break
+        bins.append([by[x].pop() for x in chosen])
+
+
 def crossover(one, two, size, capacity, rng) -> list[list[int]]:
-    """Whole bins of both parents, best filled first; displaced pieces best-fit, the largest first."""
+    """Whole well-filled bins of both parents, the best first; displaced pieces best-fit, the largest first."""
     filled = [(sum(size[i] for i in b), k) for k, b in enumerate(one)] + [(sum(size[i] for i in b), k + len(one)) for k, b in enumerate(two)]
     noise = rng.random(len(filled))
-    order = sorted(range(len(filled)), key=lambda k: (-filled[k][0], noise[k]))
+    order = sorted((k for k in range(len(filled)) if filled[k][0] >= WELL * capacity), key=lambda k: (-filled[k][0], noise[k]))
     used, bins = bytearray(len(size)), []
     for k in order:
-        if filled[k][0] < 0.97 * capacity:
-            break
         b = one[k] if k < len(one) else two[k - len(one)]
         if any(used[i] for i in b):
             continue
         bins.append(b[:])
         for i in b:
             used[i] = 1
-    left = [i for i in range(len(size)) if not used[i]]  # sizes fall with the index
     packed = Open(bins, size, capacity)
-    packed.add(left)
+    packed.add([i for i in range(len(size)) if not used[i]])  # sizes fall with the index
     return packed.bins
 
 
 def mutate(bins, size, capacity, rng) -> list[list[int]]:
-    """Empty a few of the worst filled bins and some others; best-fit their pieces again."""
-    order = sorted(range(len(bins)), key=lambda k: sum(size[i] for i in bins[k]))
-    out = {*order[: max(2, len(bins) // 50)], *rng.integers(0, len(bins), max(1, len(bins) // 50)).tolist()}
-    packed = Open([b[:] for k, b in enumerate(bins) if k not in out], size, capacity)
-    packed.add(sorted(i for k in out for i in bins[k]))
-    return packed.bins
+    """Empty the bins with room and some full ones; match their pieces anew."""
+    full = [k for k, b in enumerate(bins) if sum(size[i] for i in b) == capacity]
+    some = rng.random(len(full)) < rng.choice((0.02, 0.1, 0.3))
+    stay = {k for k, out in zip(full, some) if not out}
+    kept = [b[:] for k, b in enumerate(bins) if k in stay]
+    return kept + matched(sorted(i for k, b in enumerate(bins) if k not in stay for i in b), size, capacity, rng)
 
 
-def evolve(size: list[int], capacity: int, seed: int, migrant=None, generations: int = GENERATIONS, population: int = POPULATION):
-    """The elite of an island's population; sizes fall. No generation runs once no bin can be saved."""
-    rng = np.random.default_rng(seed)
-    least = -(-sum(size) // capacity)
+def founders(size: list[int], capacity: int, rng, population: int = POPULATION) -> list[list[list[int]]]:
+    """A first population: best-fit decreasing, and matched packings where that has more bins than the lower bound."""
     first = Open([], size, capacity)
     first.add(list(range(len(size))))
-    people = [first.bins] + ([migrant] if migrant is not None else [])
+    people = [first.bins]
+    if len(first.bins) > lower_bound(size, capacity):
+        people += [matched(list(range(len(size))), size, capacity, rng) for _ in range(population - 1)]
+    return people
+
+
+def lower_bound(size: list[int], capacity: int) -> int:
+    """No packing has fewer bins. For each k: pieces above capacity - k share no bin with one of k or
+    more; other pieces above half a bin need one each, and what of the rest doesn't fit there needs more."""
+    n = np.bincount(np.array(size, np.int64), minlength=capacity + 1)
+    number, total = np.r_[0, np.cumsum(n)], np.r_[0, np.cumsum(n * np.arange(capacity + 1))]
+    k, half = np.arange(1, capacity // 2 + 1), capacity // 2
+    alone = number[-1] - number[capacity - k + 1]
+    middle, filled = number[capacity - k + 1] - number[half + 1], total[capacity - k + 1] - total[half + 1]
+    more = total[half + 1] - total[k] - (middle * capacity - filled)
+    return int(max(-(-total[-1] // capacity), (alone + middle + np.maximum(0, -(-more // capacity))).max(initial=0)))
+
+
+def evolve(size: list[int], capacity: int, seed: int, people=None, migrant=None, generations: int = GENERATIONS, population: int = POPULATION):
+    """An island's population after some generations, the best first; sizes fall.
+
+    No generation runs once the lower bound is reached: no bin can be saved then.
+    """
+    rng = np.random.default_rng(seed)
+    least = lower_bound(size, capacity)
     score = lambda b: fitness(b, size, capacity)
-    if max(-score(p)[0] for p in people[-1:]) > least and size:
-        while len(people) < population:
-            people.append(mutate(people[0], size, capacity, rng))
-        for _ in range(generations):
-            people.sort(key=score, reverse=True)
-            if len(people[0]) <= least:
-                break
-            a, b = people[0], people[1 + int(rng.integers(0, len(people) - 1))]
-            child = crossover(a, b, size, capacity, rng)
-            people[-1] = max(child, mutate(child, size, capacity, rng), key=score)
-    return max(people, key=score)
+    people = [*(people or founders(size, capacity, rng, population))]
+    if migrant is not None:
+        people.append(migrant)
+    scored = sorted(((score(p), k) for k, p in enumerate(people)), reverse=True)[:population]
+    people, scores = [people[k] for _, k in scored], [s for s, _ in scored]
+    for _ in range(generations):
+        if -scores[0][0] <= least or len(people) < 2:
+            break
+        a = people[int(rng.integers(0, max(1, len(people) // 2)))]
+        b = people[int(rng.integers(0, len(people)))]
+        child = crossover(a, b, size, capacity, rng)
+        child = max(child, mutate(child, size, capacity, rng), mutate(a, size, capacity, rng), key=score)
+        new = score(child)
+        if new > scores[-1] and new not in scores:  # one of each fitness: the population stays diverse
+            at = next(k for k, s in enumerate(scores) if new > s)
+            people.insert(at, child)
+            scores.insert(at, new)
+            if len(people) > population:
+                people.pop()
+                scores.pop()
+    return people
 
 
 def _sorted(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -208,7 +286,7 @@ def pack(found: DataFrame, key: str = "doc_id", capacity: int = CAPACITY, shard:
     sizes = small.groupBy("shard", "length").agg(F.count(F.lit(1)).alias("n"))  # islands need lengths only
     lengths = sizes.groupBy("shard").agg(F.array_sort(F.collect_list(F.struct((-F.col("length")).alias("m"), "n"))).alias("sizes"))
     islands = lengths.select("shard", "sizes", F.explode(F.sequence(F.lit(0), F.lit(ISLANDS - 1))).alias("island"))
-    state = islands.withColumn("elite", F.lit(None).cast("binary"))
+    state = islands.select("*", F.lit(None).cast("array<binary>").alias("people"), F.lit(None).cast("binary").alias("migrant"))
 
     def epoch(number: int):
         def run(batches):
@@ -216,18 +294,23 @@ def pack(found: DataFrame, key: str = "doc_id", capacity: int = CAPACITY, shard:
                 out = []
                 for r in b.itertuples(index=False):
                     size = [-x["m"] for x in r.sizes for _ in range(x["n"])]
-                    migrant = None if r.elite is None else _to_bins(np.frombuffer(r.elite, "<i4"))
-                    best = evolve(size, capacity, int(r.shard) * 1000 + number * 100 + int(r.island), migrant)
-                    out.append((r.shard, r.island, _to_numbers(best, len(size)).tobytes(), len(best), fitness(best, size, capacity)[1]))
-                yield pd.DataFrame(out, columns=["shard", "island", "elite", "bins", "fill"])
+                    people = None if r.people is None else [_to_bins(np.frombuffer(x, "<i4")) for x in r.people]
+                    migrant = None if r.migrant is None else _to_bins(np.frombuffer(r.migrant, "<i4"))
+                    best = evolve(size, capacity, int(r.shard) * 1000 + number * 100 + int(r.island), people, migrant)
+                    packed = [_to_numbers(p, len(size)).tobytes() for p in best]
+                    out.append((r.shard, r.island, packed, packed[0], len(best[0]), fitness(best[0], size, capacity)[1], len(best[0]) <= lower_bound(size, capacity)))
+                yield pd.DataFrame(out, columns=["shard", "island", "people", "elite", "bins", "fill", "optimal"])
 
         return run
 
-    for number in range(EPOCHS):
+    ddl = "shard long, island int, people array<binary>, elite binary, bins int, fill double, optimal boolean"
+    for number in range(EPOCHS):  # an island keeps its population and gets its neighbour's elite
         spread = state.repartition(ISLANDS * shards, "shard", "island")
-        done = stage(spread.select("shard", "sizes", "island", "elite").mapInPandas(epoch(number), "shard long, island int, elite binary, bins int, fill double"), "elites")
-        moved = done.select("shard", F.pmod(F.col("island") + 1, F.lit(ISLANDS)).alias("island"), "elite")  # to the next island
-        state = islands.join(moved, ["shard", "island"])
+        done = stage(spread.select("shard", "sizes", "island", "people", "migrant").mapInPandas(epoch(number), ddl), "elites")
+        if number == 0 and done.where("not optimal").isEmpty():
+            break
+        moved = done.select("shard", F.pmod(F.col("island") + 1, F.lit(ISLANDS)).alias("island"), F.col("elite").alias("migrant"))
+        state = islands.join(done.select("shard", "island", "people"), ["shard", "island"]).join(moved, ["shard", "island"])
     best = done.groupBy("shard").agg(F.max_by("elite", F.struct(-F.col("bins"), "fill", "island")).alias("elite"))
 
     def assign(own: pd.DataFrame, elite: pd.DataFrame) -> pd.DataFrame:
