@@ -221,13 +221,29 @@ def test_loser_tree_merges():
     assert [c for _, _, c in out][1:] == [suffixes.common(a, b, 0) for a, b in zip(merged, merged[1:])]
 
 
-def test_suffixes_long_text_in_slices(monkeypatch):
+def test_suffixes_long_text_in_slices():
     raw = np.frombuffer(words(random.Random(1), 3000).encode(), np.uint8)
-    p, h, lo, hi = suffixes.anchors(raw, np.array([len(raw)]))
+    ends = np.array([len(raw)])
+    p, h, lo, hi = suffixes.text_anchors(raw, ends)
     assert sum((hi - lo + 1).tolist()) == len(raw) - 199  # each window has one anchor
+    of = lambda p, lo, hi: {w: q for q, a, b in zip(p.tolist(), lo.tolist(), hi.tolist()) for w in range(q - b, q - a + 1)}
+    sliced = suffixes.text_anchors(raw, ends, 1200)
+    assert len(raw) > 5000 and of(sliced[0], sliced[2], sliced[3]) == of(p, lo, hi)
     assert suffixes.anchors(raw[:150], np.array([150]))[0].size == 0
 
 
+def test_columns_that_clash(spark):
+    """Extra columns may have any name and are kept."""
+    text = words(random.Random(3), 90)
+    names = ["dk", "kept", "runs", "_kept", "_runs", "node", "keep", "root", "spans", "_node", "k", "t"]
+    rows = [(i, x, len(x), *names) for i, x in enumerate([text, "a " + text, words(random.Random(4), 20), text])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, n_chars long, " + ", ".join(f"{n} string" for n in names))
+    for made in (suffixes.cut_repeats(docs), simhash.keep_one(docs)):
+        assert made.columns == docs.columns and all(list(r)[3:] == names for r in made.collect())
+    assert {r.doc_id for r in simhash.keep_one(docs).collect()} == {0, 2}
+    assert [r.n_removed for r in suffixes.remove_repeats(docs).orderBy("doc_id").collect()][0] == len(text.encode())
+
+
 # --- simhash
 
 
@@ -452,6 +468,40 @@ def test_captions_are_kept(spark, tmp_path):
     assert sorted((r.page_id, r.text) for r in entries.page_sequences(spark, str(tmp_path)).collect()) == [(1, "x"), (2, None), (3, None)]
 
 
+def test_references_of_mixed_pages(spark):
+    """Text and media keep their order; captions stay with their media; a reference without payload keeps its place."""
+    texts = ["one", "two"]
+    digest = [hashlib.sha256(t.encode()).hexdigest() for t in texts]
+    html = [
+        f'<p>A &amp; b</p><figure><img src="media:{digest[0]}" alt="x"><figcaption>Cap <i>tion</i></figcaption></figure>c<img src="media:{digest[1]}" alt="alt">d',
+        f'<img src="media:none"><p>z</p><figure><img src="media:{digest[1]}"><video src="media:{digest[0]}"></video><figcaption>both</figcaption></figure>', None, "",
+    ]
+    pages = spark.createDataFrame(list(enumerate(html)), "page_id long, html string")
+    stored = media.media_table(spark.createDataFrame([(t,) for t in texts * 3], "text string"))
+    found = media.resolve(media.sequences(pages, "page_id"), media.media_facts(stored), "page_id").orderBy("page_id", "position").collect()
+    length = {d: len(media.to_png(media.pad(t.encode()))) for d, t in zip(digest, texts)}
+    assert [(r.page_id, r.position, r.caption, r.digest, r.media_bytes) for r in found] == [
+        (0, 1, "Cap tion", digest[0], length[digest[0]]), (0, 3, "alt", digest[1], length[digest[1]]),
+        (1, 0, None, "none", None), (1, 2, "both", digest[1], length[digest[1]]), (1, 3, "both", digest[0], length[digest[0]]),
+    ]
+    assert [i["text"] for i in media.parse_sequence(html[0]) if i["kind"] == "text"] == ["A & b", "c", "d"]
+
+
+def test_payload_features():
+    """Size, mean, deviation and histogram by hand; other sizes of the stored table don't change them."""
+    x = media.pad(b"\x00\xff" * 40)
+    v = list(x)
+    mean = sum(v) / len(v)
+    sd = (sum((a - mean) ** 2 for a in v) / len(v)) ** 0.5
+    assert media.features(x) == f"64x2;mean={mean:.4f};sd={sd:.4f};hist={len(v) - 40},0,0,0,0,0,0,40"
+
+
+def test_stored_once_by_a_task(spark):
+    docs = spark.createDataFrame([("a",), ("b",), ("a",), (None,), ("",)], "text string").coalesce(1)
+    assert media.media_table(docs).count() == 3 and media.media_table(docs, remember=1).count() == 4
+    assert media.media_facts(media.media_table(docs, remember=1)).count() == 3
+
+
 def test_html_sequences():
     html = '<p>One <b>two</b></p><figure><img src="a.png" alt="x"><figcaption>Cap &amp; tion</figcaption></figure>three<img src=b.png alt=y><script>no</script><p>four'
     got = [(i["position"], i["kind"], i["text"], i["ref"], i["caption"]) for i in media.parse_sequence(html)]
@@ -621,16 +671,59 @@ def test_packing_documents(spark):
     assert packing.pack_documents(docs.limit(0), entries.byte_bpe()).count() == 0
 
 
-def test_genetic_packing_beats_best_fit():
-    rng = random.Random(2)
-    size = sorted((rng.choice([rng.randint(300, 420), rng.randint(200, 1000)]) for _ in range(400)), reverse=True)
+def planted(seed, n):
+    """Sizes of pieces that fill n bins of 1024 exactly, three to a bin."""
+    pairs = np.random.default_rng(seed).integers(260, 380, (n, 2)).tolist()
+    return sorted((x for a, b in pairs for x in (a, b, 1024 - a - b)), reverse=True)
+
+
+@pytest.mark.parametrize("seed", [1, 2, 3])
+def test_genetic_packing_beats_best_fit(seed):
+    size = planted(seed, 300)
     first = packing.Open([], size, 1024)
-    first.add(list(range(len(size))))
-    best = packing.evolve(size, 1024, 1, generations=10)
-    assert len(best) <= len(first.bins) and sorted(i for b in best for i in b) == list(range(400))
-    assert all(sum(size[i] for i in b) <= 1024 for b in best)
-    child = packing.crossover(first.bins, best, size, 1024, np.random.default_rng(0))
-    assert sorted(i for b in child for i in b) == list(range(400))
+    first.add(list(range(900)))
+    people = packing.evolve(size, 1024, seed)
+    best = people[0]
+    assert packing.lower_bound(size, 1024) == 300 and len(best) <= 303 < len(first.bins)  # best-fit decreasing: 320 or more
+    for bins in (best, packing.crossover(first.bins, best, size, 1024, np.random.default_rng(0)), packing.mutate(best, size, 1024, np.random.default_rng(0))):
+        assert sorted(i for b in bins for i in b) == list(range(900)) and all(sum(size[i] for i in b) <= 1024 for b in bins)
+    later = packing.evolve(size, 1024, seed + 10, people, first.bins)
+    assert len(later[0]) <= len(best)  # the population goes on
+
+
+def test_crossover_and_migration_alone_gain():
+    """Two packings that each have the good bins of one half make a child with the good bins of both."""
+    size = planted(7, 60)
+    rng = np.random.default_rng(1)
+    best = min((packing.evolve(size, 1024, s, generations=60)[0] for s in range(3)), key=len)
+    full = [b for b in best if sum(size[i] for i in b) == 1024]
+    half = len(full) // 2
+
+    def spoil(kept):
+        packed = packing.Open([b[:] for b in kept], size, 1024)
+        packed.add([i for i in range(len(size)) if all(i not in b for b in kept)])
+        return packed.bins
+
+    one, two = spoil(full[:half]), spoil(full[half:])
+    child = packing.crossover(one, two, size, 1024, rng)
+    assert len(child) < min(len(one), len(two))
+
+
+def test_lower_bound():
+    rng = random.Random(4)
+    for _ in range(60):
+        size = sorted((rng.randint(1, 10) for _ in range(rng.randint(0, 7))), reverse=True)
+
+        def bins(left, rooms):
+            if not left:
+                return len(rooms)
+            s, best = left[0], 99
+            for k in {r: k for k, r in enumerate(rooms) if r >= s}.values():
+                best = min(best, bins(left[1:], [r - s * (i == k) for i, r in enumerate(rooms)]))
+            return min(best, bins(left[1:], [*rooms, 10 - s])) if len(rooms) < best else best
+
+        assert packing.lower_bound(size, 10) <= bins(size, [])
+    assert packing.lower_bound([6, 6, 6], 10) == 3 and packing.lower_bound([], 10) == 0
 
 
 # --- language model
