@@ -205,7 +205,7 @@ def components(links: DataFrame) -> DataFrame:
             return edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
         both = edges.unionAll(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionAll(least)
         edges = stage(small.distinct(), "links")
@@ -363,13 +363,18 @@ def text_node(text: Column) -> Column:
     return F.xxhash64(F.coalesce(text, F.lit("")))
 
 
+def text_check(text: Column) -> Column:
+    """Another 64 bits of a text's name: the hash starts from another seed."""
+    return F.xxhash64(F.lit(1), F.coalesce(text, F.lit("")))
+
+
 def near_groups(docs: DataFrame, key: str = "doc_id", shingle: int = 5, similarity: float = 0.8, budget: int = 20) -> DataFrame:
-    """(key, node, root, component_id): groups of texts linked by Jaccard >= similarity of their shingle sets.
+    """(key, node, check, root, component_id): groups of texts linked by Jaccard >= similarity of their shingle sets.
 
-    node is the XXH64 of the text: equal texts are one node. Bands and budget find nearly all
+    node is the XXH64 of the text, check another one of it: equal texts are one node. Bands and budget find nearly all
     links; the rest are among the texts of `_open_prefixes`.
     """
-    noded = docs.select(key, F.coalesce("text", F.lit("")).alias("text")).withColumn("node", F.xxhash64("text"))
+    noded = docs.select(key, F.coalesce("text", F.lit("")).alias("text")).select("*", text_node(F.col("text")).alias("node"), text_check(F.col("text")).alias("check"))
     texts = noded.select("node", "text")
 
     def signed_sets():
@@ -379,8 +384,8 @@ def near_groups(docs: DataFrame, key: str = "doc_id", shingle: int = 5, similari
 
         return work
 
-    prints = stage(per_text(noded.select(F.struct(key, "node").alias("k"), "text"), "k", "bands array<long>, size long", signed_sets)
-                   .select(F.col(f"k.{key}").alias(key), "k.node", "bands", "size"), "nodes")
+    prints = stage(per_text(noded.select(F.struct(key, "node", "check").alias("k"), "text"), "k", "bands array<long>, size long", signed_sets)
+                   .select(F.col(f"k.{key}").alias(key), "k.node", "k.check", "bands", "size"), "nodes")
     keyed = prints.groupBy("node").agg(F.first("bands").alias("bands")).select("node", F.explode("bands").alias("g"))
     shared = keyed.groupBy("g").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("g", F.ceil(F.col("n") / CROWD).cast("int").alias("parts"))
     wanted = stage(keyed.join(shared, "g").select("node", "g", "parts"), "bands")
@@ -430,7 +435,7 @@ def near_groups(docs: DataFrame, key: str = "doc_id", shingle: int = 5, similari
             .where("c != d").select("node", F.xxhash64("g", F.least("c", "d"), F.greatest("c", "d")), "root")
         )
         roots = components(links.unionAll(linked(blocks, few, 64, 1_000)))
-    return _label(prints.select(key, "node"), roots, key, "node")
+    return _label(prints.select(key, "node", "check"), roots, key, "node")
 
 
 def _open_prefixes(texts: DataFrame, roots: DataFrame, total: int, shingle: int, similarity: float) -> DataFrame:
@@ -530,10 +535,12 @@ def keep_one(docs: DataFrame, key: str = "doc_id") -> DataFrame:
     A null key comes after all others. Rows that repeat the kept one's key and text go too;
     texts of different groups stay even under one key or none.
     """
+    node, check, keep = (free_name(docs, x) for x in ("node", "check", "keep"))
     named = near_groups(docs, key)
-    least = F.min(F.struct(F.col(key).isNull().alias("last"), F.col(key).alias("keep"), "node")).alias("x")
-    node, keep = free_name(docs, "node"), free_name(docs, "keep")
-    chosen = named.groupBy("root").agg(least).select(F.col("x.node").alias(node), F.col("x.keep").alias(keep))
-    marked = docs.withColumn(node, text_node(F.col("text")))
-    kept = marked.join(chosen, [marked[node] == chosen[node], marked[key].eqNullSafe(chosen[keep])], "left_semi")
-    return kept.dropDuplicates([node, key]).select(*docs.columns)
+    per = named.groupBy("root", "node", "check").agg(F.min(F.struct(F.col(key).isNull().alias("last"), F.col(key).alias("keep"))).alias("x"))
+    least = per.groupBy("root").agg(F.min(F.struct("x", "node", "check")).alias("m")).select("m.node", "m.check", "m.x.keep")
+    several = per.groupBy("node").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("node")  # different texts of one 64-bit hash: each stays
+    chosen = least.unionAll(per.join(several, "node").select("node", "check", "x.keep")).distinct().toDF(node, check, keep)
+    marked = docs.select("*", text_node(F.col("text")).alias(node), text_check(F.col("text")).alias(check))
+    kept = marked.join(chosen, [marked[node] == chosen[node], marked[check] == chosen[check], marked[key].eqNullSafe(chosen[keep])], "left_semi")
+    return kept.dropDuplicates([node, check, key]).select(*docs.columns)
