@@ -3,12 +3,13 @@
 DataFrame functions only. Two Witten-Bell smoothed variable-order Markov models (contexts of
 two, one and no characters) are counted from the URLs that the rules decide: `allow` URLs make
 the accepted model, `block` URLs the rejected one. Characters fold to an alphabet of fixed
-size, so the table of log-ratios has len(ALPHABET)**3 cells however large the input is and is
-broadcast. A URL's score is the mean log-ratio per
-character; the cut is calibrated on the rule-decided URLs.
+size, so the table of log-ratios has len(ALPHABET)**3 cells however large the input is: an array
+that each row looks up, so scoring moves no rows. A URL's score is the mean log-ratio per
+character; one in CALIBRATE of the distinct rule-decided URLs is held out of the models, and the
+cut is calibrated on those.
 
 Null URLs and URLs without `://` have an empty host and path, match no rule and are scored
-like an empty string. If either class has no URL, every undecided URL is allowed. Repeated
+like an empty string. If either class has no held-out URL, every undecided URL is allowed. Repeated
 rows are judged alike, each on its own row; extra columns are ignored.
 """
 
@@ -30,6 +31,7 @@ RULES = (
 ALPHABET = "^$abcdefghijklmnopqrstuvwxyz0123456789./-_?=&%#:*"
 _A = len(ALPHABET)
 UNIT = 1 << 20  # log-ratios are whole numbers of 1/UNIT, so that sums don't depend on their order
+CALIBRATE = 5
 _AUTHORITY = r"(?s)^.*?://([^/?#]*)([^?#]*)"
 
 
@@ -101,18 +103,21 @@ def filter_urls(pages: DataFrame, key: str = "page_id", rules=RULES) -> DataFram
     judged = pages.select(F.col(key), url.alias("url")).select(key, "url", host.alias("host"), path.alias("path"))
     rule, verdict = matched_rule(F.col("host"), F.col("path"), rules)
     judged = judged.select(key, "url", "host", "path", rule.alias("rule"), verdict.alias("ruled"))
-    distinct = judged.groupBy("url").agg(F.first("ruled").alias("ruled"))
-    ratios = stage(log_ratios(distinct.where("ruled is not null").select("url", F.col("ruled").alias("verdict"))), "ratios")
-    grams = distinct.select("url", "ruled", F.explode(_grams(_codes(F.col("url")))).alias("g"))
-    sums = grams.join(F.broadcast(ratios), "g").groupBy("url").agg(  # _A**3 rows at most
-        F.first("ruled").alias("ruled"), (F.sum("r") / F.count(F.lit(1)) / UNIT).alias("x")
-    )
-    scored = stage(sums, "url-scores")
-    of = lambda f, v: f(F.when(F.col("ruled") == v, F.col("x")))
+    decided = judged.where("ruled is not null").groupBy("url").agg(F.first("ruled").alias("verdict"))
+    held = F.pmod(F.xxhash64("url"), F.lit(CALIBRATE)) == 0
+    decided = stage(decided.withColumn("held", held), "decided")
+    ratios = stage(log_ratios(decided.where("not held")), "ratios")
+    numbers = F.transform(F.array_sort(F.collect_list(F.struct("g", "r"))), lambda x: x["r"].cast("string"))
+    listed = ratios.agg(F.array_join(numbers, ",").alias("r")).first()[0]  # _A**3 numbers, whatever the input
+    table = F.from_json(F.lit(f"[{listed}]"), "array<bigint>")  # a constant, which the optimiser reads once
+    grams = _grams(_codes(F.col("url")))
+    total = F.aggregate(grams, F.lit(0).cast("long"), lambda a, g: a + F.get(table, g))
+    mean = lambda: total / F.size(grams) / UNIT
+    scored = decided.where("held").select("verdict", mean().alias("x"))
+    of = lambda f, v: f(F.when(F.col("verdict") == v, F.col("x")))
     wide, narrow = of(F.stddev_pop, "allow") + 1e-6, of(F.stddev_pop, "block") + 1e-6
     # between the class means, nearer to the narrower class; null if a class is empty
     cut = scored.agg(((of(F.avg, "allow") * narrow + of(F.avg, "block") * wide) / (wide + narrow)).alias("cut")).scalar()
-    by_url = scored.select("url", (F.col("x") - cut).alias("score"))
+    out = judged.withColumn("score", mean() - cut)
     by_model = F.when(F.coalesce(F.col("score"), F.lit(0.0)) >= 0, "allow").otherwise("block")
-    out = judged.join(by_url, "url", "left")
     return out.select(key, "host", "path", "rule", F.coalesce("ruled", by_model).alias("verdict"), "score")
