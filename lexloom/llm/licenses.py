@@ -11,6 +11,7 @@ template has reset the automaton. Repeated rows are scanned alike; extra columns
 
 from __future__ import annotations
 
+import heapq
 import re
 from collections.abc import Iterator
 
@@ -35,6 +36,13 @@ TEMPLATES = {
     "cc-by": "this work is licensed under the creative commons attribution 4 0 international license",
     "isc": "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted",
 }
+#: Whole public licence texts without their copyright lines, as words.
+WHOLE = {
+    "mit": "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software and to permit persons to whom the software is furnished to do so subject to the following conditions the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software the software is provided as is without warranty of any kind express or implied including but not limited to the warranties of merchantability fitness for a particular purpose and noninfringement in no event shall the authors or copyright holders be liable for any claim damages or other liability whether in an action of contract tort or otherwise arising from out of or in connection with the software or the use or other dealings in the software",
+    "isc": "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies the software is provided as is and the author disclaims all warranties with regard to this software including all implied warranties of merchantability and fitness in no event shall the author be liable for any special direct indirect or consequential damages or any damages whatsoever resulting from loss of use data or profits whether in an action of contract negligence or other tortious action arising out of or in connection with the use or performance of this software",
+    "bsd": "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in the documentation and or other materials provided with the distribution neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission this software is provided by the copyright holders and contributors as is and any express or implied warranties including but not limited to the implied warranties of merchantability and fitness for a particular purpose are disclaimed in no event shall the copyright holder or contributors be liable for any direct indirect incidental special exemplary or consequential damages including but not limited to procurement of substitute goods or services loss of use data or profits or business interruption however caused and on any theory of liability whether in contract strict liability or tort including negligence or otherwise arising in any way out of the use of this software even if advised of the possibility of such damage",
+    "zlib": "this software is provided as is without any express or implied warranty in no event will the authors be held liable for any damages arising from the use of this software permission is granted to anyone to use this software for any purpose including commercial applications and to alter it and redistribute it freely subject to the following restrictions the origin of this software must not be misrepresented you must not claim that you wrote the original software if you use this software in a product an acknowledgment in the product documentation would be appreciated but is not required altered source versions must be plainly marked as such and must not be misrepresented as being the original software this notice may not be removed or altered from any source distribution",
+}
 MIN_MATCH = 4  # words of a match that may be chained
 MIN_COVER = 0.5  # covered share of a template that earns its label
 _WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
@@ -94,9 +102,10 @@ class Automaton:
 
 
 class Scanner:
-    def __init__(self, base: dict[str, str] = BASE, templates: dict[str, str] = TEMPLATES):
-        self.labels = [*base.values(), *templates]
-        self.words = [p.split() for p in [*base, *templates.values()]]
+    def __init__(self, base: dict[str, str] = BASE, *templates: dict[str, str]):
+        named = [(label, text) for t in templates or (TEMPLATES, WHOLE) for label, text in t.items()]
+        self.labels = [*base.values(), *(label for label, _ in named)]
+        self.words = [p.split() for p in [*base, *(text for _, text in named)]]
         self.n_base = len(base)
         self.sam = a = Automaton(self.words)
         at = {a.locate(w): (k, len(w)) for k, w in enumerate(self.words[: self.n_base])}
@@ -160,7 +169,9 @@ class Scanner:
     def chain(self, matches: list[tuple[int, int, int]]) -> list[tuple[str, float, int, int]]:
         """(label, covered share, first word, end word) of each template's best chain of matches.
 
-        A chain's matches follow one another in the text and in the template.
+        A chain's matches follow one another, without overlap, in the text and in the template,
+        and no stretch of the text longer than the template lies between two matches of it. The
+        best chain covers most words; of several the one that starts first, then ends first.
         """
         by: dict[int, list[tuple[int, int, int]]] = {}
         for start, n, state in matches:
@@ -169,14 +180,27 @@ class Scanner:
                     by.setdefault(k, []).append((start, end + 1 - n, n))
         out = []
         for k, found in sorted(by.items()):
-            size, best, last = len(self.words[k]), (0, 0, 0), None
-            for start, at, n in sorted(found):  # greedy in text order; a step back in the template starts anew
-                if last and at >= last[3] and start >= last[1] and start - last[1] <= size:
-                    last = (last[0], start + n, last[2] + n, at + n)
-                else:
-                    last = (start, start + n, n, at + n)
-                best = max(best, (last[2], last[0], last[1]), key=lambda b: (b[0], -b[1]))
-            out.append((self.labels[k], min(1.0, best[0] / size), best[1], best[2]))
+            size, best, reach = len(self.words[k]), (0, 0, 0), None
+            tree: list[tuple[int, int]] = []
+            waiting: list[tuple] = []
+            for start, at, n in sorted(found):
+                if reach is None or start - reach > size:  # a new stretch
+                    tree, waiting, reach = [(0, 0)] * (size + 1), [], start
+                reach = max(reach, start + n)
+                while waiting and waiting[0][0] <= start:  # chains that end before this match
+                    _, place, value = heapq.heappop(waiting)
+                    while place <= size:
+                        tree[place] = max(tree[place], value)
+                        place += place & -place
+                covered, first, place = 0, -start, at  # the best chain that ends at or before `at` in the template
+                while place:
+                    if tree[place][0] and tree[place] > (covered, first):
+                        covered, first = tree[place]
+                    place -= place & -place
+                value = (covered + n, first)
+                heapq.heappush(waiting, (start + n, at + n, value))
+                best = max(best, (*value, -(start + n)))
+            out.append((self.labels[k], best[0] / size, -best[1], -best[2]))
         return out
 
 
