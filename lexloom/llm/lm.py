@@ -3,7 +3,8 @@
 Both are bigram models with a Dirichlet prior from add-one unigrams, over one shared vocabulary:
 all words of the corpus and an unknown one. The background counts every document, the target those marked. A
 document's score is the mean over its tokens of the target's loss less the background's: low
-scores are like the target (a target document counts in its own model). Counts are exact and distributed: documents are dealt to chunks,
+scores are like the target. A target document is scored by a target model without its own
+counts (one of its rows, where they repeat). Counts are exact and distributed: documents are dealt to chunks,
 each chunk sends its distinct n-grams (64-bit hashes, sorted and packed, with counts) to the
 buckets of their hash, a bucket adds up the counts of all chunks and answers each chunk in the
 order of its question, and the chunk scores its documents from the answers. What moves grows
@@ -78,6 +79,14 @@ class Chunk:
     def hashes(self) -> list[np.ndarray]:
         return [self.words, self.pairs, self.words]
 
+    def own(self) -> list[np.ndarray]:
+        """How often each token's word, pair and context occur in its own document."""
+        out = []
+        for index in (self.word, self.pair, self.before):
+            _, inverse, times = np.unique(self.doc * (max(len(self.pairs), len(self.words)) + 1) + index, return_inverse=True, return_counts=True)
+            out.append(times[inverse])
+        return out
+
 
 def squeeze(x: np.ndarray) -> bytes:
     """64-bit numbers by byte planes, compressed."""
@@ -141,8 +150,9 @@ def score_documents(docs: DataFrame, targets: DataFrame, key: str = "doc_id", pr
     answers = stage(asked.groupBy("kind", "bucket").applyInPandas(lambda pdf: answer(pdf), ddl), "answers")
     n_b, n_t, v = (int(x or 0) for x in answers.where("kind = 0").agg(F.sum("n_b"), F.sum("n_t"), F.sum("v")).first())
 
-    def score(texts: pd.DataFrame, found: pd.DataFrame) -> pd.DataFrame:
-        out = pd.DataFrame({"k": [], "n_tokens": [], "target_loss": [], "background_loss": []})
+    def score(texts: pd.DataFrame, rest: pd.DataFrame) -> pd.DataFrame:
+        chosen, found = set(rest["k"].dropna()), rest[rest["k"].isna()]
+        out = pd.DataFrame({"k": np.zeros(0, object), "n_tokens": np.zeros(0, np.int64), "target_loss": np.zeros(0), "background_loss": np.zeros(0)}).astype({"k": object})
         if not len(texts):
             return out
         texts = texts.sort_values(["k", "text"], kind="stable")
@@ -155,14 +165,20 @@ def score_documents(docs: DataFrame, targets: DataFrame, key: str = "doc_id", pr
                 counts[i, column] = np.zeros(len(h))
                 counts[i, column][order] = np.concatenate([expand(x) for x in mine[column]])[: len(h)] if len(h) else 0
         out = pd.DataFrame({"k": texts["k"].to_numpy(), "n_tokens": c.sizes})
+        marked = texts["k"].isin(chosen).to_numpy()[c.doc]
+        less = [x * marked for x in c.own()] if marked.any() else [0, 0, 0]
         for name, column, total in (("target_loss", "t", n_t), ("background_loss", "b", n_b)):
-            uni = (counts[0, column] + 1) / (total + v + 1)
-            p = (counts[1, column][c.pair] + prior * uni[c.word]) / (counts[2, column][c.before] + prior)
+            word, pair, before = (counts[i, column][x] for i, x in enumerate((c.word, c.pair, c.before)))
+            if column == "t":
+                word, pair, before, total = word - less[0], pair - less[1], before - less[2], total - c.sizes[c.doc] * marked
+            uni = (word + 1) / (total + v + 1)
+            p = (pair + prior * uni) / (before + prior)
             out[name] = np.bincount(c.doc, weights=-np.log(p), minlength=len(texts)) / np.maximum(c.sizes, 1)
         return out
 
     ddl = "k string, n_tokens long, target_loss double, background_loss double"
-    scored = dealt.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInPandas(lambda a, b: score(a, b), ddl)
+    every = answers.select("*", F.lit(None).cast("string").alias("k")).unionByName(marked, allowMissingColumns=True)
+    scored = dealt.groupBy("chunk").cogroup(every.groupBy("chunk")).applyInPandas(lambda a, b: score(a, b), ddl)
     losses = [F.when(F.col("n_tokens") > 0, F.col(c)).alias(c) for c in ("target_loss", "background_loss")]
     return scored.select(F.col("k").cast(kind).alias(key), "n_tokens", *losses).withColumn("score", F.col("target_loss") - F.col("background_loss"))
 
