@@ -30,7 +30,7 @@ from lexloom.llm.base import per_text, pieces, stage
 CAPACITY = 1024
 END_ID = 2
 SHARD = 8192
-ISLANDS, EPOCHS, POPULATION, GENERATIONS = 2, 2, 6, 20
+ISLANDS, EPOCHS, POPULATION, GENERATIONS = 2, 2, 4, 6
 WELL = 0.97  # share of its capacity that a well-filled bin has
 SLACK = 8  # tokens that a matched bin may lack
 BIN_SPACE = 1 << 32  # sequence ids of a shard
@@ -130,15 +130,14 @@ def fitness(bins: list[list[int]], size: list[int], capacity: int) -> tuple[int,
     return -len(bins), sum((sum(size[i] for i in b) / capacity) ** 2 for b in bins) / max(1, len(bins))
 
 
-def _exact(count: np.ndarray, room: int, rng) -> list[int] | None:
+def _exact(count: np.ndarray, there: np.ndarray, room: int, rng) -> list[int] | None:
     """One or two sizes that are there and fill the room exactly; of several pairs any."""
-    if count[room]:
+    if there[room]:
         return [room]
-    a = np.arange(1, room // 2 + 1)
-    good = (count[a] > 0) & (count[room - a] > 0)
-    if room % 2 == 0 and len(a):
-        good[-1] &= count[room // 2] > 1
-    found = np.flatnonzero(good)
+    half = room // 2
+    found = (there[1 : half + 1] & there[room - half : room][::-1]).nonzero()[0]
+    if len(found) and 2 * (found[-1] + 1) == room and count[half] < 2:
+        found = found[:-1]
     if not len(found):
         return None
     a = int(found[int(rng.integers(len(found)))]) + 1
@@ -151,23 +150,29 @@ def matched(items: list[int], size: list[int], capacity: int, rng) -> list[list[
     for i in items:
         by[size[i]].append(i)
     count = np.array([len(x) for x in by])
+    there = count > 0
     bins, largest = [], capacity
+
+    def take(x: int) -> None:
+        count[x] -= 1
+        there[x] = count[x] > 0
+
     while True:
-        while largest and not count[largest]:
+        while largest and not there[largest]:
             largest -= 1
         if not largest:
             return bins
         chosen, room = [largest], capacity - largest
-        count[largest] -= 1
+        take(largest)
         while room:
-            pick = next((x for r in range(room, max(0, room - SLACK), -1) if (x := _exact(count, r, rng))), None)
+            pick = next((x for r in range(room, max(0, room - SLACK), -1) if (x := _exact(count, there, r, rng))), None)
             if pick is None:
-                fits = np.flatnonzero(count[: room + 1])
+                fits = there[: room + 1].nonzero()[0]
                 if not len(fits):
                     break
                 pick = [int(fits[-min(len(fits), int(rng.geometric(0.5)))])]
             for x in pick:
-                count[x] -= 1
+                take(x)
             chosen += pick
             room -= sum(pick)
             if len(pick) == 2:
@@ -203,12 +208,13 @@ def mutate(bins, size, capacity, rng) -> list[list[int]]:
 
 
 def founders(size: list[int], capacity: int, rng, population: int = POPULATION) -> list[list[list[int]]]:
-    """A first population: best-fit decreasing, and matched packings where that has more bins than the lower bound."""
+    """A first population: best-fit decreasing, and where that has more bins than the lower bound a matched packing and mutations."""
     first = Open([], size, capacity)
     first.add(list(range(len(size))))
     people = [first.bins]
     if len(first.bins) > lower_bound(size, capacity):
-        people += [matched(list(range(len(size))), size, capacity, rng) for _ in range(population - 1)]
+        people.append(matched(list(range(len(size))), size, capacity, rng))
+        people += [mutate(first.bins, size, capacity, rng) for _ in range(population - 2)]
     return people
 
 
