@@ -519,11 +519,12 @@ def model_scores(decided, every):
         c = [0, 0] + [urls.ALPHABET.index(x) if x in urls.ALPHABET[2:-1] else A - 1 for x in "".join(chr(ord(y) + 32) if "A" <= y <= "Z" else y for y in u)] + [1]
         return list(zip(c, c[1:], c[2:]))
 
+    held = lambda u: simhash.signed(xxhash.xxh64_intdigest(u.encode(), 42)) % urls.CALIBRATE == 0
     p3 = {}
     for k in ("allow", "block"):
         n3, n2, n1 = Counter(), Counter(), Counter()
         for u, v in decided.items():
-            if v == k:
+            if v == k and not held(u):
                 for a, b, c in grams(u):
                     n3[a, b, c] += 1
                     n2[b, c] += 1
@@ -544,7 +545,7 @@ def model_scores(decided, every):
 
         p3[k] = p
     x = {u: np.mean([np.log(p3["allow"](*g) / p3["block"](*g)) for g in grams(u)]) for u in every}
-    a, b = ([x[u] for u in decided if decided[u] == k] for k in ("allow", "block"))
+    a, b = ([x[u] for u in decided if decided[u] == k and held(u)] for k in ("allow", "block"))
     wa, wb = np.std(a) + 1e-6, np.std(b) + 1e-6
     return {u: v - (np.mean(a) * wb + np.mean(b) * wa) / (wa + wb) for u, v in x.items()}
 
@@ -610,6 +611,48 @@ def test_licenses_against_brute_force(spark):
     assert "apache" in got[len(ODD)].labels and got[len(ODD)].spans[0].end > 10
 
 
+def chain_by_hand(found, size):
+    """(covered, first, end) of the best chain, by trying every one of a few matches."""
+    best = (0, 0, 0)
+
+    def go(chosen, rest):
+        nonlocal best
+        if chosen:
+            best = max(best, (sum(m[2] for m in chosen), -chosen[0][0], -(chosen[-1][0] + chosen[-1][2])))
+        for i, m in enumerate(rest):
+            if not chosen or (m[0] >= chosen[-1][0] + chosen[-1][2] and m[1] >= chosen[-1][1] + chosen[-1][2]):
+                go([*chosen, m], rest[i + 1 :])
+
+    go([], sorted(found))
+    return best[0] / size, -best[1], -best[2]
+
+
+def test_best_chains_against_brute_force():
+    rng = random.Random(8)
+    template = "a b c d a b c e f g a b d e c c f".split()
+    scanner = licenses.Scanner({"zz": "z"}, {"t": " ".join(template)})
+    for _ in range(150):
+        matches = []
+        for _ in range(rng.randint(1, 7)):
+            at, n = rng.randint(0, 12), rng.randint(1, 5)
+            state = scanner.sam.locate(template[at : at + n])
+            matches.append((rng.randint(0, 14), n, state))
+        found = [(s, e + 1 - n, n) for s, n, state in matches for k, e in scanner.sam.ends[state] if k == 1 and e + 1 >= n]
+        (label, share, first, end), = scanner.chain(matches)
+        assert (label, share, first, end) == ("t", *chain_by_hand(found, len(template)))
+
+
+def test_licence_labels_without_a_base_phrase():
+    scan = licenses.Scanner().scan
+    notice = "the license you may not use this file except in compliance with the license you may obtain a copy of the license at"
+    assert scan(notice)[4:6] == ("", "apache")
+    doubled = licenses.TEMPLATES["apache"].replace("compliance with", "compliance the license you may with")
+    share = {x[0]: x[1] for x in scan(doubled)[7]}
+    assert share["apache"] > 0.9  # a repeated piece of the template in between doesn't break the chain
+    assert "mit" in scan("x " * 50 + licenses.WHOLE["mit"])[5] and scan(licenses.WHOLE["zlib"])[5] == "zlib"
+    assert scan("the software is provided as is")[5] == ""
+
+
 def test_matching_statistics():
     rng = random.Random(6)
     templates = [rng.choices("abc", k=rng.randint(1, 12)) for _ in range(5)]
@@ -682,13 +725,15 @@ def test_genetic_packing_beats_best_fit(seed):
     size = planted(seed, 300)
     first = packing.Open([], size, 1024)
     first.add(list(range(900)))
-    people = packing.evolve(size, 1024, seed)
+    people = packing.evolve(size, 1024, seed, generations=20, population=6)
     best = people[0]
     assert packing.lower_bound(size, 1024) == 300 and len(best) <= 303 < len(first.bins)  # best-fit decreasing: 320 or more
     for bins in (best, packing.crossover(first.bins, best, size, 1024, np.random.default_rng(0)), packing.mutate(best, size, 1024, np.random.default_rng(0))):
         assert sorted(i for b in bins for i in b) == list(range(900)) and all(sum(size[i] for i in b) <= 1024 for b in bins)
     later = packing.evolve(size, 1024, seed + 10, people, first.bins)
     assert len(later[0]) <= len(best)  # the population goes on
+    few = packing.evolve(size, 1024, seed + 20)  # as many generations as the queries give an epoch
+    assert len(few[0]) < len(first.bins)
 
 
 def test_crossover_and_migration_alone_gain():
@@ -754,7 +799,12 @@ def test_lm_against_brute_force(spark):
         if not w:
             assert r.score is None
             continue
-        loss = [-sum(np.log((bi[a, b] + lm.PRIOR * (uni[b] + 1) / (n + v + 1)) / (ctx[a] + lm.PRIOR)) for a, b in zip([None, *w], w)) / len(w) for uni, bi, ctx, n in models]
+        own = (Counter(w), Counter(zip([None, *w], w)), Counter([None, *w][: len(w)]), len(w)) if d in marked else (Counter(), Counter(), Counter(), 0)
+        less = [own, (Counter(), Counter(), Counter(), 0)]  # the target model is without a target document's own counts
+        loss = [
+            -sum(np.log((bi[a, b] - q[1][a, b] + lm.PRIOR * (uni[b] - q[0][b] + 1) / (n - q[3] + v + 1)) / (ctx[a] - q[2][a] + lm.PRIOR)) for a, b in zip([None, *w], w)) / len(w)
+            for (uni, bi, ctx, n), q in zip(models, less)
+        ]
         assert np.allclose([r.target_loss, r.background_loss, r.score], [*loss, loss[0] - loss[1]])
     assert lm.score_documents(docs, targets.limit(0)).where("score is not null").count() > 0
     assert lm.score_documents(docs.limit(0), targets).count() == 0
