@@ -20,6 +20,8 @@ CHUNK_BYTES = 8 << 20
 #: Bytes of text that a vectorised step works on at a time.
 SUB_CHARS = 1 << 20
 BATCH_ROWS = 1000
+#: Tasks that the rows of one hot key of a join are dealt over.
+SLOTS = 64
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -60,6 +62,18 @@ def pieces(total: int, each: int) -> int:
     return max(1, math.ceil(total / each))
 
 
+def join_spread(rows: DataFrame, per_key: DataFrame, key: str, by: str) -> DataFrame:
+    """rows joined to per_key, which has at most a row for each key.
+
+    Rows of one key are dealt over SLOTS keys by the column `by`, so a hot key isn't one task's;
+    per_key goes to the slots that its key has in rows. rows is read twice.
+    """
+    slot = free_name(rows, "slot")
+    dealt = rows.withColumn(slot, F.pmod(F.xxhash64(by, F.lit("slot")), F.lit(SLOTS)).cast("int"))
+    known = dealt.select(key, slot).distinct().join(per_key, key)
+    return dealt.join(known, [key, slot]).drop(slot)
+
+
 def ascii_lower(c: Column) -> Column:
     return F.translate(c, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 

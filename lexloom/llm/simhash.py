@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lexloom.llm.base import free_name, per_text, pieces, slices, small_batches, stage
+from lexloom.llm.base import free_name, join_spread, per_text, pieces, slices, small_batches, stage
 
 HOT = 20_000  # fingerprints of a block value that are dealt again
 GROUP = 50_000  # fingerprints that one task joins
@@ -195,7 +195,8 @@ def fingerprint_links(fps: DataFrame, budget: int = 2, hot: int = HOT, group: in
 def components(links: DataFrame) -> DataFrame:
     """(node, root): the smallest node that each linked node reaches; links(u, v) of longs.
 
-    Alternating large-star and small-star rounds, each written to the shared folder.
+    Alternating large-star and small-star rounds, each written to the shared folder. A node of
+    very many links is dealt over several tasks.
     """
     edges = stage(links.where("u != v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "links")
     while True:
@@ -205,9 +206,9 @@ def components(links: DataFrame) -> DataFrame:
             return edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
         both = edges.unionAll(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        large = join_spread(both.where("v > u"), least, "u", "v").select(F.col("v").alias("u"), F.col("m").alias("v"))
         least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u").where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionAll(least)
+        small = join_spread(large, least, "u", "v").where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionAll(least)
         edges = stage(small.distinct(), "links")
 
 
@@ -216,7 +217,8 @@ def _label(prints: DataFrame, roots: DataFrame, key: str, node: str) -> DataFram
     distinct = prints.groupBy(node).agg(F.min(key).alias("least"))
     rooted = distinct.join(roots.select(F.col("node").alias(node), "root"), node, "left").withColumn("root", F.coalesce("root", node))
     least = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    return prints.join(rooted.join(least, "root").select(node, "root", "component_id"), node)
+    named = join_spread(rooted, least, "root", node).select(node, "root", "component_id")
+    return join_spread(prints, named, node, key)
 
 
 def simhash_groups(docs: DataFrame, key: str = "doc_id", shingle: int = 3, budget: int = 2) -> DataFrame:

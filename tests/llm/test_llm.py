@@ -13,6 +13,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 from lexloom.llm import entries, licenses, lm, media, packing, pieces, quality, simhash, suffixes, topk, urls
+from lexloom.llm.base import join_spread
 
 SF = "/root/testdata/sf0.001"
 ODD = [None, "", " ", "x", "\u00e9\u00dc \u4e2d\n\t a\x00b", "na " * 4000, "<|endoftext|> z", "same text here", "same text here"]
@@ -153,6 +154,37 @@ def test_topk_against_brute_force(spark):
     assert topk.top_k(df.limit(0), F.pmod("vec_id", F.lit(50)) == 0).count() == 0
 
 
+def test_topk_large_integers_are_exact(spark):
+    rng = np.random.default_rng(5)
+    rows = [(i, [float(x) for x in rng.integers(-(2**21), 2**21, 4)]) for i in range(150)] + [(900, [2.0**21] * 4), (901, [2.0**21 + 1 / 256, 2.0**21, 2.0**21, 2.0**21])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    whole = {i: [int(256 * x // 1) for x in v] for i, v in rows}
+    got = defaultdict(list)
+    for r in topk.top_k(df, F.pmod("vec_id", F.lit(50)) == 0, block=64).orderBy("query_id", "rank").collect():
+        got[r.query_id].append((r.vec_id, r.score))
+    for i in (0, 50, 100, 900):
+        score = {j: sum(a * b for a, b in zip(whole[i], v)) for j, v in whole.items() if j != i}
+        want = sorted(score.items(), key=lambda x: (-x[1], x[0]))[:5]
+        assert max(abs(x) for _, x in want) > 2**53
+        assert got.pop(i) == want
+    assert not got
+
+
+def test_topk_far_cells(spark):
+    """Queries whose best candidates are in few cells: what is not sent to other blocks isn't missed."""
+    rng = np.random.default_rng(6)
+    m = np.concatenate([rng.normal(size=(60, 6)) * 0.02 + 8 * np.eye(6)[i % 6] * (-1) ** (i // 6) for i in range(12)])
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(m)], "vec_id long, embedding array<double>")
+    got = defaultdict(list)
+    for r in topk.top_k(df, F.pmod("vec_id", F.lit(20)) == 0, block=40).orderBy("query_id", "rank").collect():
+        got[r.query_id].append((r.vec_id, r.score))
+    q = np.floor(256 * m)
+    for i in range(0, len(m), 20):
+        s = q @ q[i]
+        assert got.pop(i) == [(j, int(s[j])) for j in np.lexsort((np.arange(len(m)), -s)) if j != i][:5]
+    assert not got
+
+
 def test_cover_tree_covers():
     m = np.random.default_rng(3).normal(size=(900, 4))
     t = topk.Cover(m)
@@ -293,6 +325,19 @@ def test_trie_links_lose_none(spark):
         assert all((of(i) == of(j)) == (root[i] == root[j]) for i in range(len(fps)) for j in range(i))
 
 
+def test_components_of_hubs(spark):
+    links = [(0, i) for i in range(1, 400)] + [(10_000, i) for i in range(1_000, 1_400)] + [(5, 1_005), (20_000, 20_001)]
+    got = {r.node: r.root for r in simhash.components(spark.createDataFrame(links, "u long, v long")).collect()}
+    assert got == {**{i: 0 for i in [*range(1, 400), *range(1_000, 1_400), 10_000]}, 20_001: 20_000}
+
+
+def test_join_spread(spark):
+    rows = spark.createDataFrame([(7, i, i) for i in range(300)] + [(8, 0, 0), (9, None, 1)], "k long, slot long, by long")
+    kept = join_spread(rows, spark.createDataFrame([(7, "a"), (9, "c"), (10, "d")], "k long, x string"), "k", "by")
+    assert kept.columns == ["k", "slot", "by", "x"]
+    assert sorted((r.k, r.by, r.x) for r in kept.collect()) == [(7, i, "a") for i in range(300)] + [(9, 1, "c")]
+
+
 def test_components_of_chains(spark):
     chain = [(i, i + 1) for i in range(40)] + [(100, 101), (101, 100), (7, 7), (200, 103), (103, 100)]
     got = {r.node: r.root for r in simhash.components(spark.createDataFrame(chain, "u long, v long")).collect()}
