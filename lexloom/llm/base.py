@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import math
 import uuid
 
@@ -97,6 +98,14 @@ def small_batches(spark: SparkSession) -> None:
         spark.conf.set(name, BATCH_ROWS)
 
 
+def give_back() -> None:
+    """Return what a Python worker has freed to the system: workers stay for the stages that follow."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc only
+    if trim:
+        trim(0)
+
+
 def slices(batch, column: int | str):
     """Parts of an Arrow batch with about SUB_CHARS bytes in a text or binary column, a row at least."""
     sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_pylist()
@@ -121,6 +130,7 @@ def per_text(docs: DataFrame, key: str, ddl: str, make, text: str = "text") -> D
             for part in slices(b, "t"):
                 columns = [pa.array(c, type=kind) for c, kind in zip(work(part.column("t").to_pylist()), types)]
                 yield pa.RecordBatch.from_arrays([part.column("k"), *columns], names=["k", *schema.names])
+        give_back()
 
     slim = docs.select(F.col(key).alias("k"), F.col(text).cast("string").alias("t"))
     return slim.mapInArrow(run, f"k {key_type}, {ddl}").withColumnRenamed("k", key)

@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lexloom.llm.base import free_name, join_spread, per_text, pieces, slices, small_batches, stage
+from lexloom.llm.base import free_name, give_back, join_spread, per_text, pieces, slices, small_batches, stage
 
 HOT = 20_000  # fingerprints of a block value that are dealt again
 GROUP = 50_000  # fingerprints that one task joins
@@ -409,6 +409,7 @@ def near_groups(docs: DataFrame, key: str = "doc_id", shingle: int = 5, similari
         def join(pdf: pd.DataFrame) -> pd.DataFrame:
             known = [pdf[c].to_numpy() for c in labels]
             out = jaccard_links(pdf["fp"].to_numpy().view(np.uint64), pdf["g"].to_numpy(), pdf["node"].to_numpy(), list(pdf["hashes"]), similarity, budget, *known)
+            give_back()
             return pd.DataFrame(out, columns=["u", "v"], dtype="int64")
 
         whole = rows.join(per_text(chosen, "node", "hashes binary, fp long", make), "node")
@@ -485,6 +486,8 @@ def _open_prefixes(texts: DataFrame, roots: DataFrame, total: int, shingle: int,
                 keys, seen, held = [], {}, 0
         if keys:
             yield flush()
+        keys, seen = [], {}
+        give_back()
 
     def shared(pdf: pd.DataFrame) -> pd.DataFrame:
         key, node, root, spare = (np.frombuffer(b"".join(pdf[c]), kind) for c, kind in kinds.items())
@@ -498,6 +501,7 @@ def _open_prefixes(texts: DataFrame, roots: DataFrame, total: int, shingle: int,
         order = order[np.r_[True, (k[1:] != k[:-1]) | (n[1:] != n[:-1])][: len(k)]]  # copies of a text
         _, inverse, count = np.unique(key[order], return_inverse=True, return_counts=True)
         g = key[order].astype(np.int64) | (int(pdf["bucket"].iloc[0]) << 32)
+        give_back()
         return pd.DataFrame({"node": node[order], "root": root[order], "g": g, "spare": spare[order], "texts": count[inverse]})
 
     dealt = rooted.mapInArrow(deal, "bucket int, key binary, node binary, root binary, spare binary")

@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexloom.llm.base import free_name, pieces, slices, small_batches, stage, stage_bucketed, text_bytes
+from lexloom.llm.base import free_name, give_back, pieces, slices, small_batches, stage, stage_bucketed, text_bytes
 
 SPAN, GRAM = 200, 64
 REACH = SPAN - GRAM + 1  # places of a window's anchor
@@ -230,6 +230,7 @@ def _anchor_blobs(batches, buckets: int):
                     rows.append((k, h[at].tobytes(), index.astype("<u4").tobytes(), place[at].astype("<u4").tobytes(), b"".join(keys[t] for t in used)))
             columns = list(zip(*rows))
             yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int32()), *(pa.array(c, pa.binary()) for c in columns[1:])], names=["bucket", "h", "t", "p", "keys"])
+    give_back()
 
 
 def _repeated(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -273,6 +274,7 @@ def _run_blobs(batches, buckets: int):
             p, h, least, most, text = (x[keep] for x in (p, h, least, most, text))
             for a in range(0, len(p), 20_000):
                 yield from _runs(raw, starts, keys, *(x[a : a + 20_000] for x in (p, h, least, most, text)), buckets)
+    give_back()
 
 
 def _runs(raw, starts, keys, p, h, least, most, text, buckets):
