@@ -1,6 +1,7 @@
 """Normalisation, chains, index, merge, patterns, search, ranking, sources and builds."""
 
 import random
+import re
 from collections import Counter
 
 import pytest
@@ -512,3 +513,30 @@ def test_shared_folder_is_refused_on_a_cluster():
     conf = N(get=lambda name, default=None: None)
     with pytest.raises(RuntimeError, match="checkpoint"):
         staging.shared_dir(N(sparkContext=N(getConf=lambda: conf, master="spark://a:7077"), conf=conf))
+
+
+def test_ranges_join_up(spark, monkeypatch):
+    """Many small ranges: prefixes that go over several of them, in order, with Unicode and a hot chain."""
+    monkeypatch.setattr(index.runs, "RANGE_ROWS", 15)
+    rng = random.Random(4)
+    rows = [(" ".join(rng.choices(("a", "ab", "b", f"é{PB}中", "x" * 40), k=rng.randint(1, 5))), rng.randint(1, 3)) for _ in range(300)] + [("a b", 7)] * 50
+    df = weighted(spark, rows).repartition(3)
+    want = Counter()
+    for c, n in rows:
+        want[c] += n
+    got = index.runs.chains(df)
+    assert got.rdd.getNumPartitions() > 10
+    assert [tuple(r) for r in got.collect()] == sorted(want.items(), key=lambda x: (x[0] + END).encode())
+    prefixes = Counter()
+    for c, n in want.items():
+        for m in re.finditer(f"[ {PB}{END}]", c + END):
+            prefixes[(c + END)[: m.end()]] += n
+    assert dict(map(tuple, index.boundary_phrases(df).collect())) == prefixes
+    for least in (2, 5, 40):
+        assert dict(map(tuple, index.cut_off(df, least).collect())) == cut_by_hand(want.items(), least)
+
+
+def test_counts_beyond_longs_are_an_error(spark):
+    with pytest.raises(Exception, match="range of longs"):
+        index.merge(weighted(spark, [("a", 2**62)]), weighted(spark, [("a", 2**62)])).collect()
+    assert dict(map(tuple, index.merge(weighted(spark, [("a", 2**62), ("b", 2**62)])).collect())) == {"a": 2**62, "b": 2**62}
