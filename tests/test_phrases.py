@@ -540,3 +540,12 @@ def test_counts_beyond_longs_are_an_error(spark):
     with pytest.raises(Exception, match="range of longs"):
         index.merge(weighted(spark, [("a", 2**62)]), weighted(spark, [("a", 2**62)])).collect()
     assert dict(map(tuple, index.merge(weighted(spark, [("a", 2**62), ("b", 2**62)])).collect())) == {"a": 2**62, "b": 2**62}
+
+
+def test_queries_of_few_rows_write_no_index(spark):
+    """Totals, symbols and nodes come from the occurrences: neither an index is written nor a chain shuffled."""
+    queries._SAVED.clear()
+    for name in ("total_count", "alphabet", "explore_prefixes", "explore_path", "node_children"):
+        df = queries.QUERIES[name](spark, "/root/testdata/sf0.001")
+        assert "hashpartitioning(chain" not in df._jdf.queryExecution().toString() and df.count()
+    assert not queries._SAVED
