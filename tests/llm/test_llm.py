@@ -1,6 +1,7 @@
 """The training-data operators against brute force, round trips and held-out accuracy."""
 
 import hashlib
+import math
 import os
 import random
 import re
@@ -154,6 +155,20 @@ def test_topk_against_brute_force(spark):
     assert topk.top_k(df.limit(0), F.pmod("vec_id", F.lit(50)) == 0).count() == 0
 
 
+def test_topk_query_takes_every_row(spark, tmp_path):
+    """Vectors of other lengths are candidates too, each row of a repeated id asks, and a large component beside small ones is no error."""
+    rng = np.random.default_rng(8)
+    rows = [(i, rng.normal(size=6 - i % 3).tolist()) for i in range(120)] + [(i, rng.normal(size=6).tolist()) for i in range(60)] + [(150, [1e13, 0.5]), (200, [])]
+    spark.createDataFrame(rows, "vec_id long, embedding array<double>").write.parquet(f"{tmp_path}/embeddings.parquet")
+    whole = [(i, [int(math.floor(256 * x)) for x in v]) for i, v in rows]
+    want = []
+    for q in {i for i, _ in rows if i % 50 == 0}:
+        scores = [(-sum(a * b for a, b in zip(v, w)), j) for i, v in whole if i == q for j, w in whole if j != q]
+        want += [(q, n + 1, j, -s) for n, (s, j) in enumerate(sorted(scores)[:5])]
+    got = entries.op3_topk(spark, str(tmp_path)).select("query_id", "rank", "vec_id", "score").collect()
+    assert sorted(map(tuple, got)) == sorted(want)
+
+
 def test_topk_large_integers_are_exact(spark):
     rng = np.random.default_rng(5)
     rows = [(i, [float(x) for x in rng.integers(-(2**21), 2**21, 4)]) for i in range(150)] + [(900, [2.0**21] * 4), (901, [2.0**21 + 1 / 256, 2.0**21, 2.0**21, 2.0**21])]
