@@ -549,3 +549,13 @@ def test_queries_of_few_rows_write_no_index(spark):
         df = queries.QUERIES[name](spark, "/root/testdata/sf0.001")
         assert "hashpartitioning(chain" not in df._jdf.queryExecution().toString() and df.count()
     assert not queries._SAVED
+
+
+@pytest.mark.parametrize("expr", ["the_*", "CVC", '"a b_*"', "_*&t_{2}", "<eht>"])
+def test_beginning_keeps_what_matches(spark, expr):
+    rng = random.Random(9)
+    counts = weighted(spark, list(Counter(" ".join(rng.choices(("the", "then", "a", "b", "bc", "bat", "t"), k=rng.randint(1, 4))) for _ in range(300)).items()))
+    want = {tuple(r) for r in search.find(index.boundary_phrases(counts), expr).collect()}
+    kept = search.beginning(counts, expr)
+    assert want and {tuple(r) for r in search.find(index.boundary_phrases(kept), expr).collect()} == want
+    assert "<" in expr or kept.count() < counts.count()
