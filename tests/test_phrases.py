@@ -2,6 +2,7 @@
 
 import random
 import re
+import time
 from collections import Counter
 
 import pytest
@@ -559,3 +560,33 @@ def test_beginning_keeps_what_matches(spark, expr):
     kept = search.beginning(counts, expr)
     assert want and {tuple(r) for r in search.find(index.boundary_phrases(kept), expr).collect()} == want
     assert "<" in expr or kept.count() < counts.count()
+
+
+@pytest.mark.parametrize("expr", ["<eht>", "<(th)(e)n>", "t(h_*&_*e)_", "(t_&_h)e"])
+def test_patterns_without_a_regular_expression_narrow_chains(spark, expr):
+    rng = random.Random(10)
+    counts = weighted(spark, list(Counter(" ".join(rng.choices(("the", "then", "a", "b", "bc", "bat", "t", "he"), k=rng.randint(1, 4))) for _ in range(300)).items()))
+    want = {tuple(r) for r in search.find(index.boundary_phrases(counts), expr).collect()}
+    kept = search.beginning(counts, expr)
+    assert want and {tuple(r) for r in search.find(index.boundary_phrases(kept), expr).collect()} == want
+    assert kept.count() < counts.count()
+
+
+def test_searches_write_only_what_can_match(spark):
+    """A search alone writes no index of all phrases, and finds what one with the index does."""
+    sf = "/root/testdata/sf0.001"
+    names = ("expr_quoted", "expr_nested_intersection", "expr_anagram_parts", "display_size", "find_phone_words", "unicode_search")
+    queries._SAVED.clear()
+    alone = {n: sorted(map(tuple, queries.QUERIES[n](spark, sf).collect())) for n in names}
+    assert not queries._SAVED and alone["expr_quoted"]
+    queries.q_boundary_phrases(spark, sf).count()
+    assert queries._SAVED
+    assert alone == {n: sorted(map(tuple, queries.QUERIES[n](spark, sf).collect())) for n in names}
+
+
+def test_many_marks_fail_fast(spark):
+    """A pattern that fails on a long row of marks takes no time that doubles with each of them."""
+    regex = re.compile(P.to_regex(P.Parser("_*er").parse()))
+    began = time.perf_counter()
+    assert regex.fullmatch("a " * 24 + "x") is None and time.perf_counter() - began < 1
+    assert all(regex.fullmatch(x) for x in ("er", "a er", "aa b e r ", " xer"))
