@@ -12,25 +12,30 @@ from pyspark.sql import DataFrame, SparkSession
 from lexloom.llm import packing, quality, simhash, suffixes
 from lexloom.llm.base import stage, table
 from lexloom.llm.entries import byte_bpe
+from lexloom.sources.staging import forget_shuffles
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier doesn't reject; it learns from the labelled ones among docs."""
+    forget_shuffles(spark)
     return quality.keep_quality(docs, table(spark, sf_dir, "labels"))
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies: five-word shingles, similarity of 0.8 or more."""
+    forget_shuffles(spark)
     return simhash.keep_one(docs)
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without the 200-byte strings that start more than once."""
+    forget_shuffles(spark)
     return suffixes.cut_repeats(docs)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token pieces of all documents in sequences of at most 1024 tokens."""
+    forget_shuffles(spark)
     return packing.pack_documents(docs, byte_bpe())
 
 

@@ -24,6 +24,7 @@ shingle are one shingle. Null keys take part and get the component's smallest no
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -39,6 +40,7 @@ GROUP = 50_000  # fingerprints that one task joins
 CROWD, PIVOTS = 1_000, 8  # texts of a band value that one chunk holds, and those that all its chunks share
 LARGE = 64  # rows of a group that is given to pivots first
 SHINGLES = 400_000  # shingles of texts that one bucket of the prefix filter holds, about
+PASSES = 2  # parts of the buckets that the prefix filter shuffles one after the other
 WORDS = 1 << 22  # 64-bit words that the shared hashes of one group may take
 BANDS, ROWS = 8, 2  # min-hash bands of the variant with a similarity
 _SALT = np.array([0x9E3779B97F4A7C15 * (2 * i + 1) % 2**64 for i in range(BANDS * ROWS)], np.uint64)
@@ -449,15 +451,18 @@ def _open_prefixes(texts: DataFrame, roots: DataFrame, total: int, shingle: int,
     the others by the number of texts that have them, so few texts have any other in the prefix.
     A shingle is named by its bucket and 32 bits; `spare` allows for those that fall together in
     a text: it is what n distinct names have beyond the prefix. One g stands for all with the
-    same texts.
+    same texts. The buckets are shuffled in PASSES parts, and each part's files are deleted before
+    the next; what is alike in most rows (root of an unlinked text, high half of spare) has
+    columns of its own that compress to nothing.
     """
     small_batches(texts.sparkSession)
     buckets = pieces(total, SHINGLES)
     rooted = texts.join(F.broadcast(roots), "node", "left").select("node", F.coalesce("root", "node").alias("root"), "text")
-    kinds = {"key": "<u4", "node": "<i8", "root": "<i8", "spare": "<i4"}
+    kinds = {"key": "<u4", "node": "<i8", "root": "<i8", "low": "<u2", "high": "<u2"}  # root: what differs from node
     names = ["bucket", *kinds]
+    passes = min(PASSES, buckets)
 
-    def deal(batches):
+    def deal(batches, turn):
         def flush():
             count = [len(k) for k in keys]
             key = np.concatenate(keys)
@@ -467,11 +472,13 @@ def _open_prefixes(texts: DataFrame, roots: DataFrame, total: int, shingle: int,
             bucket = (key >> np.uint64(32)).astype(np.int64)
             starts = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]])
             low = (key & np.uint64(0xFFFFFFFF)).astype("<u4")
-            columns = [low, *(np.array(x, kind)[of] for x, kind in zip(zip(*seen.values()), list(kinds.values())[1:]))]
+            node, root, spare = (np.array(x, np.int64) for x in zip(*(seen[i] for i in texts)))
+            halves = spare.astype("<i4").view("<u2").reshape(-1, 2)
+            columns = [low, *(x[of] for x in (node.astype("<i8"), (node ^ root).astype("<i8"), halves[:, 0], halves[:, 1]))]
             parts = [[c[a:b].tobytes() for a, b in zip(starts, np.r_[starts[1:], len(key)])] for c in columns]
             return pa.RecordBatch.from_arrays([pa.array(bucket[starts], pa.int32()), *(pa.array(x, pa.binary()) for x in parts)], names=names)
 
-        keys, seen, held = [], {}, 0
+        keys, texts, seen, held = [], [], {}, 0
         for part in (x for b in batches for x in slices(b, "text")):
             for node, root, text in zip(*(part.column(c).to_pylist() for c in ("node", "root", "text"))):
                 h = np.unique(shingle_hashes(text, shingle))
@@ -479,18 +486,22 @@ def _open_prefixes(texts: DataFrame, roots: DataFrame, total: int, shingle: int,
                     continue
                 name = np.unique(((h >> np.uint64(32)) % np.uint64(buckets) << np.uint64(32)) | (h & np.uint64(0xFFFFFFFF)))
                 seen[node] = node, root, math.ceil(similarity * len(h) - 1e-9) - 1 - (len(h) - len(name))
-                keys.append(name)
-                held += len(name)
+                mine = name[(name >> np.uint64(32)) % np.uint64(passes) == turn]
+                if len(mine):
+                    keys.append(mine)
+                    texts.append(node)
+                    held += len(mine)
             if held > 1 << 20:
                 yield flush()
-                keys, seen, held = [], {}, 0
+                keys, texts, seen, held = [], [], {}, 0
         if keys:
             yield flush()
-        keys, seen = [], {}
+        keys, texts, seen = [], [], {}
         give_back()
 
     def shared(pdf: pd.DataFrame) -> pd.DataFrame:
-        key, node, root, spare = (np.frombuffer(b"".join(pdf[c]), kind) for c, kind in kinds.items())
+        key, node, root, low, high = (np.frombuffer(b"".join(pdf[c]), kind) for c, kind in kinds.items())
+        root, spare = root ^ node, np.stack([low, high], 1).reshape(-1).view("<i4")
         order = np.argsort(key, kind="stable")
         k = key[order]
         starts = np.flatnonzero(np.r_[True, k[1:] != k[:-1]])
@@ -504,8 +515,11 @@ def _open_prefixes(texts: DataFrame, roots: DataFrame, total: int, shingle: int,
         give_back()
         return pd.DataFrame({"node": node[order], "root": root[order], "g": g, "spare": spare[order], "texts": count[inverse]})
 
-    dealt = rooted.mapInArrow(deal, "bucket int, key binary, node binary, root binary, spare binary")
-    found = dealt.groupBy("bucket").applyInPandas(lambda pdf: shared(pdf), "node long, root long, g long, spare int, texts long")
+    parts = []
+    for turn in range(passes):
+        dealt = rooted.mapInArrow(lambda it, turn=turn: deal(it, turn), "bucket int, key binary, node binary, root binary, low binary, high binary")
+        parts.append(stage(dealt.groupBy("bucket").applyInPandas(lambda pdf: shared(pdf), "node long, root long, g long, spare int, texts long"), "shared"))
+    found = reduce(DataFrame.unionAll, parts)
     own = Window.partitionBy("node")
     placed = found.select("*", F.row_number().over(own.orderBy("texts", "g")).alias("place"), F.count(F.lit(1)).over(own).alias("n"))
     prefix = stage(placed.where("place <= n - spare").select("node", "root", "g"), "prefixes")

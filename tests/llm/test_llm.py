@@ -5,6 +5,7 @@ import math
 import os
 import random
 import re
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -15,6 +16,7 @@ from pyspark.sql import functions as F
 
 from lexloom.llm import entries, licenses, lm, media, packing, pieces, quality, simhash, suffixes, topk, urls
 from lexloom.llm.base import join_spread
+from lexloom.sources import staging
 
 SF = "/root/testdata/sf0.001"
 ODD = [None, "", " ", "x", "\u00e9\u00dc \u4e2d\n\t a\x00b", "na " * 4000, "<|endoftext|> z", "same text here", "same text here"]
@@ -494,6 +496,36 @@ def test_trie_pairs_are_all_pairs_within_the_budget():
         assert sorted(got) == [(i, j) for i in range(len(fp)) for j in range(i + 1, len(fp)) if int(fp[i] ^ fp[j]).bit_count() <= budget]
 
 
+def test_near_dedup_leaves_no_shuffle_files(spark, monkeypatch, tmp_path):
+    """Writes of a stage delete their shuffle files; prefixes dealt in parts give the same groups as in one."""
+    rng = random.Random(31)
+    words = [f"w{i}" for i in range(60)]
+    texts = [" ".join(rng.choices(words, k=rng.randint(5, 40))) for _ in range(40)]
+    texts += [" ".join(t.split()[:-1] + ["x"]) for t in texts[:20]] + texts[:5]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    monkeypatch.setattr(simhash, "SHINGLES", 200)
+    groups = []
+    for passes in (1, 3):
+        monkeypatch.setattr(simhash, "PASSES", passes)
+        groups.append(sorted((r.doc_id, r.component_id) for r in simhash.near_groups(docs).collect()))
+    assert groups[0] == groups[1] and len({c for _, c in groups[0]}) < len(texts) - 5
+    blocks = lambda: {x for x in staging_files(spark) if x.startswith("shuffle_")}
+    staging.forget_shuffles(spark)
+    time.sleep(2)
+    before = blocks()
+    staging.staged(docs.groupBy("text").agg(F.max("doc_id").alias("m")).repartition(3, "m"), "few")
+    deadline = time.time() + 10
+    while blocks() - before and time.time() < deadline:
+        time.sleep(0.2)
+    assert not blocks() - before and spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled") == "false"
+
+
+def staging_files(spark):
+    """Names of the files in the local folders of a session's block manager."""
+    root = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+    return [root.apply(i).getName() for i in range(root.size())]
+
+
 def test_keep_one_without_keys(spark):
     """Components of null or repeated keys aren't taken for one another."""
     rng = random.Random(2)
