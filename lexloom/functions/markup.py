@@ -12,6 +12,8 @@ WHOLE = ("ref", "gallery", "imagemap")
 SCHEMES = ("http://", "https://", "ftp://")
 _LETTERS = frozenset("abcdefghijklmnopqrstuvwxyz")
 _RUN = re.compile(r"\{+")
+_SIGN = re.compile(r"[<&{\[\]]")  # without one of these no kind of markup changes a text
+_MARKER = re.compile("(?i)(?=(?:BEGIN|END) ARTICLE)")
 
 
 def _name_at(s: str, at: int) -> tuple[str, int]:
@@ -34,6 +36,8 @@ def _tag_end(s: str, name_end: int) -> int:
 
 def drop_elements(s: str) -> str:
     """Comments, and the elements of WHOLE with their content, taken out."""
+    if "<" not in s:
+        return s
     out, at, low = [], 0, s.lower()
     while (start := s.find("<", at)) >= 0:
         end = -1
@@ -53,6 +57,8 @@ def drop_elements(s: str) -> str:
 
 def drop_braces(s: str) -> str:
     """Templates and tables taken out, whatever their nesting; a sign without its partner stays."""
+    if "{" not in s:
+        return s  # nothing is opened, so every sign stays
     out: list[str] = []
     opened: list[tuple[str, int]] = []  # (closing sign, length of out before the opening one)
     at = 0
@@ -78,6 +84,8 @@ def drop_braces(s: str) -> str:
 
 def spaced_tags(s: str) -> str:
     """A space for each tag and each named entity."""
+    if "<" not in s and "&" not in s:
+        return s
     out, at = [], 0
     for m in re.finditer("[<&]", s):
         i = m.start()
@@ -105,6 +113,8 @@ def _is_named(content: str) -> bool:
 
 def labelled_links(s: str) -> str:
     """Links replaced by their labels; links into a namespace go."""
+    if "[" not in s and "]" not in s:
+        return s
     out: list[str] = []
     opened: list[int] = []
     at = 0
@@ -138,10 +148,12 @@ def labelled_links(s: str) -> str:
 def strip_markup(text: str | None) -> str:
     """All kinds of markup taken out, again until nothing changes; then article markers are escaped."""
     s, before = text or "", None
-    while s != before:
+    while s != before and _SIGN.search(s):
         before = s
         s = labelled_links(spaced_tags(drop_braces(drop_elements(s))))
-    return re.sub("(?i)(?=(?:BEGIN|END) ARTICLE)", ">", s)
+    if "article" in s.lower() or "\u0131" in s or "\u0130" in s:  # the two letters that (?i) takes for an I as well
+        s = _MARKER.sub(">", s)
+    return s
 
 
 def plain_text(df: DataFrame, column: str) -> DataFrame:
