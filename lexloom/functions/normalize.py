@@ -171,10 +171,42 @@ def ascii_corpus(c: Column) -> Column:
     return F.trim(F.regexp_replace(joined, "[^a-z0-9]+", " "))
 
 
+def latin_tables(ranges: list[tuple[int, int, int]]) -> tuple[dict[str, str], str]:
+    """Letters of Latin-1 that fold to one letter (or ss) whatever stands beside them, and a class of the symbols that are harder.
+
+    A text without any of the class is its letters one by one: no mark joins them and no break
+    divides them. Latin-1 and punctuation only, as a class of many ranges takes longer than the Normalizer.
+    """
+    n, easy = Normalizer(ranges), {}
+    for c in map(chr, range(0x80, 0x100)):
+        if n.classify(c):
+            to = n.fold(c)
+            if to == "ss" or (len(to) == 1 and to < "\u0100" and n.classify(to) in (ASCII_LETTER, LATIN_LETTER)):
+                easy[c] = to
+    hard = "".join(c for c in map(chr, range(0x80, 0x100)) if n.classify(c, True) and c not in easy)
+    signs = "" if any(a <= 0x206F and b >= 0x2000 for a, b, _ in ranges) else "\u2000-\u206f"
+    return easy, f"[^\\x00-\\xff{signs}]" + (f"|[{hard}]" if hard else "")
+
+
+def latin_corpus(c: Column, easy: dict[str, str]) -> Column:
+    """corpus() of text without the harder symbols of latin_tables(), by built-in functions."""
+    letters = "a-zA-Z" + "".join(sorted(easy))
+    joined = F.regexp_replace(c, f"(?<=[{letters}])['\u2019](?=[{letters}])", "")
+    one = {**{chr(x): chr(x + 32) for x in range(65, 91)}, **{a: b for a, b in easy.items() if a != b and len(b) == 1}}
+    folded = F.translate(joined, "".join(one), "".join(one.values()))
+    for a, b in easy.items():
+        if len(b) > 1:
+            folded = F.replace(folded, F.lit(a), F.lit(b))
+    kept = "".join(sorted({b for b in easy.values() if len(b) == 1 and b > "\x7f"}))
+    return F.trim(F.regexp_replace(folded, f"[^a-z0-9{kept}]+", " "))
+
+
 def corpus_text(df: DataFrame, column: str = "text") -> DataFrame:
-    """df with (normalized, invalid_utf8) of a string or binary column. ASCII rows stay in built-in functions."""
+    """df with (normalized, invalid_utf8) of a string or binary column. Rows of ASCII or Latin-1 stay in built-in functions."""
     spark = df.sparkSession
-    ranges = spark.sparkContext.broadcast(class_ranges(spark))
+    found = class_ranges(spark)
+    ranges = spark.sparkContext.broadcast(found)
+    easy, hard = latin_tables(found)
     schema = T.StructType.fromDDL("normalized string, invalid_utf8 long")
 
     @F.pandas_udf(schema)
@@ -188,9 +220,10 @@ def corpus_text(df: DataFrame, column: str = "text") -> DataFrame:
     raw = F.col(column).cast("binary")
     text = F.try_validate_utf8(raw.cast("string"))
     plain = text.isNotNull() & (F.octet_length(text) == F.char_length(text))
-    ours = F.coalesce(raw.isNull() | plain, F.lit(True))
-    done = df.withColumn("_plain", ours).withColumn("_n", run(F.when(~ours, raw)))
-    normal = F.when(F.col("_plain"), F.coalesce(ascii_corpus(text), F.lit(""))).otherwise(F.col("_n.normalized"))
+    latin = text.isNotNull() & ~text.rlike(hard)
+    way = F.when(raw.isNull() | plain, 0).when(latin, 1).otherwise(2)
+    done = df.withColumn("_way", way).withColumn("_n", run(F.when(F.col("_way") == 2, raw)))
+    normal = F.when(F.col("_way") == 0, F.coalesce(ascii_corpus(text), F.lit(""))).when(F.col("_way") == 1, latin_corpus(text, easy)).otherwise(F.col("_n.normalized"))
     return done.select(*df.columns, normal.alias("normalized"), F.col("_n.invalid_utf8").alias("invalid_utf8"))
 
 

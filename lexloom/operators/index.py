@@ -35,15 +35,18 @@ def occurrences(lines: DataFrame, text: str = "text", weight: str | None = None,
     return lines.select(F.explode(chains(F.col(text), cap)).alias("chain"), w.alias("cnt"))
 
 
-def sampled(lines: DataFrame, text: str = "text", weight: str | None = None, cap: int = MAX_SYMBOLS) -> tuple[DataFrame, float]:
-    """occurrences() of a bounded sample of lines, and their share: for the bounds of ranges alone."""
+def sampled(lines: DataFrame, text: str = "text", weight: str | None = None, cap: int = MAX_SYMBOLS, make=lambda few: few) -> tuple[DataFrame, float]:
+    """occurrences() of a bounded sample of lines, and their share: for the bounds of ranges alone.
+
+    make: what is still to be done to the lines, so that it is done to the sample alone.
+    """
     f = min(1.0, runs.SAMPLE_LINES / max(lines.count(), 1))
-    return occurrences(lines.sample(f, 7) if f < 1 else lines, text, weight, cap), f
+    return occurrences(make(lines.sample(f, 7) if f < 1 else lines), text, weight, cap), f
 
 
-def chain_counts(lines: DataFrame, text: str = "text", weight: str | None = None, cap: int = MAX_SYMBOLS) -> DataFrame:
+def chain_counts(lines: DataFrame, text: str = "text", weight: str | None = None, cap: int = MAX_SYMBOLS, sample: tuple[DataFrame, float] | None = None) -> DataFrame:
     """(chain, cnt): weighted number of occurrences, in the order of walk(); the sum fails on overflow."""
-    return runs.chains(occurrences(lines, text, weight, cap), sampled(lines, text, weight, cap))
+    return runs.chains(occurrences(lines, text, weight, cap), sample or sampled(lines, text, weight, cap))
 
 
 _MARK = re.compile(BOUNDARY)

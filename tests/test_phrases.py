@@ -584,6 +584,30 @@ def test_searches_write_only_what_can_match(spark):
     assert alone == {n: sorted(map(tuple, queries.QUERIES[n](spark, sf).collect())) for n in names}
 
 
+def test_texts_without_a_sign_pass_at_once(monkeypatch):
+    """No kind of markup is looked for where none of its signs stands, also after its removal; the rest is as it was."""
+    calls = Counter()
+    for name in ("drop_elements", "labelled_links"):
+        monkeypatch.setattr(markup, name, lambda s, name=name, f=getattr(markup, name): (calls.update([name]), f(s))[1])
+    assert markup.strip_markup("a } | -- b begin article") == "a } | -- b >begin article" and not calls
+    assert markup.strip_markup("[[x|a {{b}} c]]") == "a  c" and calls == {"drop_elements": 1, "labelled_links": 1}
+    assert markup.strip_markup("<!-- x }} {| a |} ] [b") == "<!-- x }}  ] [b" and markup.strip_markup("|} {{a") == "|} {{a"
+    assert markup.strip_markup("ENd ART\u0131CLE") == ">ENd ART\u0131CLE"
+
+
+def test_latin_lines_need_no_python(spark, normalizer):
+    """Lines of Latin-1 letters are normalised by built-in functions as the Normalizer does, every code point of them."""
+    points = [chr(c) for c in (*range(0x20, 0x3000), *range(0xA720, 0xA800), *range(0xFB00, 0xFB10), *range(0xFF00, 0xFFF0), 0x4E2D, 0x1D400, 0x1F600)]
+    rng = random.Random(12)
+    some = "aZ09'\u2019 éÉßÿŒœ\u0301αŁ-–\u0130İıſµªǅ中か\u3099"
+    lines = [f"a{c}b'{c}'c {c}{c}" for c in points] + ["".join(rng.choices(some, k=rng.randint(1, 12))) for _ in range(2000)]
+    df = spark.createDataFrame([(x,) for x in lines], "line string")
+    wrong = [(r.line, r.normalized) for r in normalize.corpus_text(df, "line").collect() if r.normalized != normalizer.corpus(r.line)]
+    assert not wrong
+    _, hard = normalize.latin_tables(normalizer.ranges)
+    assert not re.search(hard, "Éa l\u2019été, Straße – ça") and re.search(hard, "a\u0301") and re.search(hard, "中")
+
+
 def test_many_marks_fail_fast(spark):
     """A pattern that fails on a long row of marks takes no time that doubles with each of them."""
     regex = re.compile(P.to_regex(P.Parser("_*er").parse()))
