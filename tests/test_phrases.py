@@ -614,3 +614,32 @@ def test_many_marks_fail_fast(spark):
     began = time.perf_counter()
     assert regex.fullmatch("a " * 24 + "x") is None and time.perf_counter() - began < 1
     assert all(regex.fullmatch(x) for x in ("er", "a er", "aa b e r ", " xer"))
+
+
+SEARCHES = [e for e, _ in queries.EXPRESSIONS.values()] + ["the_*", "th_{3}", "_?the", "[_ ][^_]a", "(a-){2}b", "<a(bc)a>", "(ab*|c)d", "[^a]b", "a_{38}", "a_{39}", "(_*&a_{3})b", "時|ab", "<ehrt>"]
+
+
+def test_first_symbols_of_chains_lose_no_match(spark, normalizer):
+    draw = random.Random(5)
+    words = ["the", "th", "he", "a", "ab", "abc", "er", "in", "of", "and", "ther", "o", "7", "7a", "est", "時", f"時{PB}代", "a" * 41, "ab" * 45, "c" * 39]
+    lines = [" ".join(draw.choice(words) for _ in range(draw.randint(1, 30))) for _ in range(150)]
+    rows = spark.createDataFrame([(x,) for x in lines], "text string")
+    full = index.boundary_phrases(index.chain_counts(rows)).persist()
+    for expr in SEARCHES:
+        where, first = P.lookahead(expr, normalizer), P.longest(expr, normalizer) + 1
+        some = search.beginning(index.occurrences(rows, where=where, first=first), expr, normalizer=normalizer)
+        part = index.boundary_phrases(some, sample=(some, 1.0))
+        got, want = (sorted(map(tuple, search.find(x, expr, normalizer=normalizer).collect())) for x in (part, full))
+        assert got == want, expr
+    full.unpersist()
+
+
+def test_search_moves_only_what_can_match(spark, capsys):
+    sf = "/root/testdata/sf0.001"
+    queries._SAVED.clear()
+    text = F.regexp_replace("phrase", f"[ {PB}{END}]", "")
+    assert queries.candidates(spark, sf, "th_{3}").agg(F.max(F.char_length(text))).first()[0] <= 6  # whole chains before: 40
+    found = queries.QUERIES["expr_search"](spark, sf)
+    found.explain("simple")
+    assert capsys.readouterr().out.count("Exchange hashpartitioning") == 1  # the edges of ranges; all results before
+    assert found.count() == found.select("text").distinct().count()
