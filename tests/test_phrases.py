@@ -643,3 +643,34 @@ def test_search_moves_only_what_can_match(spark, capsys):
     found.explain("simple")
     assert capsys.readouterr().out.count("Exchange hashpartitioning") == 1  # the edges of ranges; all results before
     assert found.count() == found.select("text").distinct().count()
+
+
+def test_one_saved_index_is_cut_off_without_a_shuffle(spark, monkeypatch, tmp_path):
+    """Its files have a range each; several of them, and not neighbours, come in one partition."""
+    monkeypatch.setattr(index.runs, "RANGE_ROWS", 15)
+    rng = random.Random(6)
+    rows = Counter({" ".join(rng.choices(("a", "ab", "b", f"é{PB}中", "x" * 40), k=rng.randint(1, 6))): rng.randint(1, 3) for _ in range(600)})
+    paths = [str(tmp_path / f"i{i}") for i in range(3)]
+    index.save(weighted(spark, list(rows.items())).repartition(3), paths[0])
+    for p in paths[1:]:
+        index.save(weighted(spark, [("b", 9)]), p)
+    saved = index.load(spark, paths[0])
+    assert len(saved.inputFiles()) > 20 and saved.rdd.getNumPartitions() < len(saved.inputFiles())
+    assert "Exchange" not in index.runs.folded_in_order(saved, 2)._jdf.queryExecution().toString()
+    for least in (2, 5, 40):
+        assert dict(map(tuple, index.cut_off(saved, least, in_order=True).collect())) == cut_by_hand(rows.items(), least)
+    batch = Counter(cut_by_hand(rows.items(), 2))
+    batch["b"] += 18
+    got = index.merge_rounds(spark, [paths[1], paths[2], paths[0]], fan_in=2, between=2, final=5)
+    assert dict(map(tuple, got.collect())) == cut_by_hand(batch.items(), 5)
+
+
+def test_parts_deal_their_documents_once(spark, monkeypatch):
+    """The bounds of a part's ranges come from the raw lines."""
+    dealt = []
+    monkeypatch.setattr(corpus, "spread", lambda df, spread=corpus.spread: (dealt.append(1), spread(df))[1])
+    counted = []
+    real = index.sampled
+    monkeypatch.setattr(index, "sampled", lambda lines, *a, **k: (counted.append("Exchange" in lines._jdf.queryExecution().toString()), real(lines, *a, **k))[1])
+    queries.part_indexes(spark, "/root/testdata/sf0.001", 2)
+    assert len(dealt) == 2 and counted == [False, False]
