@@ -674,3 +674,11 @@ def test_parts_deal_their_documents_once(spark, monkeypatch):
     monkeypatch.setattr(index, "sampled", lambda lines, *a, **k: (counted.append("Exchange" in lines._jdf.queryExecution().toString()), real(lines, *a, **k))[1])
     queries.part_indexes(spark, "/root/testdata/sf0.001", 2)
     assert len(dealt) == 2 and counted == [False, False]
+
+
+def test_rows_in_order_are_not_sorted_again(monkeypatch):
+    pa, pc = index.runs.pa, index.runs.pc
+    up = lambda rows: [x.to_pylist() for x in index.runs.add_up(pa.chunked_array([pa.array([r[0] for r in rows], pa.large_string())]), pa.array([r[1] for r in rows], pa.int64()))]
+    assert up([("b", 1), ("a", 2), ("b", 3)]) == [["a", "b"], [2, 4]] and up([("a", 1), ("a", 1)]) == [["a"], [2]] and up([("a", 1)]) == [["a"], [1]]
+    monkeypatch.setattr(pc, "sort_indices", None)
+    assert up([("a", 1), (f"a{END}", 2), ("é", 3), (PB, 4)]) == [["a", f"a{END}", "é", PB], [1, 2, 3, 4]]
